@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import host_rules, mixing
+from . import host_rules, mixing, piece_codec, zip_warc
 
 QUERIES = {
+    "op1_zip_warc": zip_warc.query,
     "op3_mix_sources": mixing.query,
+    "op6_piece_codec": piece_codec.query,
     "op10_host_rules": host_rules.query,
 }
 
 ORACLES = {
+    "op1_zip_warc": zip_warc.SQL,
     "op3_mix_sources": mixing.SQL,
     "op10_host_rules": host_rules.SQL,
 }
