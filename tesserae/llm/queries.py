@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import host_rules, lm_trie, mixing, piece_codec, zip_warc
+from . import host_rules, lm_trie, mixing, piece_codec, substring_dedup, zip_warc
 
 QUERIES = {
     "op1_zip_warc": zip_warc.query,
+    "op2_substring_dedup": substring_dedup.query,
     "op3_mix_sources": mixing.query,
     "op6_piece_codec": piece_codec.query,
     "op7_lm_trie": lm_trie.query,
