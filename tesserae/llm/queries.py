@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import host_rules, lm_trie, mixing, piece_codec, substring_dedup, zip_warc
+from . import host_rules, jaccard_join, lm_trie, mixing, piece_codec, substring_dedup, zip_warc
 
 QUERIES = {
     "op1_zip_warc": zip_warc.query,
     "op2_substring_dedup": substring_dedup.query,
     "op3_mix_sources": mixing.query,
+    "op5_jaccard_join": jaccard_join.query,
     "op6_piece_codec": piece_codec.query,
     "op7_lm_trie": lm_trie.query,
     "op10_host_rules": host_rules.query,
