@@ -31,7 +31,7 @@ from .common import pieces, quoted
 
 SPACE = "▁"
 #: Words known to a worker at most; beyond that its table starts anew.
-KNOWN_WORDS, KNOWN_IDS = 400_000, 4_000_000
+KNOWN_WORDS, KNOWN_IDS = 250_000, 2_000_000
 #: After so many rounds the words still unfinished (runs of one character) use a heap.
 ROUNDS = 60
 NONE = np.int32(2**31 - 1)
@@ -53,7 +53,7 @@ class PieceModel:
         order = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
         self.id_of = {names[i]: i for i in plain}
         self.rank_of = {i: order[scores[i]] for i in plain}
-        self.adjacent = {a + b for p in self.id_of for a, b in zip(p, p[1:])}
+        self.adjacent = np.array(sorted({ord(a) << 21 | ord(b) for p in self.id_of for a, b in zip(p, p[1:])}), dtype=np.int64)
         #: Symbols beyond the vocabulary are single characters without an id: n + code point.
         self.size = n
         pairs, careful = {}, set()
@@ -108,7 +108,14 @@ class PieceModel:
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         distinct, where = np.unique(code, return_inverse=True)
         symbol = np.array([self.id_of.get(chr(c), self.size + c) for c in distinct.tolist()], dtype=np.int64)[where]
-        word = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+        # parts: a new one at each word, and wherever no piece holds both neighbours
+        side = (code[:-1] << 21) | code[1:]
+        at = np.minimum(np.searchsorted(self.adjacent, side), self.adjacent.size - 1)
+        apart = np.ones(code.size, dtype=bool)
+        apart[1:] = (self.adjacent[at] != side) | (owner[1:] != owner[:-1])
+        word = np.cumsum(apart, dtype=np.int32) - np.int32(1)
+        of_part = owner[apart]
         done_symbols, done_words = [], []
         rounds = 0
         while symbol.size:
@@ -164,7 +171,7 @@ class PieceModel:
         symbols, owners = np.concatenate(done_symbols or [symbol]), np.concatenate(done_words or [word])
         order = np.argsort(owners, kind="stable")
         symbols, owners = symbols[order], owners[order]
-        return self._with_bytes(symbols, owners, len(words))
+        return self._with_bytes(symbols, of_part[owners], len(words))
 
     def _heap(self, symbols: list[int]) -> list[int]:
         """One merge at a time: least rank, then leftmost."""
@@ -205,27 +212,9 @@ class PieceModel:
             symbols, owners = out, np.repeat(owners, times)
         return symbols.astype(np.int32), np.bincount(owners, minlength=n)
 
-    def _cut(self, word: str) -> list[str]:
-        """A word's parts between which no piece reaches."""
-        out, start, adjacent = [], 0, self.adjacent
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in adjacent:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
-        return out
-
     def _learn(self, words: list[str]) -> None:
-        """Adds whole words to the table; each is the sequence of its parts."""
-        parts: dict[str, int] = {}
-        cut = [[parts.setdefault(p, len(parts)) for p in self._cut(w)] for w in words]
-        flat, counts = self.merge_words(list(parts))
-        ends = np.cumsum(counts)
-        begins = ends - counts
-        index = np.array([p for c in cut for p in c], dtype=np.int64)
-        ids, lengths = gather(flat, begins[index], counts[index])
-        owner = np.repeat(np.arange(len(words)), [len(c) for c in cut])
-        total = np.bincount(owner, weights=lengths, minlength=len(words)).astype(np.int64)
+        """Adds words to the table, each encoded with the space mark before it."""
+        ids, total = self.merge_words([SPACE + w.replace(" ", SPACE) for w in words])
         have = len(self.known)
         while self.used + ids.size > self.flat.size:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -255,9 +244,8 @@ class PieceModel:
         if len(self.known) > KNOWN_WORDS or self.used > KNOWN_IDS:
             self._forget()
         known = self.known
-        new = list(dict.fromkeys(w for w in split if w not in known))
-        if new:
-            self._learn_spaced(new)
+        if new := set(split).difference(known):
+            self._learn(list(new))
         index = np.fromiter(map(known.__getitem__, split), dtype=np.int64, count=len(split))
         counts = self.counts[index]
         ids, _ = gather(self.flat, self.starts[index], counts)
@@ -268,14 +256,6 @@ class PieceModel:
             text_ends = text_ends + np.arange(1, len(sizes) + 1)
         return ids, np.concatenate([[0], text_ends]).astype(np.int64)
 
-    def _learn_spaced(self, words: list[str]) -> None:
-        """Learns words under their own spelling, encoded with the space mark before them."""
-        before = len(self.known)
-        self._learn([SPACE + w.replace(" ", SPACE) for w in words])
-        for w in words:
-            self.known[w] = self.known.pop(SPACE + w.replace(" ", SPACE))
-        assert len(self.known) == before + len(words)
-
     # -- decoding ---------------------------------------------------------------------------
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
@@ -336,21 +316,34 @@ def model_at(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode_texts(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids", eos: bool = True) -> DataFrame:
-    """docs with the ids of the text, array<int>."""
-    names = [c for c in docs.columns if c.lower() != ids.lower()]
-    packed = docs.select(F.struct(*[quoted(c) for c in names]).alias("row"), quoted(text).cast("string").alias("__text"))
+#: Bytes of text that a worker handles at a time.
+STEP = 1 << 20
+
+
+def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+
+
+def encode_texts(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids", eos: bool = True, keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """docs (or its columns in keep) with the ids of the text, array<int>; with decoded, also
+    the text that these ids decode to, in the same pass."""
+    outputs = {ids.lower(), (decoded or ids).lower()}
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in outputs]
+    packed = docs.select(F.struct(*[quoted(c) for c in names], F.lit(0).alias("__tsr")).alias("row"), quoted(text).cast("string").alias("__text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = model_at(model)
         for batch in batches:
-            for part in pieces(batch, "__text"):
+            for part in pieces(batch, "__text", STEP):
                 flat, offsets = codec.encode(part.column(1).to_pylist(), eos)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["row", "ids"])
+                columns = [part.column(0), _lists(flat, offsets)]
+                if decoded:
+                    columns.append(pa.array(codec.decode(flat, offsets), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "decoded"][: len(columns)])
 
-    schema = T.StructType([packed.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType(), True), True)])
-    return packed.mapInArrow(encode, schema).select("row.*", F.col("ids").alias(ids))
+    fields = [packed.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType(), True), True), T.StructField("decoded", T.StringType(), True)]
+    out = packed.mapInArrow(encode, T.StructType(fields if decoded else fields[:2]))
+    return out.select("row.*", F.col("ids").alias(ids), *([F.col("decoded").alias(decoded)] if decoded else [])).drop("__tsr")
 
 
 def decode_ids(encoded: DataFrame, model: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -361,15 +354,15 @@ def decode_ids(encoded: DataFrame, model: str, *, ids: str = "ids", out: str = "
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = model_at(model)
         for batch in batches:
-            step = max(1, int(batch.num_rows * (2 << 20) / max(1, len(batch.column(1).flatten()))))
+            step = max(1, batch.num_rows * STEP // max(1, len(batch.column(1).flatten())))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 lists = part.column(1)
-                lengths = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], dtype=np.int64)
+                lengths = np.array([x or 0 for x in lists.value_lengths().to_pylist()], dtype=np.int64)
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 texts = codec.decode(flat, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
-                mask = lists.is_valid().to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t if m else None for t, m in zip(texts, mask)], pa.string())], names=["row", "decoded"])
+                texts = [t if valid else None for t, valid in zip(texts, lists.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "decoded"])
 
     schema = T.StructType([packed.schema["row"], T.StructField("decoded", T.StringType(), True)])
     return packed.mapInArrow(decode, schema).select("row.*", F.col("decoded").alias(out))
@@ -384,6 +377,5 @@ def default_model() -> str:
 def query(spark, sf_dir: str) -> DataFrame:
     model = default_model()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    encoded = encode_texts(docs, model).select("doc_id", "ids")
-    both = decode_ids(encoded, model)
+    both = encode_texts(docs, model, keep=["doc_id"], decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
