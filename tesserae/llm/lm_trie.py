@@ -41,14 +41,16 @@ from .zip_warc import file_system
 PRIOR, PSEUDO = 300.0, 0.1
 HOT = 8192
 #: Tokens that a shard holds, about; and tokens that a task gathers before it deals them.
-SHARD_TOKENS, FLUSH_TOKENS = 3_000_000, 2_500_000
+SHARD_TOKENS, FLUSH_TOKENS = 2_000_000, 2_000_000
+#: Bytes of text read at a time, and words a worker knows at most.
+STEP, KNOWN_WORDS = 1 << 20, 300_000
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 # --- Elias-Fano ----------------------------------------------------------------------------
 
 _BYTE = np.array([[b >> k & 1 for k in range(8)] for b in range(256)], dtype=np.uint8)
-_POP = _BYTE.sum(axis=1).astype(np.int64)
+_POP = _BYTE.sum(axis=1).astype(np.uint8)
 _SELECT = np.array([([k for k in range(8) if b >> k & 1] + [8] * 8)[:8] for b in range(256)], dtype=np.int64)
 
 
@@ -57,7 +59,7 @@ class EliasFano:
 
     def __init__(self, header: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.bits = int(header[0]), int(header[1])
-        self.low, self.high, self.ones = low, high.reshape(-1, 64), ones
+        self.low, self.high, self.ones = low, high.view("<u8").reshape(-1, 8), ones
         self.zeros = np.arange(ones.size, dtype=np.int64) * 512 - ones
         self.windows = np.ndarray((max(0, low.size - 7),), dtype="<u8", buffer=low.data if isinstance(low, np.ndarray) else low, strides=(1,)) if low.size >= 8 else None
 
@@ -79,19 +81,24 @@ class EliasFano:
         flags = np.zeros(size // 512 * 512 + 512, dtype=np.uint8)
         flags[places] = 1
         high = np.packbits(flags, bitorder="little")
-        ones = np.concatenate([[0], np.cumsum(_POP[high].reshape(-1, 64).sum(axis=1))]).astype(np.int64)
+        ones = np.concatenate([[0], np.cumsum(_POP[high].reshape(-1, 64).sum(axis=1, dtype=np.int64))]).astype(np.int64)
         return [np.array([n, bits], dtype=np.int64), low, high, ones]
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
-        """Place of the k-th (from 0) one or zero."""
+        """Place of the k-th (from 0) one or zero: block, 64-bit word, byte, bit."""
         directory = self.ones if ones else self.zeros
         block = np.searchsorted(directory, k, side="right") - 1
         rest = k - directory[block]
-        rows = self.high[block] if ones else ~self.high[block]
-        sums = np.cumsum(_POP[rows], axis=1)
+        row = np.arange(k.size)
+        words = self.high[block] if ones else ~self.high[block]
+        sums = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int16)
+        word = (sums <= rest[:, None]).sum(axis=1)
+        rest = rest - np.where(word > 0, sums[row, np.maximum(word - 1, 0)], 0)
+        octets = np.ascontiguousarray(words[row, word]).view(np.uint8).reshape(-1, 8)
+        sums = np.cumsum(_POP[octets], axis=1, dtype=np.int16)
         byte = (sums <= rest[:, None]).sum(axis=1)
-        before = np.where(byte > 0, sums[np.arange(k.size), np.maximum(byte - 1, 0)], 0)
-        return block * 512 + byte * 8 + _SELECT[rows[np.arange(k.size), byte], rest - before]
+        rest = rest - np.where(byte > 0, sums[row, np.maximum(byte - 1, 0)], 0)
+        return block * 512 + word * 64 + byte * 8 + _SELECT[octets[row, byte], rest]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, dtype=np.int64)
@@ -165,22 +172,23 @@ class Trie:
         at = level.successor(x)
         return np.where((at < level.n) & (level.get(np.minimum(at, level.n - 1)) == x), at, -1)
 
-    def numerators(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """log10(c(v w) + k p(w)) for words given by index and contexts given by hash."""
-        out = restored(self.alone[0], self.alone[1][word])
-        rank = self.find(self.vocabulary, context)
-        start, stop = (self.pointers.get(word + d).astype(np.int64) for d in (0, 1))
-        known = np.flatnonzero((rank >= 0) & (stop > start))
-        if known.size:
-            start, stop = start[known], stop[known]
-            base = np.zeros(known.size, dtype=np.uint64)
-            inner = start > 0
-            base[inner] = self.children.get(start[inner] - 1)
-            x = base + rank[known].astype(np.uint64)
-            at = np.maximum(self.children.successor(x), start)
-            fits = at < stop
-            fits[fits] = self.children.get(at[fits]) == x[fits]
-            out[known[fits]] = restored(self.weights[0], self.weights[1][at[fits]])
+    def numerators(self, entries: np.ndarray, contexts: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """log10(c(v w) + k p(w)) for pairs of word and context, which are indexes into
+        entries (places in the words' level) and contexts (hashes)."""
+        rank = self.find(self.vocabulary, contexts)
+        start, stop = (self.pointers.get(entries + d).astype(np.int64) for d in (0, 1))
+        base = np.zeros(entries.size, dtype=np.uint64)
+        inner = (start > 0) & (stop > start)
+        base[inner] = self.children.get(start[inner] - 1)
+        out = restored(self.alone[0], self.alone[1][entries])[word]
+        known = np.flatnonzero((rank[context] >= 0) & (stop > start)[word])
+        for at in range(0, known.size, 1 << 17):
+            some = known[at : at + (1 << 17)]
+            w, x = word[some], base[word[some]] + rank[context[some]].astype(np.uint64)
+            found = np.maximum(self.children.successor(x), start[w])
+            fits = found < stop[w]
+            fits[fits] = self.children.get(found[fits]) == x[fits]
+            out[some[fits]] = restored(self.weights[0], self.weights[1][found[fits]])
         return out
 
 
@@ -219,48 +227,55 @@ def mapped_arrays(path: str) -> list[np.ndarray]:
 # --- tokens --------------------------------------------------------------------------------
 
 
-class Hashes(dict):
-    """Word bytes to 64-bit hashes; starts anew when large."""
+class Words(dict):
+    """Word bytes to dense ids, with the hash of each id; 0 is the end of a text, 1 its start."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = [int(END), int(START)]
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+        self[word] = n = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return n
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 500_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    def forget(self) -> None:
+        self.clear()
+        del self.hashes[2:]
 
 
-def tokens_of(texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with an end token after each text, and the tokens of each text. Only A-Z
-    become lower case, and only ASCII white space separates words."""
-    words: list[bytes] = []
+def tokens_of(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word ids with an end after each text, and the tokens of each text. Only A-Z become lower
+    case, and only ASCII white space separates words."""
+    split: list[bytes] = []
     sizes = np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         own = (text or "").encode("utf-8", "replace").lower().split()
         sizes[i] = len(own)
-        words += own
-    flat = np.insert(hashes.of(words), np.cumsum(sizes), END)
-    return flat, sizes + 1
+        split += own
+    flat = np.fromiter(map(words.__getitem__, split), dtype=np.int32, count=len(split))
+    return np.insert(flat, np.cumsum(sizes), 0), sizes + 1
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, held, held_n = Hashes(), [], 0
+    words, counts = Words(), np.zeros(0, dtype=np.int64)
 
     def flush() -> pa.RecordBatch:
-        words, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+        some = np.flatnonzero(counts)
+        names = np.array(words.hashes, dtype=np.uint64)[some].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts[some])], names=["word", "n"])
 
     for batch in batches:
-        for part in pieces(batch, "text"):
-            flat, _ = tokens_of(part.column(0).to_pylist(), hashes)
-            held.append(flat)
-            held_n += flat.size
-            if held_n >= FLUSH_TOKENS:
+        for part in pieces(batch, "text", STEP):
+            flat, _ = tokens_of(part.column(0).to_pylist(), words)
+            more = np.bincount(flat, minlength=counts.size)
+            more[: counts.size] += counts
+            counts = more
+            if len(words) >= KNOWN_WORDS:
                 yield flush()
-                held, held_n = [], 0
-    if held:
+                words.forget()
+                counts = np.zeros(0, dtype=np.int64)
+    if counts.size:
         yield flush()
 
 
@@ -273,68 +288,76 @@ def _mix(a: np.ndarray) -> np.ndarray:
     return (a ^ (a >> np.uint64(27))) >> np.uint64(11)
 
 
-DEALT = "shard int, words binary, contexts binary, word_at binary, context_at binary, rows binary, sizes binary, keys array<string>, long_word boolean, long_context boolean"
+DEALT = "shard int, words binary, contexts binary, word_at binary, context_at binary, rows binary, sizes binary, keys array<KEY>, long_word boolean, long_context boolean"
 
 
 def _deal(shards: int, hot: np.ndarray):
     """Rows of (row number, held out, text, key) to one row for each shard and stretch of tokens.
     A row's number carries its split: even for training, odd for held out."""
 
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
+    def flush(held: list, words: Words) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate([x[0] for x in held])
         sizes = np.concatenate([x[1] for x in held])
         rows = np.concatenate([x[2] for x in held])
         keys = pa.chunked_array([x[3] for x in held]).combine_chunks()
         context = np.empty_like(flat)
         context[1:] = flat[:-1]
-        context[np.cumsum(sizes) - sizes] = START
-        by = flat.copy()
-        at = np.minimum(np.searchsorted(hot, flat), max(hot.size - 1, 0))
-        is_hot = hot[at] == flat if hot.size else np.zeros(flat.size, dtype=bool)
-        by[is_hot] ^= context[is_hot] * np.uint64(0x9FB21C651E98DF25)
-        shard = (_mix(by) % np.uint64(shards)).astype(np.int32)
+        context[np.cumsum(sizes) - sizes] = 1
+        hashes = np.array(words.hashes, dtype=np.uint64)
+        place = np.minimum(np.searchsorted(hot, hashes), max(hot.size - 1, 0))
+        is_hot = hot[place] == hashes if hot.size else np.zeros(hashes.size, dtype=bool)
+        shard = (_mix(hashes) % np.uint64(shards)).astype(np.int32)[flat]
+        wide = np.flatnonzero(is_hot[flat])
+        shard[wide] = (_mix(hashes[flat[wide]] ^ hashes[context[wide]] * np.uint64(0x9FB21C651E98DF25)) % np.uint64(shards)).astype(np.int32)
+        shard = shard.astype(np.uint16) if shards <= 1 << 16 else shard
         order = np.argsort(shard, kind="stable")
-        owner = np.repeat(np.arange(rows.size), sizes)[order]
+        owner = np.repeat(np.arange(rows.size, dtype=np.int32), sizes)[order]
         shard, flat, context = shard[order], flat[order], context[order]
         edges = np.searchsorted(shard, np.arange(shards + 1))
+        local = np.zeros(hashes.size, dtype=np.int32)
+
+        def indexed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            some = np.unique(ids)
+            local[some] = np.arange(some.size)
+            return hashes[some], _small(local[ids], some.size)
+
         columns: list[list] = [[] for _ in range(10)]
-        for k in range(shards):
+        for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             a, b = edges[k], edges[k + 1]
-            if a == b:
-                continue
-            words, word_at = np.unique(flat[a:b], return_inverse=True)
-            contexts, context_at = np.unique(context[a:b], return_inverse=True)
+            own_words, word_at = indexed(flat[a:b])
+            contexts, context_at = indexed(context[a:b])
             mine = owner[a:b]
             first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
             # a key rides with the one end token of its text
             ended = np.zeros(first.size, dtype=bool)
-            ended[np.searchsorted(mine[first], mine[flat[a:b] == END])] = True
+            ended[np.searchsorted(mine[first], mine[flat[a:b] == 0])] = True
             own_keys = keys.take(pa.array(mine[first], mask=~ended)).to_pylist()
-            word_at, context_at = _small(word_at, words.size), _small(context_at, contexts.size)
-            values = (k, words.tobytes(), contexts.tobytes(), word_at.tobytes(), context_at.tobytes(), rows[mine[first]].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), own_keys, word_at.itemsize == 4, context_at.itemsize == 4)
+            values = (k, own_words.tobytes(), contexts.tobytes(), word_at.tobytes(), context_at.tobytes(), rows[mine[first]].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), own_keys, word_at.itemsize == 4, context_at.itemsize == 4)
             for c, x in zip(columns, values):
                 c.append(x)
-        kinds = [pa.int32(), *[pa.binary()] * 6, pa.list_(pa.string()), pa.bool_(), pa.bool_()]
+        kinds = [pa.int32(), *[pa.binary()] * 6, pa.list_(keys.type), pa.bool_(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in DEALT.split(", ")])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, held_n = Hashes(), [], 0
+        words, held, held_n = Words(), [], 0
         for batch in batches:
-            for part in pieces(batch, "text"):
-                flat, sizes = tokens_of(part.column(2).to_pylist(), hashes)
+            for part in pieces(batch, "text", STEP):
+                flat, sizes = tokens_of(part.column(2).to_pylist(), words)
                 rows = part.column(0).to_numpy() * 2 + part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
                 held.append((flat, sizes, rows, part.column(3)))
                 held_n += flat.size
-                if held_n >= FLUSH_TOKENS:
-                    yield from flush(held)
+                if held_n >= FLUSH_TOKENS or len(words) >= KNOWN_WORDS:
+                    yield from flush(held, words)
                     held, held_n = [], 0
+                    if len(words) >= KNOWN_WORDS:
+                        words.forget()
         if held:
-            yield from flush(held)
+            yield from flush(held, words)
 
     return deal
 
 
-SCORED = "row long, key string, n_tokens long, n_known long, base double, score double"
+SCORED = "row long, key KEY, n_tokens long, n_known long, base double, score double"
 
 
 def _score(folder: str, hot_words: np.ndarray, hot_counts: np.ndarray, total: int, distinct: int, prior: float):
@@ -346,17 +369,18 @@ def _score(folder: str, hot_words: np.ndarray, hot_counts: np.ndarray, total: in
         index = lambda x, wide: np.frombuffer(x, dtype=np.uint32 if wide else np.uint16)
         all_words, word_of = np.unique(np.concatenate([u64(x) for x in raw["words"]]), return_inverse=True)
         all_contexts, context_of = np.unique(np.concatenate([u64(x) for x in raw["contexts"]]), return_inverse=True)
-        word, context, w_at, c_at = [], [], 0, 0
+        code, w_at, c_at = [], 0, 0
         for i in range(table.num_rows):
-            word.append(word_of[w_at:][index(raw["word_at"][i], raw["long_word"][i])])
-            context.append(context_of[c_at:][index(raw["context_at"][i], raw["long_context"][i])])
+            word = word_of[w_at:][index(raw["word_at"][i], raw["long_word"][i])]
+            code.append(word * np.int64(all_contexts.size) + context_of[c_at:][index(raw["context_at"][i], raw["long_context"][i])])
             w_at, c_at = w_at + len(raw["words"][i]) // 8, c_at + len(raw["contexts"][i]) // 8
-        code = np.concatenate(word) * np.int64(all_contexts.size) + np.concatenate(context)
-        del word, context
+        code = np.concatenate(code)
+        del word, word_of, context_of
         rows = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in raw["rows"]])
         sizes = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in raw["sizes"]]).astype(np.int64)
         train = np.repeat(rows % 2 == 0, sizes)
         pairs, pair_at = np.unique(code, return_inverse=True)
+        pair_at = pair_at.astype(np.int32)
         del code
         pair_counts = np.bincount(pair_at[train], minlength=pairs.size)
         pair_word, pair_context = np.divmod(pairs, all_contexts.size)
@@ -380,9 +404,10 @@ def _score(folder: str, hot_words: np.ndarray, hot_counts: np.ndarray, total: in
         as_context[all_words == END] = 0.0  # nothing follows the end
         part = math.log10(prior) + base[pair_word]
         found = np.flatnonzero(entry[pair_word] >= 0)
-        for at in range(0, found.size, 1 << 18):
-            some = found[at : at + (1 << 18)]
-            part[some] = trie.numerators(entry[pair_word[some]], all_contexts[pair_context[some]])
+        met = np.flatnonzero(entry >= 0)
+        met_at = np.zeros(all_words.size, dtype=np.int64)
+        met_at[met] = np.arange(met.size)
+        part[found] = trie.numerators(entry[met], all_contexts, met_at[pair_word[found]], pair_context[found])
         part += as_context[pair_word]
         own, where = np.unique(rows, return_inverse=True)
         owner = np.repeat(where, sizes)
@@ -418,10 +443,11 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fol
     hot_words, hot_counts = np.array([w for w, _ in hot], dtype=np.uint64), np.array([n for _, n in hot], dtype=np.int64)
     shards = max(16, -(-total // SHARD_TOKENS))
     # A text's number exists within this one pass only: the key rides along with it.
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "held", "text", F.col("key").cast("string").alias("key"))
-    dealt = numbered.mapInArrow(_deal(shards, hot_words), DEALT)
+    kind = "long" if rows.schema["key"].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "held", "text", F.col("key").cast(kind).alias("key"))
+    dealt = numbered.mapInArrow(_deal(shards, hot_words), DEALT.replace("KEY", kind))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
-    scored = dealt.mapInArrow(_score(scratch.path("model"), hot_words, hot_counts, int(total), int(distinct), prior), SCORED)
+    scored = dealt.mapInArrow(_score(scratch.path("model"), hot_words, hot_counts, int(total), int(distinct), prior), SCORED.replace("KEY", kind))
     sums = scored.groupBy("row").agg(F.max("key").alias("key"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     first = -math.log10(train_docs + prior)  # the start of a text as the context of its first token
     return sums.select(F.col("key").cast(rows.schema["key"].dataType).alias(key), (F.col("row") % 2 == 1).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", (F.col("score") + first).alias("score"))
