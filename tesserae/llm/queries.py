@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, jaccard_join, lm_trie, mixing, piece_codec, substring_dedup, zip_warc
+from . import host_rules, jaccard_join, lm_trie, media_docs, mixing, piece_codec, substring_dedup, zip_warc
 
 QUERIES = {
     "op1_zip_warc": zip_warc.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_jaccard_join": jaccard_join.query,
     "op6_piece_codec": piece_codec.query,
     "op7_lm_trie": lm_trie.query,
+    "op8_media_docs": media_docs.query,
     "op10_host_rules": host_rules.query,
 }
 
