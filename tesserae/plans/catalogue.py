@@ -1,6 +1,8 @@
-"""All registered queries and their SQL, gathered from the modules of this package."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tesserae.plans import scoring  # noqa: F401
+from tesserae.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
