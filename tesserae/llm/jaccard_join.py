@@ -40,7 +40,7 @@ HASHES = BANDS * ROWS
 #: Posterior below which a pair is dropped, and after how many values each look comes.
 TOLERANCE, LOOKS = 1e-6, (32, 64, 96, 128, HASHES)
 #: Members of a block of a bucket (signatures) and of a group (shingle sets).
-BUCKET_BLOCK, GROUP_BLOCK = 4096, 512
+BUCKET_BLOCK, GROUP_BLOCK = 1024, 512
 
 _rng = np.random.default_rng(20240101)
 MULTIPLIERS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -320,7 +320,7 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     full = scratch.keep(full.groupBy("members", "s", "m").agg(F.min("bucket").alias("b")).select("b", "members"), "buckets")
     candidates = scratch.keep(keys.join(full, F.col("bucket") == F.col("b")).select("bucket", "members", "node"), "candidates")
     scratch.drop("keys")
-    dealt = in_blocks(candidates.join(nodes.select(F.col("node").alias("n"), "sig"), F.col("node") == F.col("n")), "node", "members", BUCKET_BLOCK)
+    dealt = in_blocks(candidates.join(nodes.select(F.col("node").alias("n"), "sig").hint("merge"), F.col("node") == F.col("n")), "node", "members", BUCKET_BLOCK)
     plan = needed(threshold, tolerance)
     edges = streamed(dealt.select("bucket", "i", "j", "node", "sig"), "bucket", "i", "j").mapInArrow(_bucket_edges(plan), "a long, b long")
     groups = components(edges.distinct(), scratch, "groups")
@@ -329,7 +329,8 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     sizes = scratch.keep(groups.groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("members")), "sizes")
     members = groups.join(sizes, F.col("label") == F.col("l")).join(nodes.select(F.col("node").alias("n"), F.col("key").alias("k"), F.col("h").alias("th")), F.col("node") == F.col("n"))
     members = scratch.keep(members.select("node", "label", "members", "k", "th"), "members")
-    texts = members.join(rows, (F.col("h") == F.col("th")) & F.col("key").eqNullSafe(F.col("k"))).select("node", "label", "members", "text")
+    # Sorted merges at every size: neither texts nor their keys are ever broadcast.
+    texts = members.join(rows.hint("merge"), (F.col("h") == F.col("th")) & F.col("key").eqNullSafe(F.col("k"))).select("node", "label", "members", "text")
     sets = texts.mapInArrow(_members, "node long, label long, members long, sets binary")
     blocks = in_blocks(sets, "node", "members", GROUP_BLOCK).select("label", "i", "j", "mine", "node", "sets")
     linked = scratch.keep(streamed(blocks, "label", "i", "j").mapInArrow(_group_links(threshold), "node long, links long, root long"), "linked")
@@ -341,7 +342,7 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     known = scratch.keep(known, "known")
     ids = scratch.keep(known.groupBy("label").agg(F.min("key").alias("class_id")).select(F.col("label").alias("l"), "class_id"), "ids")
     final = scratch.keep(known.join(ids, F.col("label") == F.col("l")).select(F.col("node").alias("n"), "class_id", "links", "copies"), "final")
-    out = signed.select("key", "node", "size").join(final, (F.col("node") == F.col("n")) & (F.col("size") > 0), "left")
+    out = signed.select("key", "node", "size").join(final.hint("merge"), (F.col("node") == F.col("n")) & (F.col("size") > 0), "left")
     alone = F.col("size") == 0
     return out.select(F.col("key").alias(key), F.when(alone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
 
