@@ -41,7 +41,7 @@ from .zip_warc import file_system
 PRIOR, PSEUDO = 300.0, 0.1
 HOT = 8192
 #: Tokens that a shard holds, about; and tokens that a task gathers before it deals them.
-SHARD_TOKENS, FLUSH_TOKENS = 2_000_000, 2_000_000
+SHARD_TOKENS, FLUSH_TOKENS = 8_000_000, 2_000_000
 #: Bytes of text read at a time, and words a worker knows at most.
 STEP, KNOWN_WORDS = 1 << 20, 300_000
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -288,17 +288,19 @@ def _mix(a: np.ndarray) -> np.ndarray:
     return (a ^ (a >> np.uint64(27))) >> np.uint64(11)
 
 
-DEALT = "shard int, words binary, contexts binary, word_at binary, context_at binary, rows binary, sizes binary, keys array<KEY>, long_word boolean, long_context boolean"
+DEALT = "shard int, chunk long, words binary, contexts binary, word_at binary, context_at binary, docs binary, sizes binary, keys array<KEY>, long_word boolean, long_context boolean"
 
 
 def _deal(shards: int, hot: np.ndarray):
-    """Rows of (row number, held out, text, key) to one row for each shard and stretch of tokens.
-    A row's number carries its split: even for training, odd for held out."""
+    """Rows of (row number, held out, text, key) to one row for each shard and chunk of tokens. A
+    chunk is named by the number of its first row; its texts are counted from 0, and twice that
+    number plus 1 for held-out texts is what a token's row carries."""
 
     def flush(held: list, words: Words) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate([x[0] for x in held])
         sizes = np.concatenate([x[1] for x in held])
-        rows = np.concatenate([x[2] for x in held])
+        chunk = int(held[0][2])
+        docs = np.concatenate([x[4] for x in held]).astype(np.int32) + 2 * np.arange(sizes.size, dtype=np.int32)
         keys = pa.chunked_array([x[3] for x in held]).combine_chunks()
         context = np.empty_like(flat)
         context[1:] = flat[:-1]
@@ -311,7 +313,7 @@ def _deal(shards: int, hot: np.ndarray):
         shard[wide] = (_mix(hashes[flat[wide]] ^ hashes[context[wide]] * np.uint64(0x9FB21C651E98DF25)) % np.uint64(shards)).astype(np.int32)
         shard = shard.astype(np.uint16) if shards <= 1 << 16 else shard
         order = np.argsort(shard, kind="stable")
-        owner = np.repeat(np.arange(rows.size, dtype=np.int32), sizes)[order]
+        owner = np.repeat(np.arange(docs.size, dtype=np.int32), sizes)[order]
         shard, flat, context = shard[order], flat[order], context[order]
         edges = np.searchsorted(shard, np.arange(shards + 1))
         local = np.zeros(hashes.size, dtype=np.int32)
@@ -321,7 +323,7 @@ def _deal(shards: int, hot: np.ndarray):
             local[some] = np.arange(some.size)
             return hashes[some], _small(local[ids], some.size)
 
-        columns: list[list] = [[] for _ in range(10)]
+        columns: list[list] = [[] for _ in range(11)]
         for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             a, b = edges[k], edges[k + 1]
             own_words, word_at = indexed(flat[a:b])
@@ -332,10 +334,10 @@ def _deal(shards: int, hot: np.ndarray):
             ended = np.zeros(first.size, dtype=bool)
             ended[np.searchsorted(mine[first], mine[flat[a:b] == 0])] = True
             own_keys = keys.take(pa.array(mine[first], mask=~ended)).to_pylist()
-            values = (k, own_words.tobytes(), contexts.tobytes(), word_at.tobytes(), context_at.tobytes(), rows[mine[first]].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), own_keys, word_at.itemsize == 4, context_at.itemsize == 4)
+            values = (k, chunk, own_words.tobytes(), contexts.tobytes(), word_at.tobytes(), context_at.tobytes(), docs[mine[first]].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), own_keys, word_at.itemsize == 4, context_at.itemsize == 4)
             for c, x in zip(columns, values):
                 c.append(x)
-        kinds = [pa.int32(), *[pa.binary()] * 6, pa.list_(keys.type), pa.bool_(), pa.bool_()]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.list_(keys.type), pa.bool_(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in DEALT.split(", ")])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +345,7 @@ def _deal(shards: int, hot: np.ndarray):
         for batch in batches:
             for part in pieces(batch, "text", STEP):
                 flat, sizes = tokens_of(part.column(2).to_pylist(), words)
-                rows = part.column(0).to_numpy() * 2 + part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                held.append((flat, sizes, rows, part.column(3)))
+                held.append((flat, sizes, part.column(0)[0].as_py(), part.column(3), part.column(1).to_numpy(zero_copy_only=False)))
                 held_n += flat.size
                 if held_n >= FLUSH_TOKENS or len(words) >= KNOWN_WORDS:
                     yield from flush(held, words)
@@ -357,32 +358,50 @@ def _deal(shards: int, hot: np.ndarray):
     return deal
 
 
-SCORED = "row long, key KEY, n_tokens long, n_known long, base double, score double"
+SCORED = "chunk long, docs binary, sizes binary, known binary, base binary, score binary, keys array<KEY>"
+SUMS = "key KEY, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order with their counts summed."""
+    code = np.concatenate(codes)
+    order = np.argsort(code, kind="stable")
+    code, count = code[order], np.concatenate(counts)[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if code.size else np.zeros(0, dtype=np.int64)
+    return code[first], np.add.reduceat(count, first) if first.size else count
 
 
 def _score(folder: str, hot_words: np.ndarray, hot_counts: np.ndarray, total: int, distinct: int, prior: float):
     norm = math.log10(total + PSEUDO * (distinct + 1))
-
-    def shard_rows(number: int, table: pa.Table) -> pa.RecordBatch:
-        raw = {c: table.column(c).to_pylist() for c in ("words", "contexts", "word_at", "context_at", "rows", "sizes", "long_word", "long_context")}
-        u64 = lambda x: np.frombuffer(x, dtype=np.uint64)
-        index = lambda x, wide: np.frombuffer(x, dtype=np.uint32 if wide else np.uint16)
-        all_words, word_of = np.unique(np.concatenate([u64(x) for x in raw["words"]]), return_inverse=True)
-        all_contexts, context_of = np.unique(np.concatenate([u64(x) for x in raw["contexts"]]), return_inverse=True)
-        code, w_at, c_at = [], 0, 0
-        for i in range(table.num_rows):
-            word = word_of[w_at:][index(raw["word_at"][i], raw["long_word"][i])]
-            code.append(word * np.int64(all_contexts.size) + context_of[c_at:][index(raw["context_at"][i], raw["long_context"][i])])
-            w_at, c_at = w_at + len(raw["words"][i]) // 8, c_at + len(raw["contexts"][i]) // 8
-        code = np.concatenate(code)
-        del word, word_of, context_of
-        rows = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in raw["rows"]])
-        sizes = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in raw["sizes"]]).astype(np.int64)
-        train = np.repeat(rows % 2 == 0, sizes)
-        pairs, pair_at = np.unique(code, return_inverse=True)
-        pair_at = pair_at.astype(np.int32)
-        del code
-        pair_counts = np.bincount(pair_at[train], minlength=pairs.size)
+    u64 = lambda x: np.frombuffer(x, dtype=np.uint64)
+
+    def shard_rows(number: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Two passes over the shard's chunks, one chunk in hand at a time: the first counts the
+        training pairs and builds the trie, the second scores."""
+        one = lambda c, i: table.column(c)[i].as_py()
+        n = table.num_rows
+        all_words = np.unique(np.concatenate([np.unique(u64(one("words", i))) for i in range(n)]))
+        all_contexts = np.unique(np.concatenate([np.unique(u64(one("contexts", i))) for i in range(n)]))
+
+        def chunk_of(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Pair codes of the tokens, their texts, and how many tokens each text has."""
+            index = lambda c, wide: np.frombuffer(one(c, i), dtype=np.uint32 if one(wide, i) else np.uint16)
+            word = np.searchsorted(all_words, u64(one("words", i)))[index("word_at", "long_word")]
+            context = np.searchsorted(all_contexts, u64(one("contexts", i)))[index("context_at", "long_context")]
+            return word * np.int64(all_contexts.size) + context, np.frombuffer(one("docs", i), dtype=np.int32), np.frombuffer(one("sizes", i), dtype=np.uint32).astype(np.int64)
+
+        codes, counts_of, waiting = [], [], 0
+        for i in range(n):
+            code, docs, sizes = chunk_of(i)
+            code, count = np.unique(code[np.repeat(docs % 2 == 0, sizes)], return_counts=True)
+            codes.append(code)
+            counts_of.append(count.astype(np.int32))
+            waiting += code.size
+            if waiting > FLUSH_TOKENS:
+                code, count = added(codes, counts_of)
+                codes, counts_of, waiting = [code], [count], 0
+        pairs, pair_counts = added(codes, counts_of)
+        del codes, counts_of
         pair_word, pair_context = np.divmod(pairs, all_contexts.size)
         counts = np.bincount(pair_word, weights=pair_counts, minlength=all_words.size).astype(np.int64)
         if hot_words.size:
@@ -391,43 +410,67 @@ def _score(folder: str, hot_words: np.ndarray, hot_counts: np.ndarray, total: in
         seen = np.flatnonzero(counts > 0)
         rank = np.full(all_words.size, -1)
         rank[seen] = np.arange(seen.size)
-        real = np.flatnonzero(pair_counts > 0)
         rest = prior * 10 ** (np.log10(counts[seen] + PSEUDO) - norm)
         path = f"{folder}/shard-{number:06d}.trie"
-        write_arrays(path, trie_arrays(all_words[seen], counts[seen], rank[pair_word[real]], all_contexts[pair_context[real]], pair_counts[real], rest, prior))
+        write_arrays(path, trie_arrays(all_words[seen], counts[seen], rank[pair_word], all_contexts[pair_context], pair_counts, rest, prior))
+        del pairs, pair_counts, pair_word, pair_context, counts, seen, rank, rest
         trie = Trie(mapped_arrays(path))
+
+        # What a word adds whatever its context.
         entry = trie.find(trie.words, all_words)
-        word_count = np.where(entry >= 0, trie.counts[np.maximum(entry, 0)] if seen.size else 0, 0)
+        met = entry >= 0
+        word_count = np.zeros(all_words.size, dtype=np.int64)
+        word_count[met] = trie.counts[entry[met]]
         base = np.log10(word_count + PSEUDO) - norm
         as_context = np.full(all_words.size, -math.log10(prior))
-        as_context[entry >= 0] = restored(trie.as_context[0], trie.as_context[1][entry[entry >= 0]])
+        as_context[met] = restored(trie.as_context[0], trie.as_context[1][entry[met]])
         as_context[all_words == END] = 0.0  # nothing follows the end
-        part = math.log10(prior) + base[pair_word]
-        found = np.flatnonzero(entry[pair_word] >= 0)
-        met = np.flatnonzero(entry >= 0)
-        met_at = np.zeros(all_words.size, dtype=np.int64)
-        met_at[met] = np.arange(met.size)
-        part[found] = trie.numerators(entry[met], all_contexts, met_at[pair_word[found]], pair_context[found])
-        part += as_context[pair_word]
-        own, where = np.unique(rows, return_inverse=True)
-        owner = np.repeat(where, sizes)
-        total_of = lambda x: np.bincount(owner, weights=x[pair_at], minlength=own.size)
-        names = pa.chunked_array(table.column("keys").chunks).combine_chunks().flatten()
-        # of the entries of a row, the one that carries the key comes last
-        filled = np.flatnonzero(np.asarray(names.is_valid()))
-        key_at = np.full(own.size, -1)
-        key_at[where[filled]] = filled
-        own_keys = names.take(pa.array(np.maximum(key_at, 0), mask=key_at < 0))
-        columns = [own, own_keys, np.bincount(owner, minlength=own.size), total_of((word_count > 0)[pair_word].astype(float)).astype(np.int64), total_of(base[pair_word]), total_of(part)]
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in SCORED.split(", ")])
+        for i in range(n):
+            code, docs, sizes = chunk_of(i)
+            pairs, pair_at = np.unique(code, return_inverse=True)
+            word, context = np.divmod(pairs, all_contexts.size)
+            part = math.log10(prior) + base[word]
+            found = np.flatnonzero(met[word])
+            if found.size:
+                words, word_at = np.unique(word[found], return_inverse=True)
+                contexts, context_at = np.unique(context[found], return_inverse=True)
+                part[found] = trie.numerators(entry[words], all_contexts[contexts], word_at, context_at)
+            part += as_context[word]
+            first = np.cumsum(sizes) - sizes
+            total_of = lambda x: np.add.reduceat(x[pair_at], first)
+            values = (one("chunk", i), one("docs", i), one("sizes", i), total_of((word_count[word] > 0).astype(np.uint32)).astype(np.uint32).tobytes(), total_of(base[word]).tobytes(), total_of(part).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([values[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in values[1:]], table.column("keys").slice(i, 1).combine_chunks()], names=[x.split()[0] for x in SCORED.split(", ")])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (number,), table in stream_groups(batches, ["shard"]):
-            yield shard_rows(int(number), table)
+            yield from shard_rows(int(number), table)
 
     return score
 
 
+def _gather(start: float):
+    """Adds up the shards' parts of the texts of each chunk; start is each text's own part."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in stream_groups(batches, ["chunk"]):
+            joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind)
+            docs = joined("docs", np.int32)
+            n = int(docs.max()) // 2 + 1
+            held = np.zeros(n, dtype=bool)
+            held[docs // 2] = docs % 2 == 1
+            sums = lambda c, kind: np.bincount(docs // 2, weights=joined(c, kind), minlength=n)
+            names = table.column("keys").combine_chunks().flatten()
+            names = pa.chunked_array([names]).combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+            filled = np.flatnonzero(np.asarray(names.is_valid()))
+            key_at = np.full(n, -1)
+            key_at[docs[filled] // 2] = filled
+            keys = names.take(pa.array(np.maximum(key_at, 0), mask=key_at < 0))
+            columns = [keys, pa.array(held), pa.array(sums("sizes", np.uint32).astype(np.int64)), pa.array(sums("known", np.uint32).astype(np.int64)), pa.array(sums("base", np.float64)), pa.array(sums("score", np.float64) + start)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SUMS.split(", ")])
+
+    return gather
+
+
 def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 10, held_fold: int = 0, prior: float = PRIOR, scratch: Scratch | None = None) -> DataFrame:
     """Per row: the key, held_out, n_tokens, n_known, train_tokens, base_score, score. The model
     is trained on the rows outside held_fold; its tries stay in the scratch folder's `model`."""
@@ -448,9 +491,10 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fol
     dealt = numbered.mapInArrow(_deal(shards, hot_words), DEALT.replace("KEY", kind))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
     scored = dealt.mapInArrow(_score(scratch.path("model"), hot_words, hot_counts, int(total), int(distinct), prior), SCORED.replace("KEY", kind))
-    sums = scored.groupBy("row").agg(F.max("key").alias("key"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    first = -math.log10(train_docs + prior)  # the start of a text as the context of its first token
-    return sums.select(F.col("key").cast(rows.schema["key"].dataType).alias(key), (F.col("row") % 2 == 1).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", (F.col("score") + first).alias("score"))
+    start = -math.log10(train_docs + prior)  # the start of a text as the context of its first token
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sums = scored.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_gather(start), SUMS.replace("KEY", kind))
+    return sums.select(F.col("key").cast(rows.schema["key"].dataType).alias(key), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
