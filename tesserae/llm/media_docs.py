@@ -2,9 +2,10 @@
 
 HTML becomes an ordered list of items: text runs, and media references with their caption
 (figcaption, else alt, else title). References name payloads by digest or by address. The store
-is a table (digest, form, bytes); a reference resolves by a join on its digest, and features
-come from the stored bytes, once for each distinct payload. Items keep their positions and
-captions whether or not they resolve.
+is a table (digest, media); a task writes a form once however often it meets it. Features come
+from the stored bytes, where they lie; only their small rows are grouped by digest, and a
+reference resolves by a join on its digest. Items keep their positions and captions whether or
+not they resolve.
 
 Payloads are kept losslessly as 8-bit grey PNG images, 64 samples wide, made and read here.
 
@@ -31,6 +32,8 @@ from .common import Scratch, pieces, quoted, with_outputs
 
 WIDTH = 64
 STEP = 1 << 20
+#: Digests a writing task remembers.
+MET = 500_000
 ITEM = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("reference", T.StringType()), T.StructField("caption", T.StringType())])
 _MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": None, "embed": "embed"}
 _HIDDEN = {"script", "style", "template", "noscript"}
@@ -183,16 +186,22 @@ def feature_of(payload: bytes) -> str:
 
 
 def stored_payloads(rows: DataFrame, payload: str, scratch: Scratch, name: str = "payloads") -> DataFrame:
-    """rows with n_bytes and the digest (SHA-256) of the stored form of the payload column, and in
-    the shared folder the store (digest, media), each form once. Returns the rows."""
+    """rows with n_bytes, the digest (SHA-256) of the stored form of the payload column and that form
+    as media, where its task met it first (else null), written to the shared folder."""
     packed = rows.select(F.struct(*[quoted(c) for c in rows.columns if c != payload], F.lit(0).alias("__tsr")).alias("row"), quoted(payload).cast("binary").alias("body"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[str] = set()
         for batch in batches:
             for part in pieces(batch, "body", STEP):
                 raw = [x or b"" for x in part.column(1).to_pylist()]
                 forms = [to_png(padded(x)) for x in raw]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in forms]), pa.array(forms, pa.binary())], names=["row", "n_bytes", "digest", "media"])
+                digests = [hashlib.sha256(x).hexdigest() for x in forms]
+                if len(met) > MET:
+                    met.clear()
+                first = [d not in met and not met.add(d) for d in digests]
+                media = [x if new else None for x, new in zip(forms, first)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(digests), pa.array(media, pa.binary())], names=["row", "n_bytes", "digest", "media"])
 
     schema = T.StructType([packed.schema["row"], T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("media", T.BinaryType())])
     return scratch.keep(packed.mapInArrow(store, schema).select("row.*", "n_bytes", "digest", "media").drop("__tsr"), name)
@@ -212,8 +221,9 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_facts(store: DataFrame) -> DataFrame:
-    """Facts and features of a store (digest, media), from the bytes it holds."""
-    return store.select("digest", "media").mapInArrow(_facts, FACTS)
+    """Facts and features of a store (digest, media), from the bytes it holds; one row a digest."""
+    facts = store.filter("media IS NOT NULL").select("digest", "media").mapInArrow(_facts, FACTS)
+    return facts.groupBy("digest").agg(*[F.max(c).alias(c) for c in facts.columns if c != "digest"])
 
 
 def resolved_items(pages: DataFrame, facts: DataFrame, items: str = "items") -> DataFrame:
@@ -237,7 +247,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     page = F.concat(F.lit("<article><h1>Document "), name, F.lit("</h1><figure><img src=\"media/"), F.col("digest"), F.lit(".png\" alt=\"\"><figcaption>Text of "), name, F.lit(" &amp; its padding</figcaption></figure><p>End.</p></article>"))
     pages = interleaved(stored.select("doc_id", "n_bytes", page.alias("html")))
-    store = stored.groupBy("digest").agg(F.max("media").alias("media"))
-    facts = scratch.keep(media_facts(store), "facts")
+    facts = scratch.keep(media_facts(stored), "facts")
     items = resolved_items(pages.drop("html"), facts).filter("item.kind = 'image'")
     return items.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("item.position").alias("position"), F.col("item.caption").alias("caption"))
