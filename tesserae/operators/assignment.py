@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def paired_by_rank(left: DataFrame, right: DataFrame, group: str, value: str, key: str) -> DataFrame:
-    """Optimal for sides of equal size."""
+    """Rows of equal rank; the pairing of least cost for sides of equal size. Rows without a partner stay."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(value, key))
     a = left.select(group, rank.alias("r"), F.col(value).alias("x"), F.col(key).alias("left"))
     b = right.select(group, rank.alias("r"), F.col(value).alias("y"), F.col(key).alias("right"))

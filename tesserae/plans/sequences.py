@@ -44,7 +44,7 @@ def interior_gaps(t: Tables) -> DataFrame:
 
 
 _GRID = """
-cells AS (SELECT DISTINCT event_type, day(ts)::int - 1 AS col, hour(ts)::int AS row FROM events WHERE value > 0 AND (user_id + day(ts) * 7) % 10 < 4 AND NOT (day(ts) % 9 IN (3, 4) AND hour(ts) < 12) AND NOT (day(ts) % 11 IN (7, 8) AND hour(ts) BETWEEN 10 AND 16)),
+cells AS (SELECT event_type, day(ts)::int - 1 AS col, hour(ts)::int AS row FROM events GROUP BY ALL HAVING max(value) > 40),
 spine AS (SELECT event_type, unnest(range(30))::int AS col FROM (SELECT DISTINCT event_type FROM cells)),
 seen AS (SELECT event_type, col, count(*) AS filled FROM cells GROUP BY 1, 2),
 firsts AS (SELECT a.event_type, a.col, min(a.row) AS first FROM cells a JOIN cells b ON a.event_type = b.event_type AND a.col = b.col AND b.row = a.row + 1 JOIN cells c ON a.event_type = c.event_type AND a.col = c.col AND c.row = a.row + 2 GROUP BY 1, 2),
@@ -55,9 +55,8 @@ flank AS (SELECT *, coalesce(last_value(CASE WHEN observed THEN clearance END IG
 
 def _grid(t: Tables) -> DataFrame:
     """Days as columns and hours as rows of one grid for each event type."""
-    day, hour = F.dayofmonth("ts"), F.hour("ts")
-    kept = t.events.filter((F.col("value") > 0) & ((F.col("user_id") + day * 7) % 10 < 4) & ~((day % 9).isin(3, 4) & (hour < 12)) & ~((day % 11).isin(7, 8) & hour.between(10, 16)))
-    return kept.select("event_type", (day - 1).alias("col"), hour.alias("row")).distinct()
+    cells = t.events.groupBy("event_type", (F.dayofmonth("ts") - 1).alias("col"), F.hour("ts").alias("row")).agg(F.max("value").alias("v"))
+    return cells.filter("v > 40").drop("v")
 
 
 @query(f"WITH {_GRID} SELECT event_type, col, observed, clearance, lft AS \"left\", rgt AS \"right\" FROM flank")
