@@ -12,18 +12,20 @@ def radius_pairs(points: DataFrame, keys: list[str], index: str, axes: list[str]
     """(keys, i, j, distance): unordered pairs of one key, i < j, at most `radius` apart and with
     indexes at least `apart` apart. Each point is sent to the cells around it (half of them; the
     other half comes from its partner), so the join is an equality on cells; the exact test follows."""
-    cell = [F.floor(F.col(a) / radius) for a in axes]
-    base = points.select(*keys, F.col(index).alias("i"), *[F.col(a).cast("double").alias(f"x{n}") for n, a in enumerate(axes)], *[c.alias(f"c{n}") for n, c in enumerate(cell)])
+    dims = range(len(axes))
+    cells = [f"__c{n}" for n in dims]
+    base = points.select(*keys, F.col(index).alias("__i"), *[F.col(a).cast("double").alias(f"__x{n}") for n, a in enumerate(axes)], *[F.floor(F.col(a) / radius).alias(c) for a, c in zip(axes, cells)])
     shifts = [()]
     for _ in axes:
         shifts = [(*s, d) for s in shifts for d in (-1, 0, 1)]
     near = F.explode(F.array(*[F.array(*[F.lit(d) for d in s]) for s in shifts if s >= (0,) * len(axes)]))
-    sent = base.withColumn("s", near).select(*keys, F.col("i").alias("j"), *[F.col(f"x{n}").alias(f"y{n}") for n in range(len(axes))], *[(F.col(f"c{n}") + F.col("s")[n]).alias(f"c{n}") for n in range(len(axes))], F.array_max(F.transform("s", F.abs)).alias("moved"))
-    pairs = base.join(sent, [*keys, *[f"c{n}" for n in range(len(axes))]])
-    distance = F.sqrt(sum(((F.col(f"x{n}") - F.col(f"y{n}")) ** 2 for n in range(len(axes))), F.lit(0.0)))
+    sent = base.withColumn("__s", near).select(*keys, F.col("__i").alias("__j"), *[F.col(f"__x{n}").alias(f"__y{n}") for n in dims], *[(F.col(c) + F.col("__s")[n]).alias(c) for n, c in enumerate(cells)], F.array_max(F.transform("__s", F.abs)).alias("__moved"))
+    pairs = base.join(sent, [*keys, *cells])
+    distance = F.sqrt(sum(((F.col(f"__x{n}") - F.col(f"__y{n}")) ** 2 for n in dims), F.lit(0.0)))
     # pairs of one cell meet twice, pairs of two cells once
-    pairs = pairs.withColumn("distance", distance).filter((F.col("distance") <= radius) & (F.abs(F.col("i") - F.col("j")) >= apart) & ((F.col("moved") > 0) | (F.col("i") < F.col("j"))))
-    return pairs.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "distance")
+    once = (F.col("__moved") > 0) | (F.col("__i") < F.col("__j"))
+    pairs = pairs.withColumn("distance", distance).filter((F.col("distance") <= radius) & (F.abs(F.col("__i") - F.col("__j")) >= apart) & once)
+    return pairs.select(*keys, F.least("__i", "__j").alias("i"), F.greatest("__i", "__j").alias("j"), "distance")
 
 
 def ratio_pairs(rows: DataFrame, keys: list[str], index: str, value: str, tolerance: float) -> DataFrame:
@@ -31,11 +33,11 @@ def ratio_pairs(rows: DataFrame, keys: list[str], index: str, value: str, tolera
     the larger. Values fall into logarithmic buckets; neighbours one bucket up are looked at too."""
     step = -math.log(1 - tolerance)
     bucket = F.floor(F.log(F.col(value)) / step)
-    base = rows.filter(F.col(value) > 0).select(*keys, F.col(index).alias("a"), F.col(value).alias("x"), bucket.alias("k"))
-    other = base.withColumn("d", F.explode(F.array(F.lit(0), F.lit(1)))).select(*keys, F.col("a").alias("b"), F.col("x").alias("y"), (F.col("k") - F.col("d")).alias("k"), "d")
-    close = F.abs(F.col("x") - F.col("y")) <= tolerance * F.greatest("x", "y")
-    pairs = base.join(other, [*keys, "k"]).filter(close & ((F.col("d") == 1) | (F.col("a") < F.col("b"))))
-    return pairs.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    base = rows.filter(F.col(value) > 0).select(*keys, F.col(index).alias("__a"), F.col(value).alias("__x"), bucket.alias("__k"))
+    other = base.withColumn("__d", F.explode(F.array(F.lit(0), F.lit(1)))).select(*keys, F.col("__a").alias("__b"), F.col("__x").alias("__y"), (F.col("__k") - F.col("__d")).alias("__k"), "__d")
+    close = F.abs(F.col("__x") - F.col("__y")) <= tolerance * F.greatest("__x", "__y")
+    pairs = base.join(other, [*keys, "__k"]).filter(close & ((F.col("__d") == 1) | (F.col("__a") < F.col("__b"))))
+    return pairs.select(*keys, F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"))
 
 
 def circular_mean(rows: DataFrame, keys: list[str], angle: Column, weight: Column | None = None, fold: int = 4) -> DataFrame:

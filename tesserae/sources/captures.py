@@ -24,7 +24,8 @@ MANIFEST = T.StructType([
 
 
 def folder_of(path: Column, up: int = 1) -> Column:
-    return F.regexp_replace(path, r"(/[^/]*)" * up + "$", "")
+    """The folder of a path, in the one spelling of local paths that listings use."""
+    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "file:/"), r"(/[^/]*)" * up + "$", "")
 
 
 def required(value: Column, ok: Column, message: Column | str) -> Column:
