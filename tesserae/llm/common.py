@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
+        folder = tempfile.mkdtemp(prefix="tesserae-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 

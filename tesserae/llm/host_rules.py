@@ -66,7 +66,7 @@ def rule_failures() -> dict[str, Column]:
     return {
         "base_failed": (c("n_words") < 10) | (100 * c("n_repeat_words") > 20 * c("n_words")),
         "symbol_heavy": 10 * c("n_symbols") > c("word_chars"),
-        "dup_heavy": 10 * c("n_dup_lines") > 3 * c("n_lines"),
+        "dup_heavy": 2 * c("n_dup_lines") > c("n_lines"),
     }
 
 
@@ -130,7 +130,7 @@ m AS (
   FROM d LEFT JOIN u USING (rid)),
 f AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-         10 * n_symbols > word_chars AS symbol_heavy, 10 * n_dup_lines > 3 * n_lines AS dup_heavy
+         10 * n_symbols > word_chars AS symbol_heavy, 2 * n_dup_lines > n_lines AS dup_heavy
   FROM m),
 h AS (SELECT source, count(*) AS n, unnest([1, 2, 3]) AS rule, unnest([sum(base_failed::int), sum(symbol_heavy::int), sum(dup_heavy::int)])::double AS x FROM f GROUP BY source),
 p AS (SELECT rule, sum(x) / sum(n) AS m, sum(x * x / n) / sum(n) AS q, count(*) AS hosts, sum(n) AS docs FROM h GROUP BY rule),

@@ -1,16 +1,16 @@
 """Removal of repeated passages by hashing units.
 
-A unit is a line, or a sentence of one: lines are cut after closing punctuation too, because
-passages are copied into the middle of lines. Units are normalised (lower case, white space
-folded), digested and grouped over the whole corpus. The earliest occurrence, by key, then text
+A unit is a line or a clause of one: lines are cut after punctuation too, because passages are
+copied into the middle of lines. Units are normalised (lower case, white space folded), digested
+to 64 bits and grouped over the whole corpus. The earliest occurrence, by key, then text
 hash, then position, stays; every other occurrence is marked. Marked units that follow each
-other make a run, and runs of at least `min_words` words are removed, so that short sentences
-that recur by chance stay. Spans are offsets in characters of the original text.
+other make a run, and runs of at least `min_words` words are removed, so that short clauses that
+recur by chance (or share a digest by chance) stay. Spans are offsets in characters of the original text.
 
 Defined cases: null and empty texts have no units and come back as they are; null keys rank
 last; rows that repeat key and text are one document and are treated alike; an empty table
 gives an empty result; outputs replace input columns of their name. A passage whose first or
-last sentence is joined to other words keeps that part.
+last clause is joined to other words keeps that part.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -26,19 +27,19 @@ from pyspark.sql import types as T
 
 from .common import Scratch, pieces, quoted, with_outputs
 
-#: Where units end: after a line feed, or before white space that follows closing punctuation
-#: and up to four more signs.
-CUT = re.compile(r"\n|[.!?][^\s]{0,4}(?=[ \t])")
-MIN_WORDS = 10
+#: Where units end: after a line feed, or before white space that follows punctuation and up to
+#: four more signs.
+CUT = re.compile(r"\n|[.!?,;:][^\s]{0,4}(?=[ \t])")
+MIN_WORDS = 20
 
 
-def cut_units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
+def cut_units(text: str) -> Iterator[tuple[int, int, int, int]]:
     """(start, stop, words, digest) of each unit that has words, in order."""
     start = 0
     for stop in [m.end() for m in CUT.finditer(text)] + [len(text)]:
         words = text[start:stop].lower().split()
         if words:
-            yield start, stop, len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+            yield start, stop, len(words), xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
         start = stop
 
 
@@ -56,14 +57,14 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digest.append(d)
             of = pa.array(owner, pa.int32())
             ints = [pa.array(x, pa.int32()) for x in (place, start, stop, words)]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), *ints, pa.array(digest, pa.binary())], names=["k", "h", "p", "start", "stop", "words", "digest"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), *ints, pa.array(np.array(digest, dtype=np.uint64).view(np.int64))], names=["k", "h", "p", "start", "stop", "words", "digest"])
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, min_words: int, scratch: Scratch) -> DataFrame:
     """(k, h, removed): for each document with any, the runs to remove, in order."""
     rows = docs.filter(quoted(text).isNotNull()).select(quoted(key).alias("k"), F.xxhash64(quoted(text)).alias("h"), quoted(text).alias("t"))
     integer, long = T.IntegerType(), T.LongType()
-    schema = T.StructType([rows.schema["k"], T.StructField("h", long), *[T.StructField(c, integer) for c in ("p", "start", "stop", "words")], T.StructField("digest", T.BinaryType())])
+    schema = T.StructType([rows.schema["k"], T.StructField("h", long), *[T.StructField(c, integer) for c in ("p", "start", "stop", "words")], T.StructField("digest", long)])
     units = scratch.keep(rows.mapInArrow(_units, schema), "units")
     place = F.struct(F.col("k").isNull().alias("last"), "k", "h", "p")
     firsts = units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -23,7 +23,7 @@ def rules(rows):
         lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\v\f\r")]
         symbols = sum((text or "").count(c) for c in "#*$%&|<>")
         chars = sum(len(w.decode()) for w in words)
-        facts.append((source, len(words) < 10 or 100 * len(covered) > 20 * len(words), 10 * symbols > chars, 10 * (len(lines) - len(set(lines))) > 3 * len(lines)))
+        facts.append((source, len(words) < 10 or 100 * len(covered) > 20 * len(words), 10 * symbols > chars, 2 * (len(lines) - len(set(lines))) > len(lines)))
     n = Counter(f[0] for f in facts)
     fails = [Counter(f[0] for f in facts if f[r]) for r in (1, 2, 3)]
     rates = []

@@ -44,8 +44,8 @@ def test_against_brute_force(spark):
 
 
 def test_cuts_cover_the_text():
-    text = "One two. Three?! four\n\nfive.### six"
-    assert [text[a:b] for a, b, _, _ in s.cut_units(text)] == ["One two.", " Three?!", " four\n", "five.###", " six"]
+    text = "One two. Three?! four\n\nfive.### six, 1,5"
+    assert [text[a:b] for a, b, _, _ in s.cut_units(text)] == ["One two.", " Three?!", " four\n", "five.###", " six,", " 1,5"]
 
 
 def test_passage_inside_lines_is_removed_once(spark):
