@@ -62,12 +62,14 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def rule_failures() -> dict[str, Column]:
+    """The document rules. None is null, so no null check of theirs is pushed to the scan."""
     c = F.col
-    return {
+    rules = {
         "base_failed": (c("n_words") < 10) | (100 * c("n_repeat_words") > 20 * c("n_words")),
         "symbol_heavy": 10 * c("n_symbols") > c("word_chars"),
         "dup_heavy": 2 * c("n_dup_lines") > c("n_lines"),
     }
+    return {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
 
 
 def host_verdicts(failures: DataFrame, host: str, reject: float = REJECT, watch: float = WATCH) -> DataFrame:
@@ -106,10 +108,11 @@ def host_rules(docs: DataFrame, *, text: str = "text", host: str = "source", rej
     verdicts = scratch.keep(host_verdicts(narrow, "__tsr_host", reject, watch), "hosts")
     verdicts = verdicts.select(F.col("host").alias("__tsr_h"), F.col("rejected").alias("__tsr_rejected"), *[F.col(f"{r}_watched").alias(f"__tsr_{r}") for r in RULES])
     joined = judged.join(verdicts, quoted(host).eqNullSafe(F.col("__tsr_h")), "left")
-    fails = F.lit(False)
+    # One sum, so that no part of a later filter on kept moves below the join and counts again.
+    against = F.col("base_failed").cast("int") + F.coalesce(F.col("__tsr_rejected"), F.lit(False)).cast("int")
     for r in RULES:
-        fails = fails | (F.col(r) & F.coalesce(F.col(f"__tsr_{r}"), F.lit(False)))
-    kept = ~F.col("base_failed") & ~F.coalesce(F.col("__tsr_rejected"), F.lit(False)) & ~fails
+        against = against + (F.col(r) & F.coalesce(F.col(f"__tsr_{r}"), F.lit(False))).cast("int")
+    kept = against == 0
     return with_outputs(joined, {"kept": kept}).drop("__tsr_h", "__tsr_rejected", *[f"__tsr_{r}" for r in RULES])
 
 
