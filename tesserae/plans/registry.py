@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,7 +26,11 @@ def query(sql: str | None = None):
     """Registers f(tables) under its name as a query (spark, folder) -> DataFrame."""
 
     def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return f(Tables(spark, folder))
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f

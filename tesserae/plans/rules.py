@@ -145,7 +145,7 @@ SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_
 def top_k_in_order(t: Tables) -> DataFrame:
     """The five largest of each group, then in their original order."""
     top = t.documents.select("lang", "doc_id", "n_chars").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))).filter("r <= 5")
-    return top.select("lang", "doc_id", "n_chars", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("position"))
+    return top.select("lang", "doc_id", "n_chars", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("long").alias("position"))
 
 
 @query("""

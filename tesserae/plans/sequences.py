@@ -177,7 +177,7 @@ def keyframe_steps(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_id", "value", F.struct("ts", "event_id").alias("o"))
     kept = sequence.keyframes(rows, ["user_id"], "o", 10)
     moved = F.lead("value").over(Window.partitionBy("user_id").orderBy("place")) - F.col("value")
-    return kept.withColumn("m", moved).select("user_id", "place", "event_id", F.round("m", 6).alias("moved"), F.round(wrapped(F.col("m")), 6).alias("turned"))
+    return kept.withColumn("m", moved).select("user_id", F.col("place").cast("long").alias("place"), "event_id", F.round("m", 6).alias("moved"), F.round(wrapped(F.col("m")), 6).alias("turned"))
 
 
 @query(f"""

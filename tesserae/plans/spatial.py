@@ -214,7 +214,7 @@ l AS (SELECT *, sqrt((x - px) ** 2 + (y - py) ** 2) AS la, sqrt((nx - x) ** 2 +
 SELECT label, o, round(x, 6) AS x, round(y, 6) AS y FROM l WHERE abs(((x - px) * (ny - y) - (y - py) * (nx - x)) / (la * lb)) * least(la, lb) > 0.03::double
 """)
 def ring_corners(t: Tables) -> DataFrame:
-    return spatial.corner_vertices(_ring(t), ["label"], "o", "x", "y", 0.03).select("label", "o", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return spatial.corner_vertices(_ring(t), ["label"], "o", "x", "y", 0.03).select("label", F.col("o").cast("long").alias("o"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 _BOXES = "b AS (SELECT vec_id, label, d0 AS x0, d1 AS y0, d0 + abs(d2) AS x1, d1 + abs(d3) AS y1 FROM d)"

@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the session's Python workers, once for each application,
+    unless PYTHONPATH already leads them to it."""
+    package = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="tesserae-source-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/tesserae.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(f"{folder}/tesserae.zip")
+    _shipped.add(context.applicationId)
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "tesserae", memory: str = "8g") -> SparkSession:
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
