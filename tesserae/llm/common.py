@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.session import ship
+
 #: The white space that separates words everywhere in this subpackage: space and \t \n \v \f \r.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +40,7 @@ class Scratch:
     that was kept here. drop() deletes the folder; a result must not read from it then."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tesserae-{uuid.uuid4().hex}"
 

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.session import ship
+
 from .common import Scratch, pieces, quoted, with_outputs
 
 WIDTH = 64
@@ -111,6 +113,7 @@ def items_of(html: str | None) -> list[dict]:
 
 def interleaved(pages: DataFrame, *, html: str = "html", items: str = "items") -> DataFrame:
     """pages with the ordered items of the HTML, array<struct>."""
+    ship(pages.sparkSession)
     packed = pages.select(F.struct(*[quoted(c) for c in pages.columns if c.lower() != items.lower()], F.lit(0).alias("__tsr")).alias("row"), quoted(html).cast("string").alias("__html"))
     arrow = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("reference", pa.string()), ("caption", pa.string())]))
 

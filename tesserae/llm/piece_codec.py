@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.session import ship
+
 from .common import pieces, quoted
 
 SPACE = "▁"
@@ -327,6 +329,7 @@ def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def encode_texts(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids", eos: bool = True, keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """docs (or its columns in keep) with the ids of the text, array<int>; with decoded, also
     the text that these ids decode to, in the same pass."""
+    ship(docs.sparkSession)
     outputs = {ids.lower(), (decoded or ids).lower()}
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in outputs]
     packed = docs.select(F.struct(*[quoted(c) for c in names], F.lit(0).alias("__tsr")).alias("row"), quoted(text).cast("string").alias("__text"))
@@ -348,6 +351,7 @@ def encode_texts(docs: DataFrame, model: str, *, text: str = "text", ids: str =
 
 def decode_ids(encoded: DataFrame, model: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the decoded text; null ids decode to null."""
+    ship(encoded.sparkSession)
     names = [c for c in encoded.columns if c.lower() != out.lower()]
     packed = encoded.select(F.struct(*[quoted(c) for c in names]).alias("row"), F.filter(quoted(ids), lambda x: x.isNotNull()).alias("__ids"))
 

@@ -31,6 +31,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.session import ship
+
 from .common import Scratch, quoted
 
 DATE = "2024-01-01T00:00:00Z"
@@ -217,6 +219,7 @@ def write_packages(pages: DataFrame, folder: str, scratch: Scratch, *, key: str
 
 
 def list_packages(spark: SparkSession, folder: str, pattern: str = "*.wacz") -> DataFrame:
+    ship(spark)
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "length")
 
 
