@@ -51,7 +51,8 @@ def min_cost_pairs(left: DataFrame, right: DataFrame, group: str, value: str, ke
     schema = f"{group} {dict(left.dtypes)[group]}, left {dict(left.dtypes)[key]}, right {dict(right.dtypes)[key]}, cost double"
 
     def pair(keys: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values([value, key], ignore_index=True), b.sort_values([value, key], ignore_index=True)
+        # a side without rows comes without columns
+        a, b = (x.sort_values([value, key], ignore_index=True) if len(x) else pd.DataFrame({value: [], key: []}) for x in (a, b))
         small, large, swap = (a, b, False) if len(a) <= len(b) else (b, a, True)
         to = monotone_assignment(small[value].to_numpy(float), large[value].to_numpy(float)) if len(small) else []
         rows = [(small[key][i], large[key][j], abs(small[value][i] - large[value][j])) for i, j in enumerate(to)]
@@ -60,4 +61,6 @@ def min_cost_pairs(left: DataFrame, right: DataFrame, group: str, value: str, ke
         out.insert(0, group, keys[0])
         return out.astype({"left": "Int64", "right": "Int64"}) if len(out) else out
 
-    return left.groupBy(group).cogroup(right.groupBy(group)).applyInPandas(pair, schema)
+    # columns of their own for each side, which may be two parts of one table
+    a, b = (df.select(*[F.col(c).alias(c) for c in (group, value, key)]) for df in (left, right))
+    return a.groupBy(group).cogroup(b.groupBy(group)).applyInPandas(pair, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.plans import captures, rules, scoring, sequences, spatial  # noqa: F401
+from tesserae.plans import captures, rooms, rules, scoring, sequences, spatial  # noqa: F401
 from tesserae.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import predicates as p
-from tesserae.operators import assignment, calibration, gates, graph, rules, sequence, solve, spatial
+from tesserae.operators import assignment, calibration, gates, graph, rooms, rules, sequence, solve, spatial
 
 
 @pytest.mark.parametrize("error,status", [(0.02, "PASS"), (0.02 + 1e-10, "PASS"), (0.0201, "FAIL")])
@@ -231,3 +231,26 @@ def test_order_of_rows_does_not_matter(spark):
     first = run(rows)
     rng.shuffle(rows)
     assert run(rows) == first and len(first) == 8
+
+
+def test_cross_checked_claims_once(spark):
+    rows = lambda data: spark.createDataFrame(data, "w string, place int, kind string, start double, stop double, score double")
+    geo = rows([("a", 1, "door", 0.0, 1.0, 0.5), ("a", 2, "door", 0.1, 1.1, 0.5), ("b", 1, "door", 0.0, 1.0, 0.9)])
+    sem = rows([("a", 1, "window", 0.0, 1.0, 0.4), ("a", 2, "door", 5.0, 5.8, 0.5), ("a", 3, "door", 8.0, 8.3, 0.9), ("c", 1, "window", 0.0, 2.0, 0.5)])
+    got = sorted((r["w"], r["start"], r["sources"], round(r["score"], 3), r["note"]) for r in rooms.cross_checked(geo, sem, ["w"]).collect())
+    assert got == [("a", 0.0, "geometry+semantic", 0.56, "door or window"), ("a", 0.1, "geometry", 0.5, ""), ("a", 5.0, "semantic", 0.4, ""), ("b", 0.0, "geometry", 0.9, ""), ("c", 0.0, "semantic", 0.4, "")]
+
+
+def test_pairs_where_one_side_is_missing(spark):
+    rows = lambda data: spark.createDataFrame(data, "g string, v double, id long")
+    got = assignment.min_cost_pairs(rows([("a", 1.0, 1), ("b", 1.0, 2)]), rows([("a", 2.0, 7), ("a", 9.0, 8), ("c", 1.0, 9)]), "g", "v", "id").collect()
+    assert sorted((r["g"], r["left"] or 0, r["right"] or 0, r["cost"]) for r in got if r["cost"] is not None) == [("a", 1, 7, 1.0)]
+    assert sorted((r["g"], r["left"] or 0, r["right"] or 0) for r in got if r["cost"] is None) == [("a", 0, 8), ("b", 2, 0), ("c", 0, 9)]
+
+
+def test_shapes_are_pushed_apart():
+    square = np.array([[0, 0], [2, 0], [2, 2], [0, 2]], dtype=float)
+    shapes = [square, square + [0.5, 0.2], square + [1.5, -0.4]]
+    shift, done = rooms.pushed_apart(shapes)
+    assert done and (shift[0] == 0).all()
+    assert max(solve.clip_convex(a + s, b + t) for (a, s), (b, t) in itertools.combinations(zip(shapes, shift), 2)) <= 1e-6
