@@ -191,7 +191,8 @@ def feature_of(payload: bytes) -> str:
 def stored_payloads(rows: DataFrame, payload: str, scratch: Scratch, name: str = "payloads") -> DataFrame:
     """rows with n_bytes, the digest (SHA-256) of the stored form of the payload column and that form
     as media, where its task met it first (else null), written to the shared folder."""
-    packed = rows.select(F.struct(*[quoted(c) for c in rows.columns if c != payload], F.lit(0).alias("__tsr")).alias("row"), quoted(payload).cast("binary").alias("body"))
+    given = [c for c in rows.columns if c != payload and c.lower() not in ("n_bytes", "digest", "media")]
+    packed = rows.select(F.struct(*[quoted(c) for c in given], F.lit(0).alias("__tsr")).alias("row"), quoted(payload).cast("binary").alias("body"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[str] = set()
