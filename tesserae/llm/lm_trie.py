@@ -41,7 +41,7 @@ from .zip_warc import file_system
 PRIOR, PSEUDO = 300.0, 0.1
 HOT = 8192
 #: Tokens that a shard holds, about; and tokens that a task gathers before it deals them.
-SHARD_TOKENS, FLUSH_TOKENS = 8_000_000, 2_000_000
+SHARD_TOKENS, FLUSH_TOKENS = 5_000_000, 2_000_000
 #: Bytes of text read at a time, and words a worker knows at most.
 STEP, KNOWN_WORDS = 1 << 20, 300_000
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -146,10 +146,10 @@ def restored(head: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return head[0] + codes * head[1]
 
 
-def trie_arrays(words: np.ndarray, counts: np.ndarray, owner: np.ndarray, contexts: np.ndarray, pair_counts: np.ndarray, rest: np.ndarray, prior: float) -> list[np.ndarray]:
-    """Levels of a trie. words: sorted hashes; rest: prior * p(w) of each; owner, contexts and
-    pair_counts: by word, then by context hash, the pairs' word index, context and count."""
-    vocabulary, rank = np.unique(contexts, return_inverse=True)
+def trie_arrays(words: np.ndarray, counts: np.ndarray, owner: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray, pair_counts: np.ndarray, rest: np.ndarray, prior: float) -> list[np.ndarray]:
+    """Levels of a trie. words, vocabulary: sorted hashes of words and of contexts; rest: prior *
+    p(w) of each word; owner, rank and pair_counts: by word, then by context, the pairs' word
+    index, context index and count."""
     pointers = np.searchsorted(owner, np.arange(words.size + 1))
     lasts = np.zeros(words.size, dtype=np.int64)
     filled = pointers[1:] > pointers[:-1]
@@ -412,8 +412,10 @@ def _score(folder: str, hot_words: np.ndarray, hot_counts: np.ndarray, total: in
         rank[seen] = np.arange(seen.size)
         rest = prior * 10 ** (np.log10(counts[seen] + PSEUDO) - norm)
         path = f"{folder}/shard-{number:06d}.trie"
-        write_arrays(path, trie_arrays(all_words[seen], counts[seen], rank[pair_word], all_contexts[pair_context], pair_counts, rest, prior))
-        del pairs, pair_counts, pair_word, pair_context, counts, seen, rank, rest
+        used = np.bincount(pair_context, minlength=all_contexts.size) > 0
+        context_rank = (np.cumsum(used, dtype=np.int32) - np.int32(1))[pair_context]
+        write_arrays(path, trie_arrays(all_words[seen], counts[seen], rank[pair_word], all_contexts[used], context_rank, pair_counts, rest, prior))
+        del pairs, pair_counts, pair_word, pair_context, counts, seen, rank, rest, context_rank
         trie = Trie(mapped_arrays(path))
 
         # What a word adds whatever its context.
