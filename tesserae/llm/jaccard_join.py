@@ -40,7 +40,7 @@ HASHES = BANDS * ROWS
 #: Posterior below which a pair is dropped, and after how many values each look comes.
 TOLERANCE, LOOKS = 1e-6, (32, 64, 96, 128, HASHES)
 #: Members of a block of a bucket (signatures) and of a group (shingle sets).
-BUCKET_BLOCK, GROUP_BLOCK = 1024, 512
+BUCKET_BLOCK, GROUP_BLOCK = 512, 512
 
 _rng = np.random.default_rng(20240101)
 MULTIPLIERS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
