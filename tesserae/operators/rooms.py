@@ -200,3 +200,88 @@ def box_grid(boxes: DataFrame, steps: int = 7, low: float = 0.12, high: float =
     n = F.explode(F.sequence(F.lit(0), F.lit(steps * steps - 1)))
     g = big.withColumn("__n", n).withColumn("__i", F.col("__n") % steps).withColumn("__j", F.floor(F.col("__n") / steps))
     return g.withColumn("u", at("x0", "x1", "__i")).withColumn("v", at("y0", "y1", "__j")).drop("__n", "__i", "__j")
+
+
+def point_normals(points: DataFrame, keys: list[str], index: str, axes: tuple[str, str, str], radius: float, most: int = 30) -> DataFrame:
+    """(keys, index, nx, ny, nz, neighbours): the direction of least spread of the nearest `most`
+    points within the radius, null for fewer than three. Points meet in blocks of eight radii with
+    a margin of one radius, so a task holds a block, not a cloud."""
+    side = 8 * radius
+    block = [F.floor(F.col(a) / side) for a in axes]
+    shifts = F.explode(F.array(*[F.array(*[F.lit(d) for d in s]) for s in np.ndindex(3, 3, 3)]))
+    sent = points.select(*keys, index, *axes).withColumn("__s", shifts)
+    for n, a in enumerate(axes):
+        sent = sent.withColumn(f"__b{n}", block[n] + F.col("__s")[n] - 1)
+    close = F.lit(True)
+    for n, a in enumerate(axes):
+        close = close & (F.col(a) >= F.col(f"__b{n}") * side - radius) & (F.col(a) <= (F.col(f"__b{n}") + 1) * side + radius)
+    sent = sent.filter(close).withColumn("__own", (F.col("__s")[0] == 1) & (F.col("__s")[1] == 1) & (F.col("__s")[2] == 1)).drop("__s")
+    kinds = dict(points.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{index} {kinds[index]}, nx double, ny double, nz double, neighbours int"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf[list(axes)].to_numpy(float)
+        own = np.flatnonzero(pdf["__own"].to_numpy(bool))
+        rows = []
+        for i in own:
+            d = ((p - p[i]) ** 2).sum(axis=1)
+            near = np.flatnonzero(d <= radius * radius)
+            if near.size > most:
+                near = near[np.lexsort((pdf[index].to_numpy()[near], d[near]))[:most]]
+            if near.size < 3:
+                rows.append((np.nan, np.nan, np.nan, near.size))
+                continue
+            q = p[near] - p[near].mean(axis=0)
+            v = np.linalg.eigh(q.T @ q)[1][:, 0]
+            v *= np.sign(v[np.abs(v).argmax()])
+            rows.append((*v, near.size))
+        out = pdf.iloc[own][[*keys, index]].reset_index(drop=True)
+        return pd.concat([out, pd.DataFrame(rows, columns=["nx", "ny", "nz", "neighbours"])], axis=1).astype({"neighbours": "int32"}) if len(out) else pd.DataFrame(columns=[*keys, index, "nx", "ny", "nz", "neighbours"])
+
+    return sent.groupBy(*keys, "__b0", "__b1", "__b2").applyInPandas(run, schema)
+
+
+def boundary_edges(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges (x0, y0, x1, y1) of the union of cells (u0, u1, v0, v1) of one arrangement, directed
+    with the inside on the left: an edge that two cells share is met in both directions and goes."""
+    e = lambda a, b, c, d, s: F.struct(F.col(a).alias("x0"), F.col(b).alias("y0"), F.col(c).alias("x1"), F.col(d).alias("y1"), F.lit(s).alias("way"))
+    edges = F.explode(F.array(e("u0", "v0", "u1", "v0", 1), e("u1", "v0", "u1", "v1", 1), e("u0", "v1", "u1", "v1", -1), e("u0", "v0", "u0", "v1", -1)))
+    counted = cells.select(*keys, edges.alias("e")).select(*keys, "e.*").groupBy(*keys, "x0", "y0", "x1", "y1").agg(F.sum("way").alias("way")).filter("way <> 0")
+    back = F.col("way") < 0
+    return counted.select(*keys, F.when(back, F.col("x1")).otherwise(F.col("x0")).alias("x0"), F.when(back, F.col("y1")).otherwise(F.col("y0")).alias("y0"), F.when(back, F.col("x0")).otherwise(F.col("x1")).alias("x1"), F.when(back, F.col("y0")).otherwise(F.col("y1")).alias("y1"))
+
+
+def rings(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ring, place, x, y): boundary edges chained into rings without collinear vertices; at a
+    vertex of two ways the sharpest left turn is taken, so touching parts stay apart."""
+    kinds = dict(edges.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "ring int, place int, x double, y double"])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out: dict[tuple, list[tuple]] = {}
+        for a in pdf.sort_values(["x0", "y0", "x1", "y1"]).itertuples():
+            out.setdefault((a.x0, a.y0), []).append((a.x1, a.y1))
+        found, ring = [], 0
+        while any(out.values()):
+            start = min(p for p, to in out.items() if to)
+            at, path = start, []
+            before = None
+            while True:
+                ways = out[at]
+                if before is not None and len(ways) > 1:
+                    turn = lambda to: np.arctan2((at[0] - before[0]) * (to[1] - at[1]) - (at[1] - before[1]) * (to[0] - at[0]), (at[0] - before[0]) * (to[0] - at[0]) + (at[1] - before[1]) * (to[1] - at[1]))  # noqa: B023, E731
+                    to = max(ways, key=turn)
+                else:
+                    to = ways[0]
+                ways.remove(to)
+                path.append(at)
+                before, at = at, to
+                if at == start:
+                    break
+            n = len(path)
+            corners = [p for i, p in enumerate(path) if (p[0] - path[i - 1][0]) * (path[(i + 1) % n][1] - p[1]) != (p[1] - path[i - 1][1]) * (path[(i + 1) % n][0] - p[0])]
+            found += [(*key, ring, i, x, y) for i, (x, y) in enumerate(corners)]
+            ring += 1
+        return pd.DataFrame(found, columns=[*keys, "ring", "place", "x", "y"]).astype({"ring": "int32", "place": "int32"})
+
+    return edges.select(*keys, "x0", "y0", "x1", "y1").groupBy(*keys).applyInPandas(run, schema)

@@ -179,3 +179,30 @@ def confidence_stats(t: Tables) -> DataFrame:
     w = f.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("z"), "user_id")))
     five = F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "user_id")))), lambda x: x["user_id"].cast("string"))
     return w.groupBy("event_type").agg(F.round(F.avg("z"), 6).alias("mean"), F.round(F.percentile("z", 0.9), 6).alias("p90"), F.round(F.max("z"), 6).alias("worst"), F.concat(F.lit("["), F.array_join(five, ", "), F.lit("]")).alias("worst_frames"))
+
+
+_PLAN = """f AS (SELECT DISTINCT label, floor(embedding[1]::double / 0.1::double)::bigint AS cx, floor(embedding[2]::double / 0.1::double)::bigint AS cy FROM embeddings),
+e AS (SELECT label, cx AS x0, cy AS y0, cx + 1 AS x1, cy AS y1, 1 AS way FROM f UNION ALL SELECT label, cx + 1, cy, cx + 1, cy + 1, 1 FROM f UNION ALL SELECT label, cx, cy + 1, cx + 1, cy + 1, -1 FROM f UNION ALL SELECT label, cx, cy, cx, cy + 1, -1 FROM f),
+s AS (SELECT label, x0, y0, x1, y1, sum(way) AS way FROM e GROUP BY ALL HAVING sum(way) <> 0)"""
+
+
+def _floor_cells(t: Tables) -> DataFrame:
+    cells = histogram.cells_of(_points(t), ["label"], F.col("x"), F.col("y"), 0.1)
+    return cells.select("label", F.col("cx").alias("u0"), (F.col("cx") + 1).alias("u1"), F.col("cy").alias("v0"), (F.col("cy") + 1).alias("v1"))
+
+
+@query(f"WITH {_PLAN} SELECT label, CASE WHEN way < 0 THEN x1 ELSE x0 END AS x0, CASE WHEN way < 0 THEN y1 ELSE y0 END AS y0, CASE WHEN way < 0 THEN x0 ELSE x1 END AS x1, CASE WHEN way < 0 THEN y0 ELSE y1 END AS y1 FROM s")
+def plan_edges(t: Tables) -> DataFrame:
+    return rooms.boundary_edges(_floor_cells(t), ["label"])
+
+
+@query()
+def plan_rings(t: Tables) -> DataFrame:
+    return rooms.rings(rooms.boundary_edges(_floor_cells(t), ["label"]), ["label"])
+
+
+@query()
+def point_normals(t: Tables) -> DataFrame:
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double").alias(f"d{i}")
+    out = rooms.point_normals(t.embeddings.select("label", "vec_id", at(0), at(1), at(2)), ["label"], "vec_id", ("d0", "d1", "d2"), 0.2)
+    return out.select("label", "vec_id", *[F.round(c, 6).alias(c) for c in ("nx", "ny", "nz")], "neighbours")

@@ -254,3 +254,28 @@ def test_shapes_are_pushed_apart():
     shift, done = rooms.pushed_apart(shapes)
     assert done and (shift[0] == 0).all()
     assert max(solve.clip_convex(a + s, b + t) for (a, s), (b, t) in itertools.combinations(zip(shapes, shift), 2)) <= 1e-6
+
+
+def test_rings_of_an_arrangement(spark):
+    """A ring with a hole, and a cell that touches it at a corner: areas add up to the cells'."""
+    cells = [(x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)] + [(3, 3)]
+    df = spark.createDataFrame([("k", float(x), x + 1.0, float(y), y + 1.0) for x, y in cells], "k string, u0 double, u1 double, v0 double, v1 double")
+    found = {}
+    for r in rooms.rings(rooms.boundary_edges(df, ["k"]), ["k"]).orderBy("ring", "place").collect():
+        found.setdefault(r["ring"], []).append((r["x"], r["y"]))
+    area = lambda p: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) / 2
+    assert sorted(map(area, found.values())) == [-1.0, 1.0, 9.0]
+    assert sorted(map(len, found.values())) == [4, 4, 4]
+
+
+def test_normals_of_planes_across_blocks(spark):
+    rng = np.random.default_rng(3)
+    flat = [(i, x, y, 0.001 * e) for i, (x, y, e) in enumerate(rng.uniform(-1, 1, (400, 3)).tolist())]
+    upright = [(1000 + i, 5 + 0.001 * e, x, y) for i, (x, y, e) in enumerate(rng.uniform(-1, 1, (400, 3)).tolist())]
+    df = spark.createDataFrame([("k", *r) for r in [*flat, *upright, (9999, 50.0, 50.0, 50.0)]], "k string, i int, x double, y double, z double")
+    got = {r["i"]: r for r in rooms.point_normals(df, ["k"], "i", ("x", "y", "z"), 0.3).collect()}
+    assert len(got) == 801 and got[9999]["neighbours"] == 1
+    assert all(got[i]["nz"] > 0.99 for i in range(400) if got[i]["neighbours"] > 4)
+    assert all(got[i]["nx"] > 0.99 for i in range(1000, 1400) if got[i]["neighbours"] > 4)
+    p = np.array([r[1:] for r in flat])
+    assert all(got[i]["neighbours"] == min(30, ((p - p[i]) ** 2).sum(axis=1).__le__(0.09).sum()) for i in range(400))
