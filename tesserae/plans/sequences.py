@@ -14,7 +14,7 @@ _HOURS = "h AS (SELECT DISTINCT user_id, (epoch(ts) / 3600)::bigint - 473352 AS
 
 def _hours(t: Tables) -> DataFrame:
     """Hours from 2024-01-01 with an event, per user."""
-    return t.events.select("user_id", (F.floor(F.unix_seconds(F.date_trunc("hour", "ts").cast("timestamp_ltz")) / 3600) - 473352).alias("hour")).distinct()
+    return t.events.select("user_id", (F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")).cast("long").alias("hour")).distinct()
 
 
 @query(f"""
