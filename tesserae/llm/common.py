@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tesserae-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
