@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Scratch, let, quoted, with_outputs, words_of
+from .common import Scratch, let, quoted, with_outputs, words_of
 
 #: A host is rejected when a shrunk rate of one rule is above REJECT. On a host with a shrunk
 #: rate above WATCH, the documents that fail that rule themselves are rejected.

@@ -22,7 +22,6 @@ columns other than key and text do not matter.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np

@@ -17,7 +17,6 @@ an empty table makes no archive and reads as no rows; other input columns are no
 from __future__ import annotations
 
 import gzip
-import hashlib
 import io
 import json
 import struct
