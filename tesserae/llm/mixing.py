@@ -37,17 +37,18 @@ def _unit(text: Column) -> Column:
 
 
 def source_targets(sources: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(src, source_size) to (src, source_size, target). Sources are ranked over one small table."""
-    by_name = Window.orderBy(F.col("src").asc_nulls_last())
+    """(src, source_size) to (src, source_size, target). Sources are ranked over one small table; the
+    null source ("") is the last."""
+    by_name = Window.orderBy(F.col("src") == "", "src")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = sources.withColumn("w", F.get(cycle, (F.row_number().over(by_name) - 1) % len(weights)))
     ranked = ranked.withColumn("limit", cap * F.col("source_size")).withColumn("ratio", F.col("limit") / F.col("w"))
     everyone = Window.partitionBy(F.lit(1))
-    before = Window.orderBy("ratio", F.col("src").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("ratio", F.col("src") == "", "src").rowsBetween(Window.unboundedPreceding, -1)
     total = share * F.sum("source_size").over(everyone)
     free = F.sum("w").over(everyone) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
     left = total - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    level = ranked.withColumn("level", left / free).withColumn("place", F.row_number().over(Window.orderBy("ratio", F.col("src").asc_nulls_last())))
+    level = ranked.withColumn("level", left / free).withColumn("place", F.row_number().over(Window.orderBy("ratio", F.col("src") == "", "src")))
     level = level.withColumn("level", F.min_by(F.when(F.col("level") < F.col("ratio"), F.col("level")), F.when(F.col("level") < F.col("ratio"), F.col("place"))).over(everyone))
     return level.select("src", "source_size", F.coalesce(F.least(F.col("limit"), F.col("level") * F.col("w")), F.col("limit")).alias("target"))
 
@@ -56,24 +57,25 @@ def mix_sources(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sou
     """docs with size, source_size, target and copies (how often the mix takes the row)."""
     sized = docs.withColumn("__tsr_size", F.regexp_count(F.coalesce(quoted(text), F.lit("")), F.lit(WORD)).cast("long"))
     name = F.md5(F.coalesce(quoted(key).cast("string"), F.lit("")))
-    placed = sized.withColumns({"__tsr_class": _class_of(F.col("__tsr_size")), "__tsr_hash": name, "__tsr_slice": F.conv(F.substring(name, 1, 2), 16, 10).cast("int") % SLICES, "__tsr_src": quoted(source)})
+    placed = sized.withColumns({"__tsr_class": _class_of(F.col("__tsr_size")), "__tsr_hash": name, "__tsr_slice": F.conv(F.substring(name, 1, 2), 16, 10).cast("int") % SLICES, "__tsr_src": F.coalesce(F.concat(F.lit("s"), quoted(source).cast("string")), F.lit(""))})
     scratch = Scratch(docs.sparkSession)
     cells = scratch.keep(
         placed.groupBy("__tsr_src", "__tsr_class", "__tsr_slice").agg(F.count(F.lit(1)).alias("n"), F.sum("__tsr_size").alias("words")).toDF("src", "cls", "slice", "n", "words"), "cells")
     classes = cells.groupBy("src", "cls").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     targets = source_targets(classes.groupBy("src").agg(F.sum("words").alias("source_size")), weights, share, cap)
+    # src is "s" and the source's name, "" for null: an order of names in which null comes first,
+    # and plain equality, so that the join and the window below share one exchange of the rows.
     up_to = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.withColumn("before", F.coalesce(F.sum("n").over(up_to("src").orderBy("cls")), F.lit(0)))
     inside = cells.withColumn("inside", F.coalesce(F.sum("n").over(up_to("src", "cls").orderBy("slice")), F.lit(0)))
-    same = lambda a, b: a["src"].eqNullSafe(b["src"])
-    starts = inside.join(classes, same(inside, classes) & (inside["cls"] == classes["cls"])).select(inside["src"], inside["cls"], "slice", (F.col("before") + F.col("inside")).alias("start"))
-    starts = starts.join(targets, same(starts, targets)).select(starts["src"].alias("__s"), F.col("cls").alias("__c"), F.col("slice").alias("__l"), "start", "source_size", "target")
+    starts = inside.join(classes.select("src", "cls", "before"), ["src", "cls"]).select("src", "cls", "slice", (F.col("before") + F.col("inside")).alias("start"))
+    starts = starts.join(targets, "src").select("src", "cls", "slice", "start", "source_size", "target")
     starts = scratch.keep(starts.toDF("__tsr_s", "__tsr_c", "__tsr_l", "__tsr_start", "__tsr_total", "__tsr_target"), "starts")
-    joined = placed.join(starts, F.col("__tsr_src").eqNullSafe(F.col("__tsr_s")) & (F.col("__tsr_class") == F.col("__tsr_c")) & (F.col("__tsr_slice") == F.col("__tsr_l")))
+    joined = placed.hint("merge").join(starts, (F.col("__tsr_src") == F.col("__tsr_s")) & (F.col("__tsr_class") == F.col("__tsr_c")) & (F.col("__tsr_slice") == F.col("__tsr_l")))
     order = Window.partitionBy("__tsr_src", "__tsr_class", "__tsr_slice").orderBy("__tsr_hash", "__tsr_size")
     rank = F.col("__tsr_start") + F.row_number().over(order)
     rate = F.when(F.col("__tsr_total") > 0, F.col("__tsr_target") / F.col("__tsr_total")).otherwise(0.0)
-    offset = _unit(F.concat(F.coalesce(F.col("__tsr_src"), F.lit("")), F.lit("|" + seed)))
+    offset = _unit(F.concat(F.coalesce(quoted(source).cast("string"), F.lit("")), F.lit("|" + seed)))
     copies = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
     out = with_outputs(joined, {"size": F.col("__tsr_size"), "source_size": F.col("__tsr_total"), "target": F.col("__tsr_target"), "copies": copies.cast("long")})
     return out.select(*[quoted(c) for c in out.columns if not c.startswith("__tsr_")])

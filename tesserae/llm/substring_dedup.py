@@ -81,7 +81,8 @@ def dedup_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     scratch = scratch or Scratch(docs.sparkSession)
     spans = scratch.keep(repeated_spans(docs, key, text, min_words, scratch), "spans")
     spans = spans.select(F.col("k").alias("__tsr_k"), F.col("h").alias("__tsr_h"), F.col("removed").alias("__tsr_r"))
-    joined = docs.join(spans, quoted(key).eqNullSafe(F.col("__tsr_k")) & (F.xxhash64(quoted(text)) == F.col("__tsr_h")), "left")
+    # A sorted merge at every size: texts move once, spans are never broadcast.
+    joined = docs.hint("merge").join(spans, quoted(key).eqNullSafe(F.col("__tsr_k")) & (F.xxhash64(quoted(text)) == F.col("__tsr_h")), "left")
     r, t = F.col("__tsr_r"), quoted(text)
     head = F.substring(t, F.lit(1), F.get(r, F.lit(0))["start"])
     between = F.transform(r, lambda x, i: F.substring(t, x["stop"] + 1, F.coalesce(F.get(r, i + 1)["start"], F.length(t)) - x["stop"]))
