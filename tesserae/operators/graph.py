@@ -6,26 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (node), undirected edges (a, b) to (node, component): the least node of each component.
 
-    Every round takes the least label among neighbours and then that label's own label, so rounds
-    grow with the logarithm of the diameter. Rounds are cut off by checkpoint() where the session
-    has a checkpoint folder."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    In every round each node that has edges hooks to its least neighbour. Such hooks close circles of
+    two nodes only, whose lesser node is the root of a tree; trees are flattened by pointer jumping
+    and become the nodes of the next round. A tree has two nodes or more, so rounds grow with the
+    logarithm of the nodes, and jumps in a round with that of a tree's height; the loop ends when no
+    edge is left. Rounds are cut off by checkpoint() where the session has a checkpoint folder."""
     cut = edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     hold = (lambda df: df.checkpoint()) if cut else (lambda df: df.cache())
-    both, labels = hold(both), hold(nodes.select("node", F.col("node").alias("label")).distinct())
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        over = labels.select(F.col("node").alias("o"), F.col("label").alias("jump"))
-        new = hold(lower.join(over, F.col("label") == F.col("o"), "left").select("node", "old", F.least("label", F.coalesce("jump", "label")).alias("label")))
-        done = new.filter("old <> label").limit(1).count() == 0
-        labels = new.select("node", "label")
-        if done:
-            break
-    return labels.select("node", F.col("label").alias("component"))
+    labels = hold(nodes.select("node", F.col("node").alias("label")).distinct())
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
+    for end in ("a", "b"):
+        both = both.join(labels.select(F.col("node").alias(end)), end, "left_semi")
+    both = hold(both.select("a", "b").distinct())
+    while both.limit(1).count():
+        hooks = hold(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("up")))
+        while True:
+            over = hooks.select(F.col("v").alias("o"), F.col("up").alias("jump"))
+            jumped = hold(hooks.join(over, F.col("up") == F.col("o")).select("v", F.col("up").alias("old"), F.when(F.col("jump") == F.col("v"), F.least("v", "up")).otherwise(F.col("jump")).alias("up")))
+            moved = jumped.filter("old <> up").limit(1).count()
+            hooks = jumped.select("v", "up")
+            if not moved:
+                break
+        labels = hold(labels.join(hooks, F.col("label") == F.col("v"), "left").select("node", F.coalesce("up", "label").alias("label")))
+        for end in ("a", "b"):
+            both = both.join(hooks.select(F.col("v").alias(end), F.col("up").alias(f"r_{end}")), end)
+        both = hold(both.filter("r_a <> r_b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).distinct())
+    least = labels.groupBy(F.col("label").alias("l")).agg(F.min("node").alias("component"))
+    return labels.join(least, F.col("label") == F.col("l")).select("node", "component")
 
 
 def representatives(members: DataFrame, group: str, node: str, order: list[Column]) -> DataFrame:

@@ -173,6 +173,34 @@ def test_components_of_long_chains(spark):
     assert got == {n: 0 if n <= 30 else 31 if n <= 60 else 100 if n < 200 else 999 for n in nodes}
 
 
+def test_components_of_a_path_that_descends_away_from_its_least_node(spark):
+    path = [0, *range(100, 0, -1)]  # the least label has to walk against ever lower neighbours
+    edges = [*zip(path, path[1:]), (200, 200), (201, 300), (300, None)]
+    nodes = [(n,) for n in [*path, 200, 201, 202]]  # 300 is no node: it joins nothing
+    got = graph.components(spark.createDataFrame(nodes, "node long"), spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [*((n, 0) for n in range(101)), (200, 200), (201, 201), (202, 202)]
+
+
+def test_components_of_random_forests(spark):
+    rng = random.Random(3)
+    edges = [(n, rng.randrange(max(0, n - 3), n)) for n in range(1, 400) if rng.random() < 0.97]
+    name = rng.sample(range(1000), 400)
+    root = list(range(400))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    least = {}
+    for n in range(400):
+        least[find(n)] = min(least.get(find(n), 1000), name[n])
+    got = graph.components(spark.createDataFrame([(n,) for n in name], "node long"), spark.createDataFrame([(name[a], name[b]) for a, b in edges], "a long, b long")).collect()
+    assert dict(map(tuple, got)) == {name[n]: least[find(n)] for n in range(400)} and len(got) == 400
+
+
 def test_pose_graph_closes_a_loop():
     n = 40
     t = 2 * np.pi * np.arange(n) / (n - 1)
