@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least id stays."""
-    return jaccard_join.one_of_each(docs, jaccard_join.similar_texts(docs)).select(*COLUMNS)
+    """Of each class of linked documents one row, that with the least id, stays."""
+    return jaccard_join.one_of_each(docs, jaccard_join.similar_texts(docs, verdicts=True)).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ with probability 3e-6 and is pruned with probability about 1e-5.
 
 Defined cases: null, empty and blank texts have no shingles, link to nothing and are classes of
 their own; null keys rank below none (a class takes its least non-null key; it has a null id if
-all keys are null); rows that repeat a key share its class; an empty table gives an empty result;
-columns other than key and text do not matter.
+all keys are null); rows that repeat a key have each the class of their own text; an empty table
+gives an empty result; columns other than key and text do not matter, but for which of the rows of
+one key and text stands for its class.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,7 +110,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = iter(signatures(flat, at))
             signed = [next(rows).tobytes() if n else None for n in size.tolist()]
             digest = np.array([xxhash.xxh64_intdigest(flat[a:b].tobytes()) for a, b in zip(at, at[1:])], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest), pa.array(size), pa.array(signed, pa.binary())], names=["key", "h", "node", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(digest), pa.array(size), pa.array(signed, pa.binary())], names=["key", "h", "r", "node", "size", "sig"])
 
 
 # --- pruning -------------------------------------------------------------------------------
@@ -298,18 +299,22 @@ def streamed(rows: DataFrame, *keys: str) -> DataFrame:
 # --- the join ------------------------------------------------------------------------------
 
 
-def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, scratch: Scratch | None = None) -> DataFrame:
+def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, scratch: Scratch | None = None, verdicts: bool = False) -> DataFrame:
     """Per row: the key, class_id (least key of its connected component of links), n_links (other
-    shingle sets at the threshold or above) and n_copies (rows with the same shingle set)."""
+    shingle sets at the threshold or above) and n_copies (rows with the same shingle set).
+
+    With verdicts also what one_of_each needs, as keys may be null or repeat: text_hash and
+    rest_hash, which tell rows apart, and stands (whether the row, or one equal to it in all columns,
+    stands for its class; null for texts without shingles)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    rows = docs.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("h"), quoted(text).cast("string").alias("text"))
+    rows = docs.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("h"), quoted(text).cast("string").alias("text"), (_rest_hash(docs, text) if verdicts else F.lit(0).cast("long")).alias("r"))
     long = T.LongType()
-    schema = T.StructType([rows.schema["key"], *[T.StructField(c, long) for c in ("h", "node", "size")], T.StructField("sig", T.BinaryType())])
+    schema = T.StructType([rows.schema["key"], *[T.StructField(c, long) for c in ("h", "r", "node", "size")], T.StructField("sig", T.BinaryType())])
     signed = scratch.keep(rows.mapInArrow(_sets, schema), "signed")
-    least = F.struct(F.col("key").isNull().alias("last"), "key", "h")
+    least = F.struct(F.col("key").isNull().alias("last"), "key", "h", "r")
     nodes = signed.filter("size > 0").groupBy("node").agg(F.min(least).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("sig").alias("sig"))
-    nodes = scratch.keep(nodes.select("node", F.col("first.key").alias("key"), F.col("first.h").alias("h"), "copies", "sig"), "nodes")
+    nodes = scratch.keep(nodes.select("node", F.col("first.key").alias("key"), F.col("first.h").alias("h"), F.col("first.r").alias("r"), "copies", "sig"), "nodes")
 
     # Buckets with two nodes or more; buckets of the same members are one.
     part = lambda b: F.substring("sig", b * ROWS * 4 + 1, ROWS * 4)
@@ -336,21 +341,42 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     links = linked.groupBy(F.col("node").alias("n")).agg(F.sum("links").alias("links"))
     classes = components(linked.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), scratch, "classes")
 
-    known = nodes.select("node", "key", "copies").join(classes.select(F.col("node").alias("c"), "label"), F.col("node") == F.col("c"), "left").join(links, F.col("node") == F.col("n"), "left")
-    known = known.select("node", "key", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    known = nodes.select("node", "key", "h", "r", "copies").join(classes.select(F.col("node").alias("c"), "label"), F.col("node") == F.col("c"), "left").join(links, F.col("node") == F.col("n"), "left")
+    known = known.select("node", "key", "h", "r", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     known = scratch.keep(known, "known")
-    ids = scratch.keep(known.groupBy("label").agg(F.min("key").alias("class_id")).select(F.col("label").alias("l"), "class_id"), "ids")
-    final = scratch.keep(known.join(ids, F.col("label") == F.col("l")).select(F.col("node").alias("n"), "class_id", "links", "copies"), "final")
-    out = signed.select("key", "node", "size").join(final.hint("merge"), (F.col("node") == F.col("n")) & (F.col("size") > 0), "left")
+    ids = known.groupBy("label").agg(F.min(least).alias("first"))
+    ids = scratch.keep(ids.select(F.col("label").alias("l"), F.col("first.key").alias("class_id"), F.col("first.h").alias("class_h"), F.col("first.r").alias("class_r")), "ids")
+    final = scratch.keep(known.join(ids, F.col("label") == F.col("l")).select(F.col("node").alias("n"), "class_id", "class_h", "class_r", "links", "copies"), "final")
+    out = signed.select("key", "h", "r", "node", "size").join(final.hint("merge"), (F.col("node") == F.col("n")) & (F.col("size") > 0), "left")
     alone = F.col("size") == 0
-    return out.select(F.col("key").alias(key), F.when(alone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
-
-
-def one_of_each(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs that stand for their class: those whose key is the class's id. Rows with a
-    null key stay if all keys of their class are null; rows that repeat a key stay together."""
-    others = classes.filter(~quoted(key).eqNullSafe(F.col("class_id"))).select(quoted(key).alias("__tsr_k")).distinct()
-    return docs.join(others, quoted(key).eqNullSafe(F.col("__tsr_k")), "left_anti")
+    told = [F.col("h").alias("text_hash"), F.col("r").alias("rest_hash"), F.when(~alone, (F.col("h") == F.col("class_h")) & (F.col("r") == F.col("class_r"))).alias("stands")] if verdicts else []
+    return out.select(F.col("key").alias(key), F.when(alone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), *told)
+
+
+def _rest_hash(docs: DataFrame, text: str) -> Column:
+    """Of all columns of a row but its text."""
+    return F.xxhash64(F.to_json(F.struct(*[quoted(c) for c in docs.columns if c != text])))
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame | None = None, key: str = "doc_id", *, text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row of docs for each class: that with the least key (any key comes before null), then by
+    hashes of the text and of the other columns. Texts without shingles all stay.
+
+    classes is similar_texts(docs, verdicts=True). Without verdicts it cannot tell rows of one key
+    apart and is made again, at this threshold."""
+    if classes is None or "stands" not in classes.columns:
+        classes = similar_texts(docs, key=key, text=text, threshold=threshold, tolerance=tolerance, verdicts=True)
+    ids = [F.col("text_hash").alias("__tsr_h"), F.col("rest_hash").alias("__tsr_r")]
+    named = docs.withColumns({"__tsr_th": F.xxhash64(quoted(text)), "__tsr_rh": _rest_hash(docs, text)})
+    same = (F.col("__tsr_th") == F.col("__tsr_h")) & (F.col("__tsr_rh") == F.col("__tsr_r"))
+    others = classes.filter(~F.col("stands")).select(*ids).distinct()
+    repeated = classes.filter("stands").groupBy(*ids).count().filter("count > 1").drop("count")
+    if not repeated.limit(1).count():
+        return named.join(others, same, "left_anti").select(*map(quoted, docs.columns))
+    # Rows equal in all columns: they alone are grouped.
+    once = named.join(others.union(repeated), same, "left_anti")
+    again = named.join(repeated, same, "left_semi").dropDuplicates(["__tsr_th", "__tsr_rh"])
+    return once.union(again).select(*map(quoted, docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

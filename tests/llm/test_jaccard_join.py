@@ -91,3 +91,21 @@ def test_one_of_each(spark):
     docs = spark.createDataFrame([(4, text, 1), (2, text, 2), (None, text, 3), (9, "x", 4)], "doc_id long, text string, class_id int")
     kept = j.one_of_each(docs, j.similar_texts(docs)).collect()
     assert sorted(r["doc_id"] for r in kept) == [2, 9]
+
+
+@pytest.mark.parametrize("verdicts", [True, False])
+def test_one_of_each_where_keys_do_not_tell_rows_apart(spark, verdicts):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [
+        (1, a, "p"), (None, a, "q"), (None, b, "r"), (None, "", "s"), (None, None, "t"), (None, "", "s"),  # one null key in a class with an id
+        (None, c, "u"), (None, c, "v"), (None, c + " more", "w"),  # null keys only
+        (5, a, "x"), (5, d, "y"),  # one key, one of its texts a copy
+        (7, e, "z"), (7, e, "z"), (7, e.upper(), "z"), (8, e, "z"),  # copies that share the least key
+        (9, " ", "i"), (9, " ", "i"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted(map(tuple, j.one_of_each(docs, j.similar_texts(docs, verdicts=verdicts) if verdicts else j.similar_texts(docs)).collect()), key=str)
+    of = lambda *texts: [r for r in kept if r[1] in texts]
+    assert of(a) == [(1, a, "p")] and of(b) == [(None, b, "r")] and of(d) == [(5, d, "y")]
+    assert len(of(c, c + " more")) == 1 and len(of(e, e.upper())) == 1 and of(e, e.upper())[0][0] == 7
+    assert len(of("", None)) == 3 and len(of(" ")) == 2 and len(kept) == 10
