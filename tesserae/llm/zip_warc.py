@@ -4,7 +4,8 @@ A package is a ZIP file with stored (uncompressed) members: `archive/*.warc.gz`,
 are gzip members of their own, and `indexes/index.cdx` with one line for each record. The
 reader parses the end record, the ZIP64 end record and the central directory from the file's
 tail, finds each stored member's data through its local header, and reads records by byte
-range. Archives without an index are scanned once, record by record, to make one.
+range. An archive that no index line names is scanned once, record by record, to make one; the others
+are read as their lines say. Indexes may be gzipped, and their lines CDXJ (key, time, JSON).
 
 Files are opened with pyarrow.fs (file, hdfs, s3, gs); listings come from Spark.
 
@@ -222,6 +223,13 @@ def list_packages(spark: SparkSession, folder: str, pattern: str = "*.wacz") ->
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "length")
 
 
+def _names(line: dict, archive: str) -> bool:
+    """Whether an index line is of this archive: `member` is its path, CDXJ's `filename` may be the end of it."""
+    if "member" not in line and "filename" in line:
+        return archive == line["filename"] or archive.endswith("/" + line["filename"])
+    return line.get("member", "archive/data.warc.gz") == archive
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("path", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string())])
     for batch in batches:
@@ -235,12 +243,18 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for m in (m for m in members if m["name"].startswith("indexes/")):
                     raw = read_at(data_offset(read_at, m), m["stored"])
                     raw = raw if m["method"] == 0 else zlib.decompress(raw, -15)
-                    lines += [json.loads(x) for x in raw.splitlines() if x]
+                    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                    lines += [json.loads(x[x.index(b"{") :]) for x in raw.splitlines() if b"{" in x and not x.startswith(b"!")]
                 out = []
                 for name, (start, m) in archives.items():
-                    if lines:
-                        found = [x for x in lines if x.get("member", "archive/data.warc.gz") == name]
-                    else:
+                    # An archive that no line names is scanned; so is one whose lines are of another kind.
+                    named = [x for x in lines if _names(x, name) and "offset" in x and "length" in x]
+                    found = list({int(x["offset"]): x | {"offset": int(x["offset"]), "length": int(x["length"])} for x in named}.values())
+                    for i, x in enumerate(found):
+                        if not {"record_id", "record_type", "url"} <= x.keys():  # CDXJ has not all of them
+                            raw = read_at(start + x["offset"], x["length"])
+                            found[i] = parse_record(zlib.decompress(raw, 31) if name.endswith(".gz") else raw) | {"offset": x["offset"], "length": x["length"]}
+                    if not found:
                         found = [{"offset": o, "length": n} | parse_record(raw) for o, n, raw in scan_records(read_at, start, m["size"], name.endswith(".gz"))]
                     out += [{"path": path, "member": name, "offset": start + x["offset"], "length": x["length"], "record_id": x["record_id"], "record_type": x["record_type"], "url": x["url"]} for x in found]
             for i in range(0, len(out), 10_000):

@@ -72,3 +72,24 @@ def test_archive_without_index(spark, tmp_path, zipped):
     one = z.read_records(index.filter("url = 'u3'")).collect()
     assert [len(r["payload"]) for r in one] == [120_000]
     assert isinstance(one[0], Row)
+
+
+@pytest.mark.parametrize("cdxj", [False, True])
+def test_one_of_two_archives_has_an_index(spark, tmp_path, cdxj):
+    import gzip
+    import json
+
+    parts = {n: [gzip.compress(z.make_record(f"{n}{i}", f"u{n}{i}", b"p" * 50, "d", None)[2]) for i in range(3)] for n in "ab"}
+    lines, at = [], 0
+    for i, raw in enumerate(parts["a"]):
+        where = {"offset": str(at), "length": str(len(raw)), "filename": "a.warc.gz"} if cdxj else {"offset": at, "length": len(raw), "member": "archive/a.warc.gz", "record_id": f"r{i}", "record_type": "response"}
+        lines.append(("com,u)/ 20240101000000 " if cdxj else "") + json.dumps(where | {"url": f"ua{i}"}))
+        at += len(raw)
+    text = "\n".join(lines).encode()
+    with zipfile.ZipFile(tmp_path / "p.wacz", "w") as out:
+        for n in "ab":
+            out.writestr(f"archive/{n}.warc.gz", b"".join(parts[n]))
+        out.writestr("indexes/index.cdx.gz" if cdxj else "indexes/index.cdx", gzip.compress(text) if cdxj else text)
+    index = z.read_index(z.list_packages(spark, str(tmp_path)))
+    assert sorted(r["record_key"] for r in z.read_records(index).collect()) == ["a0", "a1", "a2", "b0", "b1", "b2"]
+    assert sorted(r["url"] for r in index.collect()) == ["ua0", "ua1", "ua2", "ub0", "ub1", "ub2"]
