@@ -18,6 +18,8 @@ from tesserae.session import ship
 #: The white space that separates words everywhere in this subpackage: space and \t \n \v \f \r.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that deletes a query's shuffle files when the query ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +50,14 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        """Writes df and reads it back. The shuffle files of the write go as soon as it ends: nothing
+        but the written table is read afterwards."""
+        before = self.spark.conf.get(FREE_SHUFFLES, None)
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            self.spark.conf.unset(FREE_SHUFFLES) if before is None else self.spark.conf.set(FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:

@@ -4,13 +4,17 @@ A unit is a line or a clause of one: lines are cut after punctuation too, becaus
 copied into the middle of lines. Units are normalised (lower case, white space folded), digested
 to 64 bits and grouped over the whole corpus. The earliest occurrence, by key, then text
 hash, then position, stays; every other occurrence is marked. Marked units that follow each
-other make a run, and runs of at least `min_words` words are removed, so that short clauses that
-recur by chance (or share a digest by chance) stay. Spans are offsets in characters of the original text.
+other make a run, and runs of at least `min_words` words are removed; with `min_words=1` every
+marked unit goes. Spans are offsets in characters of the original text.
+
+What repeats inside a text is found where the text is cut, so only one occurrence of a digest for
+each text meets the corpus: its row is the text's key and hash, its place and its digest. The
+places that come back mark the text, which is cut once more to remove them.
 
 Defined cases: null and empty texts have no units and come back as they are; null keys rank
 last; rows that repeat key and text are one document and are treated alike; an empty table
-gives an empty result; outputs replace input columns of their name. A passage whose first or
-last clause is joined to other words keeps that part.
+gives an empty result; outputs replace input columns of their name; a text of any length is cut
+whole, in one piece. A passage whose first or last clause is joined to other words keeps that part.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +35,7 @@ from .common import Scratch, pieces, quoted, with_outputs
 #: four more signs.
 CUT = re.compile(r"\n|[.!?,;:][^\s]{0,4}(?=[ \t])")
 MIN_WORDS = 20
+REMOVED = "array<struct<start:int,stop:int,words:int>>"
 
 
 def cut_units(text: str) -> Iterator[tuple[int, int, int, int]]:
@@ -44,51 +49,86 @@ def cut_units(text: str) -> Iterator[tuple[int, int, int, int]]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, h, p, digest): of each text's units with one digest the first, by its place."""
     for batch in batches:
-        for part in pieces(batch, "t", 2 << 20):
-            owner, place, start, stop, words, digest = [], [], [], [], [], []
-            for row, text in enumerate(part.column(2).to_pylist()):
-                for i, (a, b, n, d) in enumerate(cut_units(text)):
-                    owner.append(row)
-                    place.append(i)
-                    start.append(a)
-                    stop.append(b)
-                    words.append(n)
-                    digest.append(d)
-            of = pa.array(owner, pa.int32())
-            ints = [pa.array(x, pa.int32()) for x in (place, start, stop, words)]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), *ints, pa.array(np.array(digest, dtype=np.uint64).view(np.int64))], names=["k", "h", "p", "start", "stop", "words", "digest"])
-
-
-def repeated_spans(docs: DataFrame, key: str, text: str, min_words: int, scratch: Scratch) -> DataFrame:
-    """(k, h, removed): for each document with any, the runs to remove, in order."""
-    rows = docs.filter(quoted(text).isNotNull()).select(quoted(key).alias("k"), F.xxhash64(quoted(text)).alias("h"), quoted(text).alias("t"))
-    integer, long = T.IntegerType(), T.LongType()
-    schema = T.StructType([rows.schema["k"], T.StructField("h", long), *[T.StructField(c, integer) for c in ("p", "start", "stop", "words")], T.StructField("digest", long)])
+        for part in pieces(batch, "t", 1 << 20):
+            sizes, places, digests = [], [], []
+            for text in part.column(2).to_pylist():
+                first: dict[int, int] = {}
+                for i, (_, _, _, d) in enumerate(cut_units(text)):
+                    first.setdefault(d, i)
+                sizes.append(len(first))
+                places.append(np.fromiter(first.values(), dtype=np.int32, count=len(first)))
+                digests.append(np.fromiter(first, dtype=np.uint64, count=len(first)).view(np.int64))
+            of = pa.array(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.concatenate(places)), pa.array(np.concatenate(digests))], names=["k", "h", "p", "digest"])
+
+
+def marked_places(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
+    """(k, h, places): for each document with any, the places of its units (the first of each digest)
+    that an earlier document has too."""
+    rows = docs.filter(quoted(text).isNotNull()).select(quoted(key).alias("k"), F.xxhash64(quoted(text)).alias("h"), quoted(text).cast("string").alias("t"))
+    long = T.LongType()
+    schema = T.StructType([rows.schema["k"], T.StructField("h", long), T.StructField("p", T.IntegerType()), T.StructField("digest", long)])
     units = scratch.keep(rows.mapInArrow(_units, schema), "units")
-    place = F.struct(F.col("k").isNull().alias("last"), "k", "h", "p")
-    firsts = units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    owner = F.struct(F.col("k").isNull().alias("last"), "k", "h")
+    firsts = units.groupBy("digest").agg(F.min(owner).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     firsts = scratch.keep(firsts.select(F.col("digest").alias("d"), "first"), "firsts")
     # Both sides are read afresh, so that adaptive execution can split a digest with many units.
-    later = units.join(firsts, F.col("digest") == F.col("d")).filter(~place.eqNullSafe(F.col("first"))).select("k", "h", "p", "start", "stop", "words").distinct()
-    run = F.col("p") - F.row_number().over(Window.partitionBy("k", "h").orderBy("p"))
-    runs = later.withColumn("run", run).groupBy("k", "h", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").cast("int").alias("words")).filter(F.col("words") >= min_words)
-    return runs.groupBy("k", "h").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "words"))).alias("removed"))
+    later = units.join(firsts, F.col("digest") == F.col("d")).filter(~owner.eqNullSafe(F.col("first")))
+    # Sets, because rows that repeat key and text bring the same places: a set is bounded by its text.
+    marked = scratch.keep(later.groupBy("k", "h").agg(F.collect_set("p").alias("places")), "marked")
+    scratch.drop("units")
+    scratch.drop("firsts")
+    return marked
+
+
+def cut_text(text: str, places: list[int] | None, min_words: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text without its runs of later units, and the runs as (start, stop, words)."""
+    found = list(cut_units(text))
+    digests = [d for *_, d in found]
+    if not places and len(set(digests)) == len(digests):
+        return text, []
+    gone = {digests[p] for p in places or ()}
+    seen: set[int] = set()
+    runs: list[tuple[int, int, int]] = []
+    last = -2  # place of the unit that the last run ends with
+    for i, (start, stop, words, d) in enumerate(found):
+        if d in gone or d in seen:
+            if last == i - 1:
+                runs[-1] = (runs[-1][0], stop, runs[-1][2] + words)
+            else:
+                runs.append((start, stop, words))
+            last = i
+        seen.add(d)
+    runs = [r for r in runs if r[2] >= min_words]
+    edges = [0, *[x for r in runs for x in r[:2]], len(text)]
+    return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), runs
+
+
+def _cut(min_words: int):
+    kind = pa.struct([("clean_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32())])))])
+
+    def cut(text: pa.Array, places: pa.Array) -> pa.Array:
+        out = []
+        for part in pieces(pa.RecordBatch.from_arrays([text, places], names=["t", "p"]), "t", 1 << 20):
+            made = [(None, []) if t is None else cut_text(t, p, min_words) for t, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+            out.append(pa.array([{"clean_text": t, "removed": [dict(zip(("start", "stop", "words"), r)) for r in runs]} for t, runs in made], kind))
+        return pa.concat_arrays(out) if out else pa.array([], kind)
+
+    return F.arrow_udf(cut, f"clean_text string, removed {REMOVED}")
 
 
 def dedup_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """docs with clean_text (null for a null text) and removed, array<struct<start,stop,words>>."""
     scratch = scratch or Scratch(docs.sparkSession)
-    spans = scratch.keep(repeated_spans(docs, key, text, min_words, scratch), "spans")
-    spans = spans.select(F.col("k").alias("__tsr_k"), F.col("h").alias("__tsr_h"), F.col("removed").alias("__tsr_r"))
-    # A sorted merge at every size: texts move once, spans are never broadcast.
-    joined = docs.hint("merge").join(spans, quoted(key).eqNullSafe(F.col("__tsr_k")) & (F.xxhash64(quoted(text)) == F.col("__tsr_h")), "left")
-    r, t = F.col("__tsr_r"), quoted(text)
-    head = F.substring(t, F.lit(1), F.get(r, F.lit(0))["start"])
-    between = F.transform(r, lambda x, i: F.substring(t, x["stop"] + 1, F.coalesce(F.get(r, i + 1)["start"], F.length(t)) - x["stop"]))
-    clean = F.when(r.isNull(), t).otherwise(F.concat(head, F.array_join(between, "")))
-    none = F.array().cast("array<struct<start:int,stop:int,words:int>>")
-    return with_outputs(joined, {"clean_text": clean, "removed": F.coalesce(r, none)}).drop("__tsr_k", "__tsr_h", "__tsr_r")
+    marked = marked_places(docs, key, text, scratch)
+    marked = marked.select(F.col("k").alias("__tsr_k"), F.col("h").alias("__tsr_h"), F.col("places").alias("__tsr_p"))
+    # A sorted merge at every size: texts move once, places are never broadcast.
+    joined = docs.hint("merge").join(marked, quoted(key).eqNullSafe(F.col("__tsr_k")) & (F.xxhash64(quoted(text)) == F.col("__tsr_h")), "left")
+    made = joined.withColumn("__tsr_cut", _cut(min_words)(quoted(text).cast("string"), F.col("__tsr_p")))
+    out = with_outputs(made, {"clean_text": F.col("__tsr_cut.clean_text"), "removed": F.col("__tsr_cut.removed")})
+    return out.drop("__tsr_k", "__tsr_h", "__tsr_p", "__tsr_cut")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
