@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ from tesserae.session import ship
 #: The white space that separates words everywhere in this subpackage: space and \t \n \v \f \r.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Spark's setting that deletes a query's shuffle files when the query ends.
+#: Spark's settings of an Arrow batch's bytes, and that a query's shuffle files go when it ends.
+BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "67108864")
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -37,14 +39,39 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB, unless the session names a size of its own: by Spark's default a
+    batch is 10,000 rows up to 64 MB, which a worker and its JVM hold several times over."""
+    if spark.conf.get(BATCH_BYTES) in BATCH_DEFAULT:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
+
+
+_made: list[list[Scratch]] = []
+
+
+@contextmanager
+def dropped_after() -> Iterator[None]:
+    """Deletes every Scratch made inside when the block ends. What is still read from must have been
+    written elsewhere by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for scratch in _made.pop():
+            scratch.drop()
+
+
 class Scratch:
     """Tables in a folder of their own in the shared folder. A lost executor loses nothing
     that was kept here. drop() deletes the folder; a result must not read from it then."""
 
     def __init__(self, spark: SparkSession):
         ship(spark)
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tesserae-{uuid.uuid4().hex}"
+        if _made:
+            _made[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -64,13 +91,6 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def settle(self, result: DataFrame) -> DataFrame:
-        """Writes the result beside this scratch folder, deletes the folder, reads the result."""
-        final = Scratch(self.spark)
-        kept = final.keep(result, "result")
-        self.drop()
-        return kept
-
 
 def with_outputs(df: DataFrame, outputs: dict[str, Column]) -> DataFrame:
     """df with the outputs; an input column of an output's name (in any case) gives way."""
