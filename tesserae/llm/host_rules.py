@@ -6,7 +6,8 @@ verdicts on hosts go back to their documents. All of it is DataFrame expressions
 
 Defined cases: a null or empty text has no words, so it fails the base rule; a null host is a
 host of its own; repeated rows each count; an empty table gives an empty result; an input
-column with the name of an output gives way to it.
+column with the name of an output gives way to it; texts of any length are counted whole. Repeated
+windows are told by 64-bit hashes of their words' hashes.
 """
 
 from __future__ import annotations
@@ -61,6 +62,14 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop(words)
 
 
+def host_of(url: Column) -> Column:
+    """The host of an address in lower case, without user, port, a last dot and a leading "www."; null
+    where there is none."""
+    place = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
+    bare = F.regexp_replace(F.regexp_replace(F.lower(place), r"\.$", ""), r"^www\.(?=[^.]+\.)", "")
+    return F.when(bare != "", bare)
+
+
 def rule_failures() -> dict[str, Column]:
     """The document rules. None is null, so no null check of theirs is pushed to the scan."""
     c = F.col
@@ -94,26 +103,28 @@ def host_verdicts(failures: DataFrame, host: str, reject: float = REJECT, watch:
         "host", "n", *[f"{r}_fails" for r in RULES], *[f"{r}_rate" for r in RULES], "rejected", *[f"{r}_watched" for r in RULES])
 
 
-def host_rules(docs: DataFrame, *, text: str = "text", host: str = "source", reject: float = REJECT, watch: float = WATCH) -> DataFrame:
-    """docs with COUNTS, RULES and kept.
+def host_rules(docs: DataFrame, *, text: str = "text", host: str = "source", reject: float = REJECT, watch: float = WATCH, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) with COUNTS, RULES and kept.
 
-    The verdicts are a table of one row for each host, written to the shared folder. Spark
+    Counts are made once and written to the shared folder with the columns that stay; hosts and
+    documents are judged from that table. The verdicts are a table of one row for each host, written to the shared folder. Spark
     broadcasts it only if its measured size is below the session's threshold; beyond that it
     is a shuffled join whose hot hosts adaptive execution splits.
     """
-    judged = text_counts(docs, text)
-    judged = with_outputs(judged, rule_failures())
     scratch = Scratch(docs.sparkSession)
-    narrow = judged.select(quoted(host).alias("__tsr_host"), *RULES)
+    judged = with_outputs(text_counts(docs.withColumn("__tsr_host", quoted(host)), text), rule_failures())
+    stay = [c for c in docs.columns if keep is None or c in keep]
+    made = {c.lower() for c in (*COUNTS, *RULES)}
+    judged = scratch.keep(judged.select(*[quoted(c) for c in stay if c.lower() not in made], *COUNTS, *RULES, "__tsr_host"), "judged")
+    narrow = judged.select("__tsr_host", *RULES)
     verdicts = scratch.keep(host_verdicts(narrow, "__tsr_host", reject, watch), "hosts")
     verdicts = verdicts.select(F.col("host").alias("__tsr_h"), F.col("rejected").alias("__tsr_rejected"), *[F.col(f"{r}_watched").alias(f"__tsr_{r}") for r in RULES])
-    joined = judged.join(verdicts, quoted(host).eqNullSafe(F.col("__tsr_h")), "left")
-    # One sum, so that no part of a later filter on kept moves below the join and counts again.
+    joined = judged.join(verdicts, F.col("__tsr_host").eqNullSafe(F.col("__tsr_h")), "left")
     against = F.col("base_failed").cast("int") + F.coalesce(F.col("__tsr_rejected"), F.lit(False)).cast("int")
     for r in RULES:
         against = against + (F.col(r) & F.coalesce(F.col(f"__tsr_{r}"), F.lit(False))).cast("int")
     kept = against == 0
-    return with_outputs(joined, {"kept": kept}).drop("__tsr_h", "__tsr_rejected", *[f"__tsr_{r}" for r in RULES])
+    return with_outputs(joined, {"kept": kept}).drop("__tsr_h", "__tsr_host", "__tsr_rejected", *[f"__tsr_{r}" for r in RULES])
 
 
 SQL = r"""
@@ -148,4 +159,4 @@ FROM f JOIN b ON f.source IS NOT DISTINCT FROM b.source
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return host_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return host_rules(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
