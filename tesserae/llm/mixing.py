@@ -13,7 +13,7 @@ only then rows inside a slice. No source, however large, is sorted in one task.
 Defined cases: a null source is a source of its own, last in code point order; a null or empty
 text has size 0 and can still be taken; repeated rows stand beside each other and are sampled
 one by one; an empty table gives an empty result; sources without words have target 0; an input
-column with the name of an output gives way to it.
+column with the name of an output gives way to it; the words of a text of any length are counted.
 """
 
 from __future__ import annotations
@@ -37,8 +37,11 @@ def _unit(text: Column) -> Column:
 
 
 def source_targets(sources: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(src, source_size) to (src, source_size, target). Sources are ranked over one small table; the
-    null source ("") is the last."""
+    """(src, source_size) to (src, source_size, target); the null source ("") is the last.
+
+    Ranks and water levels are windows over one row for each source in one task, which a name and
+    three numbers a source bound: a million sources are about 100 MB. Where sources are hosts in
+    greater numbers, mix their groups instead."""
     by_name = Window.orderBy(F.col("src") == "", "src")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = sources.withColumn("w", F.get(cycle, (F.row_number().over(by_name) - 1) % len(weights)))
@@ -53,12 +56,16 @@ def source_targets(sources: DataFrame, weights=(3, 1, 2), share: float = 1.5, ca
     return level.select("src", "source_size", F.coalesce(F.least(F.col("limit"), F.col("level") * F.col("w")), F.col("limit")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """docs with size, source_size, target and copies (how often the mix takes the row)."""
-    sized = docs.withColumn("__tsr_size", F.regexp_count(F.coalesce(quoted(text), F.lit("")), F.lit(WORD)).cast("long"))
-    name = F.md5(F.coalesce(quoted(key).cast("string"), F.lit("")))
-    placed = sized.withColumns({"__tsr_class": _class_of(F.col("__tsr_size")), "__tsr_hash": name, "__tsr_slice": F.conv(F.substring(name, 1, 2), 16, 10).cast("int") % SLICES, "__tsr_src": F.coalesce(F.concat(F.lit("s"), quoted(source).cast("string")), F.lit(""))})
+def mix_sources(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) with size, source_size, target and copies (how often the mix
+    takes the row). Words are counted once, into a table in the shared folder."""
     scratch = Scratch(docs.sparkSession)
+    stay = [c for c in docs.columns if keep is None or c in keep]
+    words = F.regexp_count(F.coalesce(quoted(text), F.lit("")), F.lit(WORD)).cast("long")
+    name = F.md5(F.coalesce(quoted(key).cast("string"), F.lit("")))
+    sized = docs.select(*map(quoted, stay), words.alias("__tsr_size"), name.alias("__tsr_hash"), F.coalesce(F.concat(F.lit("s"), quoted(source).cast("string")), F.lit("")).alias("__tsr_src"))
+    sized = scratch.keep(sized, "sized")
+    placed = sized.withColumns({"__tsr_class": F.coalesce(_class_of(F.col("__tsr_size")), F.lit(0)), "__tsr_slice": F.coalesce(F.conv(F.substring("__tsr_hash", 1, 2), 16, 10).cast("int") % SLICES, F.lit(0))})
     cells = scratch.keep(
         placed.groupBy("__tsr_src", "__tsr_class", "__tsr_slice").agg(F.count(F.lit(1)).alias("n"), F.sum("__tsr_size").alias("words")).toDF("src", "cls", "slice", "n", "words"), "cells")
     classes = cells.groupBy("src", "cls").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
@@ -75,7 +82,7 @@ def mix_sources(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sou
     order = Window.partitionBy("__tsr_src", "__tsr_class", "__tsr_slice").orderBy("__tsr_hash", "__tsr_size")
     rank = F.col("__tsr_start") + F.row_number().over(order)
     rate = F.when(F.col("__tsr_total") > 0, F.col("__tsr_target") / F.col("__tsr_total")).otherwise(0.0)
-    offset = _unit(F.concat(F.coalesce(quoted(source).cast("string"), F.lit("")), F.lit("|" + seed)))
+    offset = _unit(F.concat(F.substring("__tsr_src", 2, 1 << 30), F.lit("|" + seed)))
     copies = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
     out = with_outputs(joined, {"size": F.col("__tsr_size"), "source_size": F.col("__tsr_total"), "target": F.col("__tsr_target"), "copies": copies.cast("long")})
     return out.select(*[quoted(c) for c in out.columns if not c.startswith("__tsr_")])
@@ -109,4 +116,4 @@ SELECT doc_id, size, source_size, target, size * (floor(rank * rate + u) - floor
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mix_sources(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
