@@ -17,7 +17,7 @@ with probability 3e-6 and is pruned with probability about 1e-5.
 Defined cases: null, empty and blank texts have no shingles, link to nothing and are classes of
 their own; null keys rank below none (a class takes its least non-null key; it has a null id if
 all keys are null); rows that repeat a key have each the class of their own text; an empty table
-gives an empty result; columns other than key and text do not matter, but for which of the rows of
+gives an empty result; texts of any length are hashed whole; columns other than key and text do not matter, but for which of the rows of
 one key and text stands for its class.
 """
 
@@ -63,7 +63,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], hashes: dict, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted within it, flat; and where each text starts."""
-    if len(hashes) > 500_000:
+    if len(hashes) > 200_000:
         hashes.clear()
     words: list[bytes] = []
     counts = np.zeros(len(texts), dtype=np.int64)
@@ -206,7 +206,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Every round takes the least label of the neighbours, then the label of that label. Each
     round is written to the shared folder; rounds grow with the logarithm of the diameter."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.keep(both, f"{name}-edges")
+    both = scratch.keep(both, f"{name}-edges")  # dropped with the last round
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), f"{name}-0")
     step = 0
     while True:
@@ -220,6 +220,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         scratch.drop(f"{name}-{step - 1}")
         labels = kept.select("node", "label")
         if not changed:
+            scratch.drop(f"{name}-edges")
             return labels
 
 
@@ -328,6 +329,8 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     plan = needed(threshold, tolerance)
     edges = streamed(dealt.select("bucket", "i", "j", "node", "sig"), "bucket", "i", "j").mapInArrow(_bucket_edges(plan), "a long, b long")
     groups = components(edges.distinct(), scratch, "groups")
+    scratch.drop("candidates")
+    scratch.drop("buckets")
 
     # Exact links inside the groups, on one row of each node.
     sizes = scratch.keep(groups.groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("members")), "sizes")
@@ -344,6 +347,8 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     known = nodes.select("node", "key", "h", "r", "copies").join(classes.select(F.col("node").alias("c"), "label"), F.col("node") == F.col("c"), "left").join(links, F.col("node") == F.col("n"), "left")
     known = known.select("node", "key", "h", "r", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     known = scratch.keep(known, "known")
+    for done in ("linked", "members", "sizes", "nodes"):
+        scratch.drop(done)
     ids = known.groupBy("label").agg(F.min(least).alias("first"))
     ids = scratch.keep(ids.select(F.col("label").alias("l"), F.col("first.key").alias("class_id"), F.col("first.h").alias("class_h"), F.col("first.r").alias("class_r")), "ids")
     final = scratch.keep(known.join(ids, F.col("label") == F.col("l")).select(F.col("node").alias("n"), "class_id", "class_h", "class_r", "links", "copies"), "final")
