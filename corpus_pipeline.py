@@ -9,34 +9,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import host_rules, jaccard_join, mixing, piece_codec, substring_dedup
-from tesserae.llm.common import Scratch
+from tesserae.llm.common import Scratch, dropped_after
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return host_rules.host_rules(docs).filter("kept").select(*COLUMNS)
+    """Documents that the rules reject go. A null or empty text has no words and is rejected; a null
+    source is a host of its own; repeated rows are judged each and stay or go together."""
+    return host_rules.host_rules(docs, keep=COLUMNS).filter("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents one row, that with the least id, stays."""
+    """Of each class of linked documents one row, that with the least id, stays: of rows equal in all
+    columns one, of one id with two texts a row for each class. Null ids come after all others, and
+    texts without words all stay."""
     return jaccard_join.one_of_each(docs, jaccard_join.similar_texts(docs, verdicts=True)).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated passages are cut out of the texts; rows stay."""
+    """Later occurrences of repeated passages are cut out of the texts; rows stay. Null and empty texts
+    come back as they are; null ids rank last."""
     cleaned = substring_dedup.dedup_passages(docs)
     return cleaned.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: never, once or twice."""
-    return mixing.taken_rows(mixing.mix_sources(docs)).select(*COLUMNS)
+    """Each document as often as the mix takes it: never, once or twice. A null source is a source of
+    its own; an empty text has size 0 and can be taken; repeated rows are taken one by one."""
+    return mixing.taken_rows(mixing.mix_sources(docs, keep=COLUMNS)).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, and whether they decode to it."""
+    """Ids of each text, and whether they decode to it. A null text is the end id alone; rows repeat as
+    often as they were taken."""
     coded = piece_codec.encode_texts(docs, piece_codec.default_model(), keep=["doc_id", "lang", "source", "text"], decoded="decoded")
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
@@ -58,7 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"{i}-{name}")
+        with dropped_after():  # a stage's inner tables go once its rows are written
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"{i}-{name}")
         if i:
             scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs
