@@ -55,6 +55,11 @@ def relative_error(predicted: Column, truth: Column) -> Column:
     return F.try_divide(F.abs(predicted - truth), F.abs(truth))
 
 
+def half_even(value: Column, places: int) -> Column:
+    """Rounded to so many places, halves to the even neighbour."""
+    return F.bround(value, places)
+
+
 def in_quadrature(*parts: Column) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [p * p for p in parts]))
 

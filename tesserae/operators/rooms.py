@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import wrapped
-from tesserae.operators.solve import clip_convex
 
 # Fixed values of the measurement protocol, metres.
 CEILING_LEAST, CEILING_MOST, CEILING_PRIOR, CEILING_PRIOR_SD = 1.90, 3.40, 2.44, 0.30
@@ -57,9 +56,16 @@ def ceiling_cue(rooms: DataFrame, keys: list[str], span: str) -> DataFrame:
 
 def wall_cells(points: DataFrame, walls: DataFrame, keys: list[str], band: float, cell: float) -> DataFrame:
     """Cells (keys, wall, col, row, n) of points x, y, h in the band of walls (ax, ay, bx, by, top);
-    the bounds are closed and the last cell takes its upper edge."""
+    the bounds are closed and the last cell takes its upper edge. A point is in one square of the floor
+    and meets only the walls that pass it."""
+    side = F.greatest(F.lit(8 * band), F.lit(4 * cell))
     w = walls.withColumn("__len", F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)).filter("__len > 0")
-    j = points.join(w, keys)
+    for n, (p, q) in enumerate((("ax", "bx"), ("ay", "by"))):
+        w = w.withColumn(f"__g{n}", F.explode(F.sequence(F.floor((F.least(p, q) - 2 * band) / side), F.floor((F.greatest(p, q) + 2 * band) / side))))
+    # of the squares in a slanted wall's box only those that it passes
+    off = lambda c, n: (F.col(f"__g{n}") + 0.5) * side - F.col(c)
+    passed = F.abs(off("ay", 1) * (F.col("bx") - F.col("ax")) - off("ax", 0) * (F.col("by") - F.col("ay"))) / F.col("__len") <= side + 2 * band
+    j = points.withColumn("__g0", F.floor(F.col("x") / side)).withColumn("__g1", F.floor(F.col("y") / side)).join(w.filter(passed), [*keys, "__g0", "__g1"])
     ux, uy = (F.col("bx") - F.col("ax")) / F.col("__len"), (F.col("by") - F.col("ay")) / F.col("__len")
     dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
     along, across = dx * ux + dy * uy, dy * ux - dx * uy
@@ -70,11 +76,15 @@ def wall_cells(points: DataFrame, walls: DataFrame, keys: list[str], band: float
 
 def line_support(points: DataFrame, lines: DataFrame, keys: list[str], band: float, least: int, height: float = 0.5) -> DataFrame:
     """(keys, line, n, top): points close to axis lines (axis 0: x = coord; lo, hi along the other),
-    high enough; the 98th percentile of their heights, for lines with enough points."""
-    j = points.join(lines, keys)
-    perp = F.when(F.col("axis") == 0, F.col("x")).otherwise(F.col("y")) - F.col("coord")
-    along = F.when(F.col("axis") == 0, F.col("y")).otherwise(F.col("x"))
-    near = (F.abs(perp) <= band) & along.between(F.col("lo"), F.col("hi")) & (F.col("h") >= height)
+    high enough; the 98th percentile of their heights, for lines with enough points. A point is in one
+    strip of each axis and meets only the lines of that strip."""
+    strip = 2 * band
+    placed = lines.withColumn("__s", F.explode(F.sequence(F.floor((F.col("coord") - band) / strip - 1e-6), F.floor((F.col("coord") + band) / strip + 1e-6))))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("x").alias("at"), F.col("y").alias("along")), F.struct(F.lit(1).alias("axis"), F.col("y").alias("at"), F.col("x").alias("along"))))
+    sided = points.filter(F.col("h") >= height).select(*keys, "h", sides.alias("p")).select(*keys, "h", "p.*").withColumn("__s", F.floor(F.col("at") / strip))
+    j = sided.join(placed, [*keys, "axis", "__s"])
+    perp, along = F.col("at") - F.col("coord"), F.col("along")
+    near = (F.abs(perp) <= band) & along.between(F.col("lo"), F.col("hi"))
     return j.filter(near).groupBy(*keys, "line").agg(F.count(F.lit(1)).alias("n"), F.percentile("h", 0.98).alias("top")).filter(F.col("n") >= least)
 
 
@@ -91,17 +101,18 @@ def nearest_line(walls: DataFrame, lines: DataFrame, keys: list[str], most: floa
 
 def cell_arrangement(cuts: DataFrame, floor: DataFrame, path: DataFrame, keys: list[str], cell: float, coverage: float = 0.30, least: float = 0.20) -> DataFrame:
     """Cells between consecutive cuts (keys, axis, at) of both axes that were walked through, or of
-    which at least `coverage` is floor cells (cx, cy); small ones go. Points meet their cell by its
-    column and row, found from sorted cuts, not by comparing with every cell."""
-    order = Window.partitionBy(*keys, "axis").orderBy("at")
-    spans = cuts.distinct().withColumn("to", F.lead("at").over(order)).filter(F.col("to").isNotNull())
-    us = spans.filter("axis = 0").select(*keys, F.col("at").alias("u0"), F.col("to").alias("u1"))
-    vs = spans.filter("axis = 1").select(*keys, F.col("at").alias("v0"), F.col("to").alias("v1"))
-    grid = us.join(vs, keys).filter((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0")) >= least)
-    inside = lambda x, y: (x >= F.col("u0")) & (x < F.col("u1")) & (y >= F.col("v0")) & (y < F.col("v1"))
+    which at least `coverage` is floor cells (cx, cy); small ones go. A point finds its
+    cell in its key's two sorted arrays of cuts, so no point meets a cell that is not its own."""
+    of = lambda axis: F.sort_array(F.collect_set(F.when(F.col("axis") == axis, F.col("at"))))
+    sorted_cuts = cuts.groupBy(*keys).agg(of(0).alias("__u"), of(1).alias("__v"))  # a few cuts a key
     centre = floor.select(*keys, ((F.col("cx") + 0.5) * cell).alias("x"), ((F.col("cy") + 0.5) * cell).alias("y"), F.lit(0).alias("walk"))
-    both = centre.unionByName(path.select(*keys, "x", "y", F.lit(1).alias("walk")))
-    hit = grid.join(both, keys, "left").filter(inside(F.col("x"), F.col("y"))).groupBy(*keys, "u0", "u1", "v0", "v1").agg(F.count_if(F.col("walk") == 0).alias("filled"), F.max("walk").alias("walk"))
+    both = centre.unionByName(path.select(*keys, "x", "y", F.lit(1).alias("walk"))).join(sorted_cuts, keys)
+    up_to = lambda place: lambda c: c <= place
+    for cut, at, name in (("__u", "x", "u"), ("__v", "y", "v")):
+        below = F.size(F.filter(cut, up_to(F.col(at))))  # cuts up to the point
+        both = both.withColumn(f"{name}0", F.get(cut, below - 1)).withColumn(f"{name}1", F.get(cut, below))
+    sized = both.filter((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0")) >= least)  # null outside the cuts
+    hit = sized.groupBy(*keys, "u0", "u1", "v0", "v1").agg(F.count_if(F.col("walk") == 0).alias("filled"), F.max("walk").alias("walk"))
     share = F.col("filled") * cell * cell / ((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0")))
     return hit.withColumn("share", share).filter((F.col("walk") == 1) | (F.col("share") >= coverage))
 
@@ -159,32 +170,6 @@ def cross_checked(geometric: DataFrame, semantic: DataFrame, keys: list[str], sh
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 
-def pushed_apart(shapes: list[np.ndarray], anchor: int = 0, tolerance: float = 1e-6, rounds: int = 200) -> tuple[np.ndarray, bool]:
-    """Shifts of convex rings (counter-clockwise) that leave no pair overlapping, and whether it
-    worked. The worst pair moves first, along the line of its centres, just far enough."""
-    shift = np.zeros((len(shapes), 2))
-    at = lambda i: shapes[i] + shift[i]
-    for _ in range(rounds):
-        worst = max(((clip_convex(at(i), at(j)), -i, -j) for i in range(len(shapes)) for j in range(i + 1, len(shapes))), default=(0, 0, 0))
-        if worst[0] <= tolerance:
-            return shift, True
-        i, j = -worst[1], -worst[2]
-        mover, other = (j, i) if j != anchor else (i, j)
-        way = at(mover).mean(axis=0) - at(other).mean(axis=0)
-        size = np.linalg.norm(way)
-        way = way / size if size > 1e-6 else np.array([1.0, 0.0])
-        low, high = 0.0, 0.05
-        while high < 100 and clip_convex(at(mover) + way * high, at(other)) > tolerance:
-            high *= 2
-        if high >= 100:
-            return shift, False
-        for _ in range(32):
-            middle = (low + high) / 2
-            low, high = (low, middle) if clip_convex(at(mover) + way * middle, at(other)) <= tolerance else (middle, high)
-        shift[mover] += way * (high + 0.02)
-    return shift, False
-
-
 def evenly_sampled(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
     """Groups of more than `most` rows thinned to every ceil(n / most)-th in order: a sampling
     operator."""

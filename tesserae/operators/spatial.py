@@ -168,7 +168,8 @@ def union_area(boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
 
 
 def placed_in_line(boxes: DataFrame, order: str, gap: float) -> DataFrame:
-    """Shifts that put boxes edge to edge along x, in order, centred in y."""
+    """Shifts that put boxes edge to edge along x, in order, centred in y: one row of sums, in one task,
+    for the few boxes that a drawing shows side by side."""
     before = F.coalesce(F.sum(F.col("x1") - F.col("x0") + gap).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return boxes.withColumn("dx", before - F.col("x0")).withColumn("dy", -(F.col("y0") + F.col("y1")) / 2)
 

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,6 +31,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name where driver and executors share files: below spark.checkpoint.dir, else (local
+    sessions only) in a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tesserae-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    return f"{named.rstrip('/')}/tesserae-{uuid.uuid4().hex}"
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "tesserae", memory: str = "8g") -> SparkSession:
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
     spark = (

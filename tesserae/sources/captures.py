@@ -113,6 +113,28 @@ def videos(spark: SparkSession, captures: DataFrame, root: str) -> DataFrame:
     return joined.groupBy("folder").agg(F.min_by(F.struct("path", "length"), rank).alias("v")).select("folder", "v.*")
 
 
+def dispatched(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each capture below root: folder, capture_id, tier, the reader that its tier (never a
+    flag) chooses, how many items that reader finds, and warnings in order. A video capture without a
+    clip is an error."""
+    rows = manifests(spark, root)
+    photos = room_photos(spark, rows.filter("tier = 'photo'"), root)
+    of_photos = photos.groupBy("folder").agg(F.count(F.lit(1)).alias("photos"))
+    clips = videos(spark, rows.filter("tier = 'video'"), root).select("folder", F.lit(1).alias("clips"))
+    depth = listing(spark, root).filter(F.lower("path").rlike(r"/depth/[^/]+\.png$")).groupBy(folder_of(F.col("path"), 2).alias("folder")).agg(F.count(F.lit(1)).alias("frames"))
+    said = photo_warnings(rows.filter("tier = 'photo'"), photos).groupBy("folder").agg(F.sort_array(F.collect_list(F.concat("room", F.lit(": "), "warning"))).alias("said"))
+    every = rows.select("folder", "capture_id", "tier")
+    for part in (of_photos, clips, depth, said):
+        every = every.join(part, "folder", "left")
+    tier = F.col("tier")
+    items = F.coalesce(F.when(tier == "photo", F.col("photos")).when(tier == "video", F.col("clips")).otherwise(F.col("frames")), F.lit(0)).cast("long")
+    reader = F.when(tier == "photo", "room_photos").when(tier == "video", "videos").otherwise("frame_files")
+    reader = required(reader, (tier != "video") | (items > 0), F.concat("folder", F.lit(": a video capture without a clip")))
+    none = F.array().cast("array<string>")
+    blind = F.when((tier == "lidar") & (items == 0), F.array(F.lit("no depth frames"))).otherwise(none)
+    return every.select("folder", "capture_id", "tier", reader.alias("reader"), items.alias("items"), F.concat(F.coalesce("said", none), blind).alias("warnings"))
+
+
 def poses(spark: SparkSession, folder: str) -> DataFrame:
     """odometry.csv with its header names stripped and all values as doubles, and its frame number."""
     raw = spark.read.csv(f"{folder}/odometry.csv", header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import predicates as p
-from tesserae.operators import assignment, calibration, gates, graph, rooms, rules, sequence, solve, spatial
+from tesserae.operators import assignment, calibration, gates, graph, layout, rooms, rules, sequence, solve, spatial
 
 
 @pytest.mark.parametrize("error,status", [(0.02, "PASS"), (0.02 + 1e-10, "PASS"), (0.0201, "FAIL")])
@@ -279,7 +279,7 @@ def test_pairs_where_one_side_is_missing(spark):
 def test_shapes_are_pushed_apart():
     square = np.array([[0, 0], [2, 0], [2, 2], [0, 2]], dtype=float)
     shapes = [square, square + [0.5, 0.2], square + [1.5, -0.4]]
-    shift, done = rooms.pushed_apart(shapes)
+    shift, done = layout.moves_apart(shapes)
     assert done and (shift[0] == 0).all()
     assert max(solve.clip_convex(a + s, b + t) for (a, s), (b, t) in itertools.combinations(zip(shapes, shift), 2)) <= 1e-6
 
