@@ -8,9 +8,15 @@ p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)):
 Its logarithm falls into a part that needs only the counts of w with its contexts and a part
 that needs only the count of v, which v adds where it stands as a word itself. So tokens are
 dealt by their word alone: a shard holds all contexts of its words, builds their trie and adds
-up its part of every document's score; documents never meet the whole model. The words that
-are each 1 in HOT of all tokens or more (so at most HOT of them) are dealt by word and context,
-and their counts travel with the job.
+up its part of every document's score; documents never meet the whole model.
+
+No shard outgrows its tokens. A word that occurs an eighth of a shard's tokens or more, in
+training or not, is hot and dealt by word and context; a pair of hot words that occurs as often
+is hot too and is scored where its tokens are, from a trie of the hot pairs alone, so its tokens
+never travel. Both tables hold at most eight rows for each shard; they are written to the shared
+folder, and workers read them there, not from the driver.
+
+Texts are split into tokens once, into a table of chunks of about FLUSH_TOKENS tokens.
 
 A trie has the words' level, monotone pointers to the level of contexts, and that level: for
 each word the ranks of its contexts, raised by the last value of the word before, so that the
@@ -18,19 +24,23 @@ whole level is one monotone sequence. A context is found by a successor search r
 word. Weights are quantised to 16 bits. The levels lie in one file for each shard in the shared
 folder and are memory-mapped where that folder is a file system.
 
-Words are known by their 64-bit xxHash. Defined cases: a null or empty text is its end token
-alone; null keys count as '' for the split; repeated rows are trained on and scored each; an
+Words are known by their 64-bit xxHash: words that share one (two of a billion do with probability
+0.03) would count as one, in n_known and base_score too; the contexts of one word are told apart by 48
+of these bits. Defined cases: a null or empty text is its
+end token alone; null keys count as '' for the split; repeated rows are trained on and scored each; an
 empty table gives an empty result; without training rows all scores are those of unseen words;
-only the key of the input is kept.
+only the key of the input is kept, so no name clashes; a text of any length is in one chunk, whole.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +49,8 @@ from .common import Scratch, crc_bucket, pieces, quoted, stream_groups
 from .zip_warc import file_system
 
 PRIOR, PSEUDO = 300.0, 0.1
-HOT = 8192
-#: Tokens that a shard holds, about; and tokens that a task gathers before it deals them.
-SHARD_TOKENS, FLUSH_TOKENS = 5_000_000, 2_000_000
+#: Tokens that a shard holds, about; what part of that makes a word or pair hot; tokens of a chunk.
+SHARD_TOKENS, HOT_PART, FLUSH_TOKENS = 5_000_000, 8, 2_000_000
 #: Bytes of text read at a time, and words a worker knows at most.
 STEP, KNOWN_WORDS = 1 << 20, 300_000
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -257,28 +266,79 @@ def tokens_of(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.nda
     return np.insert(flat, np.cumsum(sizes), 0), sizes + 1
 
 
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, counts = Words(), np.zeros(0, dtype=np.int64)
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned integers as compressed byte planes. Small numbers are common (words are numbered by
+    their frequency in a chunk), so the upper planes nearly vanish."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T)
+    return values.size.to_bytes(8, "little") + values.itemsize.to_bytes(1, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), raw[8]
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw[9:], n * size), dtype=np.uint8) if n else np.zeros(0, dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(f"<u{size}").ravel()
+
+
+def six_bytes(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of hashes."""
+    return np.ascontiguousarray((hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def of_six_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+CHUNKS = "chunk long, keys array<KEY>, docs binary, sizes binary, flat binary, hashes binary, all_counts binary, train_counts binary"
+
+
+def _columns(spec: str) -> list[str]:
+    return [x.split()[0] for x in spec.split(", ")]
+
+
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (row number, held out, text, key) to chunks. A chunk is named by the number of its
+    first row; docs has twice a text's place in it, plus 1 for held-out texts. Tokens are indexes
+    into hashes."""
+    words, held, held_n = Words(), [], 0
 
     def flush() -> pa.RecordBatch:
-        some = np.flatnonzero(counts)
-        names = np.array(words.hashes, dtype=np.uint64)[some].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts[some])], names=["word", "n"])
+        flat, sizes = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        docs = np.concatenate([x[4] for x in held]).astype(np.int32) + 2 * np.arange(sizes.size, dtype=np.int32)
+        keys = pa.chunked_array([x[3] for x in held]).combine_chunks()
+        keys = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+        every = np.bincount(flat, minlength=len(words.hashes))
+        some = np.argsort(-every, kind="stable")[: np.count_nonzero(every)]
+        local = np.zeros(len(words.hashes), dtype=np.int32)
+        local[some] = np.arange(some.size)
+        flat, every = local[flat], every[some]
+        train = np.bincount(flat[np.repeat(docs % 2 == 0, sizes)], minlength=some.size)
+        hashes = np.array(words.hashes, dtype=np.uint64)[some]
+        blobs = [packed(docs), packed(sizes.astype(np.uint32)), packed(flat), hashes.tobytes(), packed(every.astype(np.uint32)), packed(train.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays([pa.array([held[0][2]]), keys, *[pa.array([x], pa.binary()) for x in blobs]], names=_columns(CHUNKS))
 
     for batch in batches:
         for part in pieces(batch, "text", STEP):
-            flat, _ = tokens_of(part.column(0).to_pylist(), words)
-            more = np.bincount(flat, minlength=counts.size)
-            more[: counts.size] += counts
-            counts = more
-            if len(words) >= KNOWN_WORDS:
+            flat, sizes = tokens_of(part.column(2).to_pylist(), words)
+            held.append((flat, sizes, part.column(0)[0].as_py(), part.column(3), part.column(1).to_numpy(zero_copy_only=False)))
+            held_n += flat.size
+            if held_n >= FLUSH_TOKENS or len(words) >= KNOWN_WORDS:
                 yield flush()
-                words.forget()
-                counts = np.zeros(0, dtype=np.int64)
-    if counts.size:
+                held, held_n = [], 0
+                if len(words) >= KNOWN_WORDS:
+                    words.forget()
+    if held:
         yield flush()
 
 
+def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            words, every, train = np.frombuffer(row[0], dtype=np.int64), unpacked(row[1]), unpacked(row[2])
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(every.astype(np.int64)), pa.array(train.astype(np.int64))], names=["word", "every", "n"])
+
+
 def _small(index: np.ndarray, n: int) -> np.ndarray:
     return index.astype(np.uint16 if n <= 1 << 16 else np.uint32)
 
@@ -288,80 +348,169 @@ def _mix(a: np.ndarray) -> np.ndarray:
     return (a ^ (a >> np.uint64(27))) >> np.uint64(11)
 
 
-DEALT = "shard int, chunk long, words binary, contexts binary, word_at binary, context_at binary, docs binary, sizes binary, keys array<KEY>, long_word boolean, long_context boolean"
+class Chunk:
+    """The tokens of one row of CHUNKS."""
 
+    def __init__(self, row: dict):
+        self.name, self.keys = row["chunk"], row["keys"]
+        self.docs, self.sizes = unpacked(row["docs"]).astype(np.int32), unpacked(row["sizes"]).astype(np.int64)
+        self.flat, self.hashes = unpacked(row["flat"]).astype(np.int32), np.frombuffer(row["hashes"], dtype=np.uint64)
+        self.owner = np.repeat(np.arange(self.docs.size, dtype=np.int32), self.sizes)
+        #: A token's context, as an index into hashes and START after them.
+        self.context = np.concatenate([[0], self.flat[:-1]]).astype(np.int32)
+        self.context[np.cumsum(self.sizes) - self.sizes] = self.hashes.size
+        self.contexts = np.append(self.hashes, START)
 
-def _deal(shards: int, hot: np.ndarray):
-    """Rows of (row number, held out, text, key) to one row for each shard and chunk of tokens. A
-    chunk is named by the number of its first row; its texts are counted from 0, and twice that
-    number plus 1 for held-out texts is what a token's row carries."""
 
-    def flush(held: list, words: Words) -> Iterator[pa.RecordBatch]:
-        flat = np.concatenate([x[0] for x in held])
-        sizes = np.concatenate([x[1] for x in held])
-        chunk = int(held[0][2])
-        docs = np.concatenate([x[4] for x in held]).astype(np.int32) + 2 * np.arange(sizes.size, dtype=np.int32)
-        keys = pa.chunked_array([x[3] for x in held]).combine_chunks()
-        context = np.empty_like(flat)
-        context[1:] = flat[:-1]
-        context[np.cumsum(sizes) - sizes] = 1
-        hashes = np.array(words.hashes, dtype=np.uint64)
-        place = np.minimum(np.searchsorted(hot, hashes), max(hot.size - 1, 0))
-        is_hot = hot[place] == hashes if hot.size else np.zeros(hashes.size, dtype=bool)
-        shard = (_mix(hashes) % np.uint64(shards)).astype(np.int32)[flat]
-        wide = np.flatnonzero(is_hot[flat])
-        shard[wide] = (_mix(hashes[flat[wide]] ^ hashes[context[wide]] * np.uint64(0x9FB21C651E98DF25)) % np.uint64(shards)).astype(np.int32)
-        shard = shard.astype(np.uint16) if shards <= 1 << 16 else shard
-        order = np.argsort(shard, kind="stable")
-        owner = np.repeat(np.arange(docs.size, dtype=np.int32), sizes)[order]
-        shard, flat, context = shard[order], flat[order], context[order]
-        edges = np.searchsorted(shard, np.arange(shards + 1))
-        local = np.zeros(hashes.size, dtype=np.int32)
-
-        def indexed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            some = np.unique(ids)
-            local[some] = np.arange(some.size)
-            return hashes[some], _small(local[ids], some.size)
-
-        columns: list[list] = [[] for _ in range(11)]
-        for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-            a, b = edges[k], edges[k + 1]
-            own_words, word_at = indexed(flat[a:b])
-            contexts, context_at = indexed(context[a:b])
-            mine = owner[a:b]
-            first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            # a key rides with the one end token of its text
-            ended = np.zeros(first.size, dtype=bool)
-            ended[np.searchsorted(mine[first], mine[flat[a:b] == 0])] = True
-            own_keys = keys.take(pa.array(mine[first], mask=~ended)).to_pylist()
-            values = (k, chunk, own_words.tobytes(), contexts.tobytes(), word_at.tobytes(), context_at.tobytes(), docs[mine[first]].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), own_keys, word_at.itemsize == 4, context_at.itemsize == 4)
-            for c, x in zip(columns, values):
-                c.append(x)
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.list_(keys.type), pa.bool_(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in DEALT.split(", ")])
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Chunk({name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)})
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, held_n = Words(), [], 0
-        for batch in batches:
-            for part in pieces(batch, "text", STEP):
-                flat, sizes = tokens_of(part.column(2).to_pylist(), words)
-                held.append((flat, sizes, part.column(0)[0].as_py(), part.column(3), part.column(1).to_numpy(zero_copy_only=False)))
-                held_n += flat.size
-                if held_n >= FLUSH_TOKENS or len(words) >= KNOWN_WORDS:
-                    yield from flush(held, words)
-                    held, held_n = [], 0
-                    if len(words) >= KNOWN_WORDS:
-                        words.forget()
-        if held:
-            yield from flush(held, words)
 
-    return deal
+def index_in(level: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of x in a sorted array, -1 where it is missing."""
+    if not level.size:
+        return np.full(x.size, -1)
+    at = np.minimum(np.searchsorted(level, x), level.size - 1)
+    return np.where(level[at] == x, at, -1)
+
+
+def read_columns(path: str, names: list[str]) -> list[np.ndarray]:
+    import pyarrow.dataset as ds
+
+    files, at = file_system(path)
+    table = ds.dataset(at, filesystem=files, format="parquet").to_table(names)
+    return [table.column(c).to_numpy() for c in names]
+
+
+class Known:
+    """What is known of words and pairs: counts of pairs by code (word index * contexts + context
+    index), and what each pair adds to a text."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, contexts: np.ndarray, norm: float, prior: float):
+        self.words, self.counts, self.contexts, self.norm, self.prior = words, counts, contexts, norm, prior
+
+    def arrays(self, pairs: np.ndarray, pair_counts: np.ndarray) -> list[np.ndarray]:
+        """The trie of the training pairs."""
+        word, context = np.divmod(pairs, max(1, self.contexts.size))
+        seen = np.flatnonzero(self.counts > 0)
+        place = np.full(self.words.size, -1)
+        place[seen] = np.arange(seen.size)
+        rest = self.prior * 10 ** (np.log10(self.counts[seen] + PSEUDO) - self.norm)
+        used = np.bincount(context, minlength=self.contexts.size) > 0
+        rank = (np.cumsum(used, dtype=np.int32) - np.int32(1))[context]
+        return trie_arrays(self.words[seen], self.counts[seen], place[word], self.contexts[used], rank, pair_counts, rest, self.prior)
+
+    def ask(self, trie: Trie) -> None:
+        """What a word adds whatever its context."""
+        self.trie, self.entry = trie, trie.find(trie.words, self.words)
+        self.met = self.entry >= 0
+        self.count = np.zeros(self.words.size, dtype=np.int64)
+        self.count[self.met] = trie.counts[self.entry[self.met]]
+        self.base = np.log10(self.count + PSEUDO) - self.norm
+        self.as_context = np.full(self.words.size, -math.log10(self.prior))
+        self.as_context[self.met] = restored(trie.as_context[0], trie.as_context[1][self.entry[self.met]])
+        self.as_context[self.words == END] = 0.0  # nothing follows the end
+
+    def added(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pair: whether its word is known, the base and the model's logarithm."""
+        word, context = np.divmod(pairs, max(1, self.contexts.size))
+        part = math.log10(self.prior) + self.base[word]
+        found = np.flatnonzero(self.met[word])
+        if found.size:
+            words, word_at = np.unique(word[found], return_inverse=True)
+            contexts, context_at = np.unique(context[found], return_inverse=True)
+            part[found] = self.trie.numerators(self.entry[words], self.contexts[contexts], word_at, context_at)
+        return (self.count[word] > 0).astype(np.uint32), self.base[word], part + self.as_context[word]
+
+
+@lru_cache(maxsize=2)
+def hot_of(folder: str, norm: float, prior: float) -> tuple[np.ndarray, np.ndarray, Known, np.ndarray, tuple]:
+    """Hot words with their training counts; of the hot pairs what is known, their codes and what each adds."""
+    words, counts = read_columns(f"{folder}/hot_words", ["word", "n"])
+    order = np.argsort(words.view(np.uint64))
+    words, counts = words.view(np.uint64)[order], counts[order]
+    of, context, n = read_columns(f"{folder}/hot_pairs", ["word", "context", "n"])
+    contexts = np.unique(context.view(np.uint64))
+    known = Known(words, counts, contexts, norm, prior)
+    codes = np.searchsorted(words, of.view(np.uint64)) * np.int64(contexts.size) + np.searchsorted(contexts, context.view(np.uint64))
+    order = np.argsort(codes)
+    codes, n = codes[order], n[order]
+    known.ask(Trie(known.arrays(codes[n > 0], n[n > 0])))
+    return words, counts, known, codes, known.added(codes)
+
+
+def _hot_pairs(folder: str):
+    """(word, context, every, n) of the pairs of hot words in each chunk."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.sort(read_columns(f"{folder}/hot_words", ["word"])[0].view(np.uint64))
+        contexts = np.unique(np.append(hot, START))
+        for chunk in _chunks(batches):
+            word, context = index_in(hot, chunk.hashes)[chunk.flat], index_in(contexts, chunk.contexts)[chunk.context]
+            both = np.flatnonzero((word >= 0) & (context >= 0))
+            code, at, every = np.unique(word[both] * np.int64(contexts.size) + context[both], return_inverse=True, return_counts=True)
+            train = np.bincount(at[chunk.docs[chunk.owner[both]] % 2 == 0], minlength=code.size)
+            of, by = np.divmod(code, contexts.size)
+            yield pa.RecordBatch.from_arrays([pa.array(hot[of].view(np.int64)), pa.array(contexts[by].view(np.int64)), pa.array(every), pa.array(train)], names=["word", "context", "every", "n"])
+
+    return count
 
 
 SCORED = "chunk long, docs binary, sizes binary, known binary, base binary, score binary, keys array<KEY>"
+#: What goes to a shard: a part of a chunk's tokens, or what the chunk scored itself.
+DEALT = "shard int, words binary, contexts binary, word_at binary, context_at binary, " + SCORED
 SUMS = "key KEY, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
+def _deal(folder: str, shards: int, norm: float, prior: float, key_type: pa.DataType):
+    kinds = [pa.int32(), *[pa.binary()] * 4, pa.int64(), *[pa.binary()] * 5, pa.list_(key_type)]
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds)], names=_columns(DEALT))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_words, _, known, codes, (hot_known, hot_base, hot_part) = hot_of(folder, norm, prior)
+        for chunk in _chunks(batches):
+            word_place = index_in(hot_words, chunk.hashes)
+            word, context = word_place[chunk.flat], index_in(known.contexts, chunk.contexts)[chunk.context]
+            both = np.flatnonzero((word >= 0) & (context >= 0))
+            place = index_in(codes, word[both] * np.int64(known.contexts.size) + context[both])
+            own, place = both[place >= 0], place[place >= 0]
+            n = chunk.docs.size
+            sums = lambda x: np.bincount(chunk.owner[own], weights=x[place], minlength=n)
+            here = np.bincount(chunk.owner[own], minlength=n).astype(np.uint32)
+            yield row(chunk.name % shards, None, None, None, None, chunk.name, packed(chunk.docs), packed(here), packed(sums(hot_known).astype(np.uint32)), sums(hot_base).tobytes(), sums(hot_part).tobytes(), chunk.keys)
+
+            shard = (_mix(chunk.hashes) % np.uint64(shards)).astype(np.int32)[chunk.flat]
+            wide = np.flatnonzero(word >= 0)
+            pair = chunk.hashes[chunk.flat[wide]] ^ chunk.contexts[chunk.context[wide]] * np.uint64(0x9FB21C651E98DF25)
+            shard[wide] = (_mix(pair) % np.uint64(shards)).astype(np.int32)
+            shard[own] = shards  # stays
+            shard = shard.astype(np.uint16) if shards < 1 << 16 else shard
+            order = np.argsort(shard, kind="stable")
+            shard, owner, flat, context = shard[order], chunk.owner[order], chunk.flat[order], chunk.context[order]
+            edges = np.searchsorted(shard, np.arange(shards + 1))
+            local = np.zeros(chunk.contexts.size, dtype=np.int32)
+
+            def indexed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                some = np.unique(ids)
+                local[some] = np.arange(some.size)
+                return chunk.contexts[some], _small(local[ids], some.size)
+
+            for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                a, b = edges[k], edges[k + 1]
+                words, word_at = indexed(flat[a:b])
+                contexts, context_at = indexed(context[a:b])
+                mine = owner[a:b]
+                first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+                counted = np.diff(np.append(first, b - a)).astype(np.uint32)
+                yield row(k, words.tobytes(), six_bytes(contexts), packed(word_at), packed(context_at), chunk.name, packed(chunk.docs[mine[first]]), packed(counted), None, None, None, None)
+
+    return deal
+
+
 def added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes in order with their counts summed."""
     code = np.concatenate(codes)
@@ -371,24 +520,28 @@ def added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return code[first], np.add.reduceat(count, first) if first.size else count
 
 
-def _score(folder: str, hot_words: np.ndarray, hot_counts: np.ndarray, total: int, distinct: int, prior: float):
-    norm = math.log10(total + PSEUDO * (distinct + 1))
+def _score(folder: str, norm: float, prior: float):
     u64 = lambda x: np.frombuffer(x, dtype=np.uint64)
+    names = _columns(SCORED)
 
     def shard_rows(number: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         """Two passes over the shard's chunks, one chunk in hand at a time: the first counts the
         training pairs and builds the trie, the second scores."""
+        ready = table.column("words").is_null()
+        yield from table.filter(ready).select(names).to_batches()
+        table = table.filter(pa.compute.invert(ready))
+        if not table.num_rows:
+            return
         one = lambda c, i: table.column(c)[i].as_py()
         n = table.num_rows
         all_words = np.unique(np.concatenate([np.unique(u64(one("words", i))) for i in range(n)]))
-        all_contexts = np.unique(np.concatenate([np.unique(u64(one("contexts", i))) for i in range(n)]))
+        all_contexts = np.unique(np.concatenate([np.unique(of_six_bytes(one("contexts", i))) for i in range(n)]))
 
         def chunk_of(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Pair codes of the tokens, their texts, and how many tokens each text has."""
-            index = lambda c, wide: np.frombuffer(one(c, i), dtype=np.uint32 if one(wide, i) else np.uint16)
-            word = np.searchsorted(all_words, u64(one("words", i)))[index("word_at", "long_word")]
-            context = np.searchsorted(all_contexts, u64(one("contexts", i)))[index("context_at", "long_context")]
-            return word * np.int64(all_contexts.size) + context, np.frombuffer(one("docs", i), dtype=np.int32), np.frombuffer(one("sizes", i), dtype=np.uint32).astype(np.int64)
+            word = np.searchsorted(all_words, u64(one("words", i)))[unpacked(one("word_at", i))]
+            context = np.searchsorted(all_contexts, of_six_bytes(one("contexts", i)))[unpacked(one("context_at", i))]
+            return word * np.int64(all_contexts.size) + context, unpacked(one("docs", i)).astype(np.int32), unpacked(one("sizes", i)).astype(np.int64)
 
         codes, counts_of, waiting = [], [], 0
         for i in range(n):
@@ -402,46 +555,22 @@ def _score(folder: str, hot_words: np.ndarray, hot_counts: np.ndarray, total: in
                 codes, counts_of, waiting = [code], [count], 0
         pairs, pair_counts = added(codes, counts_of)
         del codes, counts_of
-        pair_word, pair_context = np.divmod(pairs, all_contexts.size)
-        counts = np.bincount(pair_word, weights=pair_counts, minlength=all_words.size).astype(np.int64)
-        if hot_words.size:
-            at = np.minimum(np.searchsorted(hot_words, all_words), hot_words.size - 1)
-            counts = np.where(hot_words[at] == all_words, hot_counts[at], counts)
-        seen = np.flatnonzero(counts > 0)
-        rank = np.full(all_words.size, -1)
-        rank[seen] = np.arange(seen.size)
-        rest = prior * 10 ** (np.log10(counts[seen] + PSEUDO) - norm)
-        path = f"{folder}/shard-{number:06d}.trie"
-        used = np.bincount(pair_context, minlength=all_contexts.size) > 0
-        context_rank = (np.cumsum(used, dtype=np.int32) - np.int32(1))[pair_context]
-        write_arrays(path, trie_arrays(all_words[seen], counts[seen], rank[pair_word], all_contexts[used], context_rank, pair_counts, rest, prior))
-        del pairs, pair_counts, pair_word, pair_context, counts, seen, rank, rest, context_rank
-        trie = Trie(mapped_arrays(path))
-
-        # What a word adds whatever its context.
-        entry = trie.find(trie.words, all_words)
-        met = entry >= 0
-        word_count = np.zeros(all_words.size, dtype=np.int64)
-        word_count[met] = trie.counts[entry[met]]
-        base = np.log10(word_count + PSEUDO) - norm
-        as_context = np.full(all_words.size, -math.log10(prior))
-        as_context[met] = restored(trie.as_context[0], trie.as_context[1][entry[met]])
-        as_context[all_words == END] = 0.0  # nothing follows the end
+        counts = np.bincount(pairs // all_contexts.size, weights=pair_counts, minlength=all_words.size).astype(np.int64)
+        hot_words, hot_counts, *_ = hot_of(folder, norm, prior)
+        place = index_in(hot_words, all_words)
+        counts[place >= 0] = hot_counts[place[place >= 0]]
+        known = Known(all_words, counts, all_contexts, norm, prior)
+        path = f"{folder}/model/shard-{number:06d}.trie"
+        write_arrays(path, known.arrays(pairs, pair_counts))
+        del pairs, pair_counts, counts
+        known.ask(Trie(mapped_arrays(path)))
         for i in range(n):
             code, docs, sizes = chunk_of(i)
             pairs, pair_at = np.unique(code, return_inverse=True)
-            word, context = np.divmod(pairs, all_contexts.size)
-            part = math.log10(prior) + base[word]
-            found = np.flatnonzero(met[word])
-            if found.size:
-                words, word_at = np.unique(word[found], return_inverse=True)
-                contexts, context_at = np.unique(context[found], return_inverse=True)
-                part[found] = trie.numerators(entry[words], all_contexts[contexts], word_at, context_at)
-            part += as_context[word]
             first = np.cumsum(sizes) - sizes
-            total_of = lambda x: np.add.reduceat(x[pair_at], first)
-            values = (one("chunk", i), one("docs", i), one("sizes", i), total_of((word_count[word] > 0).astype(np.uint32)).astype(np.uint32).tobytes(), total_of(base[word]).tobytes(), total_of(part).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([values[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in values[1:]], table.column("keys").slice(i, 1).combine_chunks()], names=[x.split()[0] for x in SCORED.split(", ")])
+            seen, base, score = (np.add.reduceat(x[pair_at], first) for x in known.added(pairs))
+            values = [one("chunk", i), one("docs", i), one("sizes", i), packed(seen.astype(np.uint32)), base.tobytes(), score.tobytes(), None]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, [table.schema.field(c).type for c in names])], names=names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (number,), table in stream_groups(batches, ["shard"]):
@@ -456,47 +585,49 @@ def _gather(start: float):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in stream_groups(batches, ["chunk"]):
             joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind)
-            docs = joined("docs", np.int32)
+            whole = lambda c: np.concatenate([unpacked(x) for x in table.column(c).to_pylist()])
+            docs = whole("docs").astype(np.int32)
             n = int(docs.max()) // 2 + 1
             held = np.zeros(n, dtype=bool)
             held[docs // 2] = docs % 2 == 1
-            sums = lambda c, kind: np.bincount(docs // 2, weights=joined(c, kind), minlength=n)
-            names = table.column("keys").combine_chunks().flatten()
-            names = pa.chunked_array([names]).combine_chunks() if isinstance(names, pa.ChunkedArray) else names
-            filled = np.flatnonzero(np.asarray(names.is_valid()))
-            key_at = np.full(n, -1)
-            key_at[docs[filled] // 2] = filled
-            keys = names.take(pa.array(np.maximum(key_at, 0), mask=key_at < 0))
-            columns = [keys, pa.array(held), pa.array(sums("sizes", np.uint32).astype(np.int64)), pa.array(sums("known", np.uint32).astype(np.int64)), pa.array(sums("base", np.float64)), pa.array(sums("score", np.float64) + start)]
+            sums = lambda values: np.bincount(docs // 2, weights=values, minlength=n)
+            keys = table.column("keys").combine_chunks().flatten()  # of the one row that has them
+            keys = pa.chunked_array([keys]).combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+            columns = [keys, pa.array(held), pa.array(sums(whole("sizes")).astype(np.int64)), pa.array(sums(whole("known")).astype(np.int64)), pa.array(sums(joined("base", np.float64))), pa.array(sums(joined("score", np.float64)) + start)]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SUMS.split(", ")])
 
     return gather
 
 
-def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 10, held_fold: int = 0, prior: float = PRIOR, scratch: Scratch | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 10, held_fold: int = 0, prior: float = PRIOR, shard_tokens: int = SHARD_TOKENS, scratch: Scratch | None = None) -> DataFrame:
     """Per row: the key, held_out, n_tokens, n_known, train_tokens, base_score, score. The model
     is trained on the rows outside held_fold; its tries stay in the scratch folder's `model`."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     rows = docs.select(quoted(key).alias("key"), quoted(text).cast("string").alias("text"), (crc_bucket(quoted(key), folds) == held_fold).alias("held"))
-    unigrams = rows.filter("NOT held").select("text").mapInArrow(_unigrams, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    unigrams = scratch.keep(unigrams, "unigrams")
-    total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    train_docs = int(unigrams.filter(F.col("word") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    hot = unigrams.filter(F.col("n") * HOT >= total).collect() if total else []  # at most HOT rows
-    hot = sorted((int(np.int64(r["word"]).view(np.uint64)), r["n"]) for r in hot)
-    hot_words, hot_counts = np.array([w for w, _ in hot], dtype=np.uint64), np.array([n for _, n in hot], dtype=np.int64)
-    shards = max(16, -(-total // SHARD_TOKENS))
-    # A text's number exists within this one pass only: the key rides along with it.
     kind = "long" if rows.schema["key"].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
+    # A text's number exists within this one pass only: the key rides along with it.
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "held", "text", F.col("key").cast(kind).alias("key"))
-    dealt = numbered.mapInArrow(_deal(shards, hot_words), DEALT.replace("KEY", kind))
+    chunks = scratch.keep(numbered.mapInArrow(_tokenise, CHUNKS.replace("KEY", kind)), "chunks")
+    unigrams = chunks.select("hashes", "all_counts", "train_counts").mapInArrow(_unigrams, "word long, every long, n long").groupBy("word").agg(F.sum("every").alias("every"), F.sum("n").alias("n"))
+    unigrams = scratch.keep(unigrams, "unigrams")
+    sums = unigrams.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("n"), (F.col("n") > 0).cast("long"), F.col("every"), F.when(F.col("word") == int(END.view(np.int64)), F.col("n")))])
+    total, distinct, every, train_docs = map(int, sums.first())
+    shards = max(16, -(-every // shard_tokens))
+    least = max(2, shard_tokens // HOT_PART)
+    scratch.keep(unigrams.filter(F.col("every") >= least).select("word", "n").coalesce(1), "hot_words")
+    scratch.drop("unigrams")
+    folder = scratch.path("")[:-1]
+    pairs = chunks.mapInArrow(_hot_pairs(folder), "word long, context long, every long, n long").groupBy("word", "context").agg(F.sum("every").alias("every"), F.sum("n").alias("n"))
+    scratch.keep(pairs.filter(F.col("every") >= least).select("word", "context", "n").coalesce(1), "hot_pairs")
+    norm = math.log10(total + PSEUDO * (distinct + 1))
+    dealt = chunks.mapInArrow(_deal(folder, shards, norm, prior, pa.int64() if kind == "long" else pa.string()), DEALT.replace("KEY", kind))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
-    scored = dealt.mapInArrow(_score(scratch.path("model"), hot_words, hot_counts, int(total), int(distinct), prior), SCORED.replace("KEY", kind))
+    scored = dealt.mapInArrow(_score(folder, norm, prior), SCORED.replace("KEY", kind))
     start = -math.log10(train_docs + prior)  # the start of a text as the context of its first token
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sums = scored.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_gather(start), SUMS.replace("KEY", kind))
-    return sums.select(F.col("key").cast(rows.schema["key"].dataType).alias(key), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    return sums.select(F.col("key").cast(rows.schema["key"].dataType).alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -36,17 +36,32 @@ def brute(rows, prior=lm.PRIOR):
     return out
 
 
-@pytest.mark.parametrize("hot", [4, lm.HOT])
-def test_scores_match_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(lm, "HOT", hot)
+@pytest.mark.parametrize("shard_tokens", [16, 400, lm.SHARD_TOKENS])
+def test_scores_match_brute_force(spark, shard_tokens):
     rows = [(i, " ".join(f"W{(i * j * 7) % (5 + i % 11)}" for j in range(i % 40))) for i in range(120)] + [(500, None), (None, "a b"), (7, "W1 W2"), (7, "W1 W2")]
-    got = sorted(tuple(r[1:]) for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    want = sorted(brute(rows))
+    got = sorted(tuple(r[1:]) for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), shard_tokens=shard_tokens).collect())
+    compare(got, sorted(brute(rows)))
+
+
+def compare(got, want):
     assert len(got) == len(want)
     for g, w in zip(got, want):
         assert g[:4] == w[:4] and abs(g[4] - w[4]) < 1e-9 and abs(g[5] - w[5]) < 1e-3 * max(1, w[1])
 
 
+def test_a_pair_in_half_of_all_tokens_never_travels(spark):
+    """One pair is hot in training, one in held-out texts alone; a shard still gets few tokens of either."""
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 10 == 0]
+    rows = [(k, ("x y " * 30 if k % 2 else f"u{k} v{k % 7} ") + f"w{k}") for k in range(400)] + [(held[0], "p q " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scratch = lm.Scratch(spark)
+    got = sorted(tuple(r[1:]) for r in lm.score_texts(docs, shard_tokens=800, scratch=scratch).collect())
+    compare(got, sorted(brute(rows)))
+    hot = {(r["word"], r["context"]): r["n"] for r in spark.read.parquet(scratch.path("hot_pairs")).collect()}
+    name = lambda w: int(np.uint64(lm.xxhash.xxh64_intdigest(w)).view(np.int64))
+    assert hot[name(b"y"), name(b"x")] > 5000 and hot[name(b"q"), name(b"p")] == 0
+
+
 def test_probabilities_sum_to_one():
     counts, pairs, prior = {"a": 3, "b": 1}, {("a", "b"): 1, ("a", "a"): 2}, 5.0
     n, v = 4, 2
