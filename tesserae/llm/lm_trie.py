@@ -622,7 +622,8 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fol
     scratch.keep(pairs.filter(F.col("every") >= least).select("word", "context", "n").coalesce(1), "hot_pairs")
     norm = math.log10(total + PSEUDO * (distinct + 1))
     dealt = chunks.mapInArrow(_deal(folder, shards, norm, prior, pa.int64() if kind == "long" else pa.string()), DEALT.replace("KEY", kind))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
+    # A shard is a partition: hashed numbers of shards would put several into one.
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     scored = dealt.mapInArrow(_score(folder, norm, prior), SCORED.replace("KEY", kind))
     start = -math.log10(train_docs + prior)  # the start of a text as the context of its first token
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
