@@ -5,13 +5,16 @@ is a conjunction of thresholds. A lasso logistic regression weighs the rules and
 those left are compiled into one Spark column expression, so scoring runs inside the JVM over
 the statistics, for every row.
 
-Learning uses at most `sample` labelled rows (those with the least hash of their key), held on
-the driver; this bound is the only one. Everything else covers all rows.
+Learning uses about `sample` labelled keys, one row each, held on the driver: all of them where
+there are no more, else those whose hash lies below sample / their number, so that the driver gets
+the same bytes however many rows and partitions there are. Everything else covers all rows. The
+statistics are counted by a loop over each text in Arrow batches, not in the JVM.
 
 Defined cases: a null text has the statistics of an empty one; null keys count as '' in the
 split; of several labels of a key the least counts; rows that repeat are scored alike; without
 labels, or with one class only, the score is that class's rate (0.5 without labels); an empty
-table gives an empty result.
+table gives an empty result; only the key of the input is kept, so no name clashes; texts of any
+length are counted whole.
 """
 
 from __future__ import annotations
@@ -146,16 +149,24 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, pe
     spread = z.std(axis=0)
     z, rules = z[:, spread > 0], [r for r, s in zip(rules, spread) if s > 0]
     mean, spread = z.mean(axis=0), z.std(axis=0)
+    b, w = lasso((z - mean) / spread, y, penalty)  # standardised, so that one penalty fits all rules
+    kept = np.flatnonzero(w)
+    weights = w[kept] / spread[kept]
+    return b - float(weights @ mean[kept]), [(float(a), rules[k]) for a, k in zip(weights, kept)]
+
+
+def lasso(z: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[float, np.ndarray]:
+    """Intercept and weights that make the mean logistic loss plus penalty * sum |w| least."""
+    rate = float(y.mean())
     w, b = np.zeros(z.shape[1]), float(np.log(rate / (1 - rate)))
     v, vb, t = w.copy(), b, 1.0
-    z = (z - mean) / spread  # standardised, so that one penalty fits all rules
     power = np.ones(z.shape[1]) / np.sqrt(z.shape[1])
     for _ in range(30):
         power = z.T @ (z @ power)
         size = float(np.linalg.norm(power))
         power /= size
     rate_of = 4.0 * y.size / (size + y.size)
-    for _ in range(STEPS):  # accelerated proximal gradient
+    for _ in range(steps):  # accelerated proximal gradient
         error = 1 / (1 + np.exp(-(z @ v + vb))) - y
         new = v - rate_of * (z.T @ error) / y.size
         new = np.sign(new) * np.maximum(np.abs(new) - rate_of * penalty, 0)
@@ -163,9 +174,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, pe
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / nt * (new - w), new_b + (t - 1) / nt * (new_b - b)
         w, b, t = new, new_b, nt
-    kept = np.flatnonzero(w)
-    weights = w[kept] / spread[kept]
-    return b - float(weights @ mean[kept]), [(float(a), rules[k]) for a, k in zip(weights, kept)]
+    return b, w
 
 
 def compiled(intercept: float, rules: list[tuple[float, Rule]]) -> Column:
@@ -183,8 +192,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     stats = scratch.keep(text_statistics(docs, key, text), "stats")
     held = crc_bucket(F.col("key"), folds) == held_fold
     marks = labels.filter(quoted(label).isNotNull()).groupBy(quoted(key).alias("l")).agg(F.min(quoted(label)).alias("y"))
-    learn = stats.filter(~held).join(marks, F.col("key") == F.col("l"))
-    learn = learn.withColumn("__h", F.xxhash64("key")).orderBy("__h", *STATS).limit(sample).select(*STATS, "y").toPandas()
+    marks = scratch.keep(marks.filter(crc_bucket(F.col("l"), folds) != held_fold), "marks")
+    share = min(1.0, sample / max(1, marks.count()))
+    marks = marks.filter(F.pmod(F.xxhash64("l", F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    learn = stats.join(marks, F.col("key") == F.col("l")).groupBy("key", "y").agg(F.min(F.struct(*STATS)).alias("x"))  # one row a key
+    learn = learn.select("x.*", "y").toPandas().sort_values([*STATS, "y"])
     intercept, rules = fit(learn[list(STATS)].to_numpy(dtype=np.float64), learn["y"].to_numpy(dtype=np.float64))
     scored = stats.select(F.col("key").alias(key), held.alias("held_out"), compiled(intercept, rules).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
