@@ -62,3 +62,9 @@ def test_null_keys_repeats_and_empty(spark):
     got = sorted((str(r["doc_id"]), str(r["clean_text"])) for r in s.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted([("5", long), ("5", long), ("None", ""), ("None", "None")])
     assert s.dedup_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_every_repeat_goes_without_a_least_length(spark):
+    rows = [(1, "Short line.\nOwn one here."), (2, "Own two here.\nshort  LINE."), (3, "A passage without any stops " + "that goes on " * 5), (4, "Joined to A passage without any stops " + "that goes on " * 5)]
+    got = {r["doc_id"]: r["clean_text"] for r in s.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), min_words=1).collect()}
+    assert got == {**dict(rows), 2: "Own two here.\n"}  # a passage that shares no cut with its copy stays
