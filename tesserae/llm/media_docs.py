@@ -1,8 +1,8 @@
 """Interleaved documents of text and media, with payloads stored once by digest.
 
 HTML becomes an ordered list of items: text runs, and media references with their caption
-(figcaption, else alt, else title). References name payloads by digest or by address. The store
-is a table (digest, media); a task writes a form once however often it meets it. Features come
+(figcaption, else alt, else title; a figcaption is that of all media of its figure, before or after
+it, and text where it has none). References name payloads by digest. The store is a table (digest, media); a task writes a form once however often it meets it. Features come
 from the stored bytes, where they lie; only their small rows are grouped by digest, and a
 reference resolves by a join on its digest. Items keep their positions and captions whether or
 not they resolve.
@@ -11,7 +11,8 @@ Payloads are kept losslessly as 8-bit grey PNG images, 64 samples wide, made and
 
 Defined cases: null or empty HTML has no items; references that resolve to nothing have null
 payload columns; several references to one payload share it; repeated rows keep an item list
-each; an empty table gives an empty result; outputs replace input columns of their name.
+each; an empty table gives an empty result; outputs replace input columns of their name; a page or
+payload of any length is parsed and stored whole, one at a time.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ class _Items(HTMLParser):
         self.hidden = 0
         self.figure: list[int] | None = None
         self.caption: list[str] | None = None
+        self.figure_caption: str | None = None
 
     def end_text(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -76,8 +78,14 @@ class _Items(HTMLParser):
                 if self.figure is not None:
                     self.figure.append(len(self.items) - 1)
         elif tag in _BREAKS:
+            if tag in ("figure", "figcaption"):
+                self.end_caption()
+            if self.caption is not None:
+                self.caption.append(" ")
+                return
             self.end_text()
             if tag == "figure":
+                self.end_figure()
                 self.figure = []
             elif tag == "figcaption":
                 self.caption = []
@@ -85,15 +93,34 @@ class _Items(HTMLParser):
     def handle_endtag(self, tag) -> None:
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            caption = " ".join("".join(self.caption).split()) or None
-            self.caption = None
-            for i in self.figure or []:
-                self.items[i]["caption"] = caption or self.items[i]["caption"]
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag in _BREAKS:
-            self.end_text()
             if tag == "figure":
-                self.figure = None
+                self.end_caption()
+                self.end_figure()
+            if self.caption is None:
+                self.end_text()
+
+    def end_caption(self) -> None:
+        """The open caption, if any, is kept for its figure; outside a figure it is text."""
+        if self.caption is None:
+            return
+        caption = " ".join("".join(self.caption).split())
+        self.caption = None
+        if self.figure is not None:
+            self.figure_caption = " ".join(x for x in (self.figure_caption, caption) if x)
+        elif caption:
+            self._add("text", caption, None, None)
+
+    def end_figure(self) -> None:
+        caption, media = self.figure_caption, self.figure
+        self.figure = self.figure_caption = None
+        for i in media or []:
+            self.items[i]["caption"] = caption or self.items[i]["caption"]
+        if caption and not media:
+            self.end_text()
+            self._add("text", caption, None, None)
 
     def handle_data(self, data) -> None:
         if self.hidden:
@@ -107,7 +134,9 @@ def items_of(html: str | None) -> list[dict]:
     parser = _Items()
     parser.feed(html)
     parser.close()
+    parser.end_caption()
     parser.end_text()
+    parser.end_figure()
     return parser.items
 
 

@@ -3,9 +3,10 @@
 Texts are cut where no piece of the vocabulary holds the two characters side by side: no merge
 can ever cross such a cut, so each part is encoded by itself. Parts not met before are merged
 together in numpy: flat symbol arrays, in each round the least pair rank of each word, all its
-leftmost non-overlapping occurrences at once, then compaction, until no pair remains. A round
-merges one occurrence only, the leftmost, where the new piece could make a better pair than the
-one merged (the model's rank inversions), so the order is that of one merge at a time.
+leftmost non-overlapping occurrences at once, then compaction, until no pair remains. Where a new
+piece makes a pair with its neighbours that is as good as the one merged or better (the model's
+rank inversions), a word's round ends with that occurrence, so the order is that of one merge at a
+time.
 
 Decoding is a gather of piece bytes by id over flat arrays.
 
@@ -29,13 +30,14 @@ from pyspark.sql import types as T
 
 from tesserae.session import ship
 
-from .common import pieces, quoted
+from .common import pieces, quoted, small_batches
 
 SPACE = "▁"
 #: Words known to a worker at most; beyond that its table starts anew.
-KNOWN_WORDS, KNOWN_IDS = 250_000, 2_000_000
-#: After so many rounds the words still unfinished (runs of one character) use a heap.
-ROUNDS = 60
+KNOWN_WORDS, KNOWN_IDS = 100_000, 1_000_000
+#: Rounds after which a word that is not finished goes on with a heap, in the same order of merges.
+#: Only runs of thousands of spaces were seen to need them; each of their rounds settles few.
+ROUNDS = 500
 NONE = np.int32(2**31 - 1)
 
 
@@ -158,13 +160,22 @@ class PieceModel:
             starts = np.flatnonzero(run)
             offset = np.arange(take.size) - np.repeat(starts, np.diff(np.concatenate([starts, [take.size]])))
             take = take[offset % 2 == 0]
-            # one only where a better pair could arise, or where one rank names several pieces
-            risky = self.careful[made[take]]
-            lead = np.concatenate([[True], word[take][1:] != word[take][:-1]])
-            if risky.any():
-                group = np.cumsum(lead) - 1
-                any_risky = np.bitwise_or.reduceat(risky, np.flatnonzero(lead))
-                take = take[lead | ~any_risky[group]]
+            # up to the first in a word after which a pair as good or better stands beside it
+            if (risky := np.flatnonzero(self.careful[made[take]])).size:
+                i = take[risky]
+                new = made[i]
+                joined = np.zeros(i.size, dtype=bool)  # whether the piece before was made just now
+                joined[risky > 0] = take[risky[risky > 0] - 1] == i[risky > 0] - 2
+                left = np.where(joined, made[np.maximum(i - 2, 0)], symbol[np.maximum(i - 1, 0)])
+                right = symbol[np.minimum(i + 2, symbol.size - 1)]
+                left_in = (i > 0) & (word[np.maximum(i - 1, 0)] == word[i])
+                right_in = (i + 2 < symbol.size) & (word[np.minimum(i + 2, symbol.size - 1)] == word[i])
+                near = np.minimum(self._pair_rank(left, new, left_in), self._pair_rank(new, right, right_in))
+                ends = np.zeros(take.size, dtype=np.int64)
+                ends[risky[near <= best[i]]] = 1
+                lead = np.flatnonzero(np.concatenate([[True], word[take][1:] != word[take][:-1]]))
+                before = np.cumsum(ends) - ends
+                take = take[before == np.repeat(before[lead], np.diff(np.append(lead, take.size)))]
             symbol = symbol.copy()
             symbol[take] = made[take]
             stay = np.ones(symbol.size, dtype=bool)
@@ -202,6 +213,13 @@ class PieceModel:
             push(i)
         return [s for s in symbols if s >= 0]
 
+    def _pair_rank(self, left: np.ndarray, right: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """Ranks of the pieces that pairs make, NONE where they make none or are not valid."""
+        key = np.where(valid & (left < self.size) & (right < self.size), left * np.int64(self.size) + right, -1)
+        at = np.minimum(np.searchsorted(self.pair_keys, key), self.pair_keys.size - 1)
+        hit = self.pair_keys[at] == key
+        return np.where(hit, self.rank[np.where(hit, self.pair_ids[at], 0)], NONE)
+
     def _with_bytes(self, symbols: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Characters without an id become the ids of their bytes."""
         odd = symbols >= self.size
@@ -319,7 +337,7 @@ def model_at(path: str) -> PieceModel:
 
 
 #: Bytes of text that a worker handles at a time.
-STEP = 1 << 20
+STEP = 1 << 19
 
 
 def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -330,6 +348,7 @@ def encode_texts(docs: DataFrame, model: str, *, text: str = "text", ids: str =
     """docs (or its columns in keep) with the ids of the text, array<int>; with decoded, also
     the text that these ids decode to, in the same pass."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     outputs = {ids.lower(), (decoded or ids).lower()}
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in outputs]
     packed = docs.select(F.struct(*[quoted(c) for c in names], F.lit(0).alias("__tsr")).alias("row"), quoted(text).cast("string").alias("__text"))
@@ -352,6 +371,7 @@ def encode_texts(docs: DataFrame, model: str, *, text: str = "text", ids: str =
 def decode_ids(encoded: DataFrame, model: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the decoded text; null ids decode to null."""
     ship(encoded.sparkSession)
+    small_batches(encoded.sparkSession)
     names = [c for c in encoded.columns if c.lower() != out.lower()]
     packed = encoded.select(F.struct(*[quoted(c) for c in names]).alias("row"), F.filter(quoted(ids), lambda x: x.isNotNull()).alias("__ids"))
 

@@ -10,7 +10,8 @@ A writer of such files is here too; it also notes which key has which ordinal in
 
 Defined cases: null and empty texts are documents of no tokens; documents without a separator
 at the end of a file count as open ones; empty files have none; repeated rows are documents of
-their own; an empty table writes no file and counts nothing. The end-of-document id must not
+their own; an empty table writes no file and counts nothing; texts of any length are encoded whole;
+only the key of the input is kept, so no name clashes. The end-of-document id must not
 come out of the encoder (it is beyond its vocabulary).
 """
 

@@ -12,7 +12,9 @@ Files are opened with pyarrow.fs (file, hdfs, s3, gs); listings come from Spark.
 Defined cases: a null payload is written as an empty one; null keys and urls come back null;
 equal payloads of `min_revisit` bytes or more keep the row with the largest key as response
 (null is the smallest; rows that tie for it all stay responses) and the others are revisits;
-an empty table makes no archive and reads as no rows; other input columns are not stored.
+an empty table makes no archive and reads as no rows; other input columns, whatever their names,
+are not stored; a payload of any length is one record, which the task that writes or reads it holds
+whole. An archive that is compressed inside its package or cut off is an error, never a part of it.
 """
 
 from __future__ import annotations
@@ -97,18 +99,21 @@ def central_directory(read_at, size: int) -> list[dict]:
     tail_at = max(0, size - 65_557)
     tail = read_at(tail_at, size - tail_at)
     at = tail.rfind(b"PK\5\6")
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + int.from_bytes(tail[at + 20 : at + 22], "little") != len(tail)):
+        at = tail.rfind(b"PK\5\6", 0, at)  # the signature may stand inside the comment
     if at < 0:
         raise ValueError("no end of central directory")
     _, _, _, count, length, start = struct.unpack("<4H2L", tail[at + 4 : at + 20])
     if 0xFFFF in (count,) or 0xFFFFFFFF in (length, start):
         locator = tail[at - 20 : at] if at >= 20 else read_at(tail_at + at - 20, 20)
-        if locator[:4] != b"PK\6\7":
+        if locator[:4] == b"PK\6\7":
+            (where,) = struct.unpack("<Q", locator[8:16])
+            end = read_at(where, 56)
+            if end[:4] != b"PK\6\6":
+                raise ValueError("no ZIP64 end record")
+            count, length, start = struct.unpack("<3Q", end[32:56])
+        elif 0xFFFFFFFF in (length, start):  # 65,535 members alone need no ZIP64
             raise ValueError("no ZIP64 locator")
-        (where,) = struct.unpack("<Q", locator[8:16])
-        end = read_at(where, 56)
-        if end[:4] != b"PK\6\6":
-            raise ValueError("no ZIP64 end record")
-        count, length, start = struct.unpack("<3Q", end[32:56])
     directory, at, out = read_at(start, length), 0, []
     for _ in range(count):
         if directory[at : at + 4] != b"PK\1\2":
@@ -161,7 +166,7 @@ def scan_records(read_at, start: int, size: int, zipped: bool) -> Iterator[tuple
                         raw = held[:length]
                         break
             if want == size - at:
-                return  # cut off
+                raise ValueError(f"the archive's record at byte {at} is cut off")
             need *= 4
         yield at, length, raw
         at, held = at + length, held[length:]
@@ -209,7 +214,8 @@ def write_packages(pages: DataFrame, folder: str, scratch: Scratch, *, key: str
     rows = pages.select(quoted(key).alias("id"), quoted(url).cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     equal = rows.filter(F.col("size") >= min_revisit).groupBy("digest").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("d"), "keeper")
     equal = scratch.keep(equal, "equal")
-    rows = rows.join(equal, (F.col("digest") == F.col("d")) & (F.col("size") >= min_revisit), "left")
+    # A sorted merge at every size: repeated digests grow with the pages and are never broadcast.
+    rows = rows.join(equal.hint("merge"), (F.col("digest") == F.col("d")) & (F.col("size") >= min_revisit), "left")
     revisit = F.col("d").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
     rows = rows.select(F.col("id").cast("string").alias("record_key"), "url", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "digest", revisit.alias("revisit"), F.col("keeper").cast("string").alias("refers_to"))
     return scratch.keep(rows.mapInArrow(_writer(folder), "path string, records long"), "packages")
@@ -238,7 +244,9 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with files.open_input_file(at) as source:
                 read_at = lambda offset, length: source.read_at(length, offset)
                 members = central_directory(read_at, size)
-                archives = {m["name"]: (data_offset(read_at, m), m) for m in members if m["name"].endswith((".warc.gz", ".warc")) and m["method"] == 0}
+                archives = {m["name"]: (data_offset(read_at, m), m) for m in members if m["name"].endswith((".warc.gz", ".warc"))}
+                if packed := [name for name, (_, m) in archives.items() if m["method"] != 0]:
+                    raise ValueError(f"{path}: {packed[0]} is compressed inside the package; its records have no byte ranges")
                 lines = []
                 for m in (m for m in members if m["name"].startswith("indexes/")):
                     raw = read_at(data_offset(read_at, m), m["stored"])
@@ -300,7 +308,8 @@ def resolved(records: DataFrame) -> DataFrame:
     """Facts of every record, a revisit's taken from the response it refers to."""
     facts = records.select("record_key", "url", "record_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     responses = facts.filter("record_type = 'response'").groupBy(F.col("record_id").alias("r_id")).agg(F.max("record_key").alias("r_key"), F.max("payload_bytes").alias("r_bytes"), F.max("payload_digest").alias("r_digest"))
-    joined = facts.join(responses, facts["refers_to"] == F.col("r_id"), "left")
+    # Sorted: what Spark reckons of records comes from the listing of files and says nothing of their number.
+    joined = facts.join(responses.hint("merge"), facts["refers_to"] == F.col("r_id"), "left")
     return joined.select("record_key", "url", "record_type", F.coalesce("payload_bytes", "r_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "r_digest").alias("payload_digest"), F.col("r_key").alias("refers_to"))
 
 

@@ -70,3 +70,27 @@ def test_unresolved_null_and_repeated(spark):
 def test_real_pages(spark):
     pages = m.interleaved(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
     assert all(r["items"] for r in pages.filter("length(html) > 0").select("items").collect())
+
+
+def test_captions_before_outside_and_never_closed():
+    show = lambda html: [(i["kind"], i["text"] or i["reference"], i["caption"]) for i in m.items_of(html)]
+    assert show("<figure><figcaption>Cap</figcaption><img src=a></figure>x") == [("image", "a", "Cap"), ("text", "x", None)]
+    assert show("a<figcaption>alone</figcaption>b") == [("text", "a", None), ("text", "alone", None), ("text", "b", None)]
+    assert show("<figure><img src=a><figcaption>open</figure>after") == [("image", "a", "open"), ("text", "after", None)]
+    assert show("<figure><figcaption>no <p>media</p></figcaption></figure>z") == [("text", "no media", None), ("text", "z", None)]
+    assert show("<figure><img src=a><figcaption>end") == [("image", "a", "end")]
+
+
+def test_facts_and_items_with_clashing_names_and_odd_values(spark):
+    scratch = Scratch(spark)
+    long = "word " * 40_000
+    rows = spark.createDataFrame([(1, long, "own"), (1, long, "own"), (None, None, None), (2, "", "own")], "id long, text string, feature string")
+    stored = m.stored_payloads(rows.selectExpr("*", "'own' AS digest", "'own' AS media", "'own' AS n_bytes"), "text", scratch)
+    assert len(stored.columns) == len(set(stored.columns)) == 5
+    facts = m.media_facts(stored)
+    assert facts.count() == 2 and facts.agg({"payload_bytes": "max"}).first()[0] == len(m.padded(long.encode()))
+    pages = stored.selectExpr("id", "feature", "concat('<img src=', digest, '>') AS html", "'own' AS item", "'own' AS item_digest", "'own' AS payload_bytes")
+    out = m.resolved_items(m.interleaved(pages), facts)
+    assert len(out.columns) == len(set(out.columns)) and out.filter("payload_bytes > 0").count() == 4
+    assert m.resolved_items(m.interleaved(pages), facts.limit(0)).filter("payload_bytes IS NULL").count() == 4
+    assert m.media_facts(stored.limit(0)).collect() == []

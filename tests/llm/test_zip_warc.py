@@ -93,3 +93,33 @@ def test_one_of_two_archives_has_an_index(spark, tmp_path, cdxj):
     index = z.read_index(z.list_packages(spark, str(tmp_path)))
     assert sorted(r["record_key"] for r in z.read_records(index).collect()) == ["a0", "a1", "a2", "b0", "b1", "b2"]
     assert sorted(r["url"] for r in index.collect()) == ["ua0", "ua1", "ua2", "ub0", "ub1", "ub2"]
+
+
+def directory_of(raw):
+    return z.central_directory(lambda o, n: raw[o : o + n], len(raw))
+
+
+def test_end_record_inside_a_comment():
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as p:
+        p.writestr("archive/a.warc", b"x")
+        p.comment = b"before PK\5\6" + b"\0" * 30
+    assert [m["name"] for m in directory_of(held.getvalue())] == ["archive/a.warc"]
+
+
+def test_as_many_members_as_fit_without_zip64():
+    body = b"".join(struct.pack("<4s5H3L2H", b"PK\3\4", 20, 0, 0, 0, 0, 0, 0, 0, 1, 0) + b"n" for _ in range(1))
+    entry = struct.pack("<4s6H3L5H2L", b"PK\1\2", 20, 20, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0) + b"n"
+    raw = body + entry * 65_535 + struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, 65_535, 65_535, len(entry) * 65_535, len(body), 0)
+    assert len(directory_of(raw)) == 65_535
+
+
+@pytest.mark.parametrize("fault", ["compressed", "cut off"])
+def test_what_cannot_be_read_whole_is_an_error(spark, tmp_path, fault):
+    import gzip
+
+    body = b"".join(gzip.compress(z.make_record(str(i), f"u{i}", b"p" * 900, "d", None)[2]) for i in range(3))
+    with zipfile.ZipFile(tmp_path / "x.wacz", "w") as p:
+        p.writestr("archive/x.warc.gz", body if fault == "compressed" else body[:-9], zipfile.ZIP_DEFLATED if fault == "compressed" else zipfile.ZIP_STORED)
+    with pytest.raises(Exception, match=fault):
+        z.read_index(z.list_packages(spark, str(tmp_path))).collect()
