@@ -40,6 +40,8 @@ from .common import Scratch, quoted
 DATE = "2024-01-01T00:00:00Z"
 #: Records that lie this close together are fetched by one range read.
 SPAN = 8 << 20
+#: Bytes of payload after which a batch of read records is sent on.
+BATCH = 4 << 20
 
 INDEX_TYPES = "path string, member string, offset long, length long, record_id string, record_type string, url string"
 RECORD_TYPES = "record_key string, url string, record_id string, record_type string, digest string, refers_to string, payload binary"
@@ -290,11 +292,16 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 source = files.open_input_file(at)
             base = rows[i][2]
             raw = source.read_at(rows[j - 1][2] + rows[j - 1][3] - base, base)
-            out = []
+            out, held = [], 0
             for _, member, offset, length in rows[i:j]:
                 piece = raw[offset - base : offset - base + length]
                 out.append(parse_record(zlib.decompress(piece, 31) if member.endswith(".gz") else piece))
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                held += len(out[-1]["payload"] or b"")
+                if held > BATCH:  # a span unzips to several times its size
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
             i = j
 
 
