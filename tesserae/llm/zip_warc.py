@@ -40,6 +40,8 @@ from .common import Scratch, quoted
 DATE = "2024-01-01T00:00:00Z"
 #: Records that lie this close together are fetched by one range read.
 SPAN = 8 << 20
+#: A response is hot if over a HOT-th of all revisits refer to it; the tasks that a hot one is dealt to.
+HOT, SALTS = 1000, 64
 #: Bytes of payload after which a batch of read records is sent on.
 BATCH = 4 << 20
 
@@ -311,13 +313,27 @@ def read_records(index: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_records, RECORD_TYPES)
 
 
-def resolved(records: DataFrame) -> DataFrame:
-    """Facts of every record, a revisit's taken from the response it refers to."""
+def resolved(records: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Facts of every record, a revisit's taken from the response it refers to.
+
+    Records are read once and their facts written. Only revisits are joined, and revisits of a
+    response to which over a HOT-th of them refer, of which there are fewer than HOT, are dealt to
+    SALTS tasks."""
+    scratch = scratch or Scratch(records.sparkSession)
     facts = records.select("record_key", "url", "record_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    responses = facts.filter("record_type = 'response'").groupBy(F.col("record_id").alias("r_id")).agg(F.max("record_key").alias("r_key"), F.max("payload_bytes").alias("r_bytes"), F.max("payload_digest").alias("r_digest"))
+    facts = scratch.keep(facts, "record-facts")
+    revisits = facts.filter("refers_to IS NOT NULL")
+    referred = revisits.groupBy(F.col("refers_to").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    hot = scratch.keep(referred.filter(F.col("n") * HOT > revisits.count()).select("id"), "hot")
+    salt = F.when(F.col("id").isNotNull(), F.pmod(F.xxhash64("record_id", "record_key"), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = revisits.join(F.broadcast(hot), F.col("refers_to") == F.col("id"), "left").withColumn("salt", salt).drop("id")
+    responses = facts.filter("record_type = 'response' AND record_id IS NOT NULL").groupBy(F.col("record_id").alias("r_id")).agg(F.max("record_key").alias("r_key"), F.max("payload_bytes").alias("r_bytes"), F.max("payload_digest").alias("r_digest"))
+    each = F.when(F.col("id").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    responses = responses.join(F.broadcast(hot), F.col("r_id") == F.col("id"), "left").withColumn("r_salt", F.explode(each)).drop("id")
     # Sorted: what Spark reckons of records comes from the listing of files and says nothing of their number.
-    joined = facts.join(responses.hint("merge"), facts["refers_to"] == F.col("r_id"), "left")
-    return joined.select("record_key", "url", "record_type", F.coalesce("payload_bytes", "r_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "r_digest").alias("payload_digest"), F.col("r_key").alias("refers_to"))
+    joined = dealt.join(responses.hint("merge"), (F.col("refers_to") == F.col("r_id")) & (F.col("salt") == F.col("r_salt")), "left")
+    joined = joined.select("record_key", "url", "record_type", F.coalesce("payload_bytes", "r_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "r_digest").alias("payload_digest"), F.col("r_key").alias("refers_to"))
+    return facts.filter("refers_to IS NULL").select(*joined.columns).union(joined)
 
 
 SQL = """
@@ -343,6 +359,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolved_facts(spark: SparkSession, folder: str, scratch: Scratch) -> DataFrame:
     packages = scratch.spark.read.parquet(scratch.path("packages"))
     if not packages.head(1):
-        return resolved(spark.createDataFrame([], RECORD_TYPES))
+        return resolved(spark.createDataFrame([], RECORD_TYPES), scratch)
     records = read_records(read_index(list_packages(spark, folder)))
-    return resolved(records)
+    return resolved(records, scratch)

@@ -123,3 +123,15 @@ def test_what_cannot_be_read_whole_is_an_error(spark, tmp_path, fault):
         p.writestr("archive/x.warc.gz", body if fault == "compressed" else body[:-9], zipfile.ZIP_DEFLATED if fault == "compressed" else zipfile.ZIP_STORED)
     with pytest.raises(Exception, match=fault):
         z.read_index(z.list_packages(spark, str(tmp_path))).collect()
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_revisits_of_hot_and_rare_responses(spark, monkeypatch, hot):
+    monkeypatch.setattr(z, "HOT", hot)
+    data = [(i, f"u{i}", "h" * 1500 if i < 40 else chr(97 + i % 5) * 2000, 0) for i in range(60)] + [(99, "own", "z" * 3000, 0)]
+    got = rows_of(spark, data)
+    assert len(got) == 61
+    for i, _, html, _ in data:
+        keeper = max(k for k, _, h, _ in data if h == html)
+        r = got[str(i)]
+        assert (r["record_type"], r["refers_to"], r["payload_bytes"]) == (("response", None, len(html)) if i == keeper else ("revisit", str(keeper), len(html)))
