@@ -384,6 +384,32 @@ def one_of_each(docs: DataFrame, classes: DataFrame | None = None, key: str = "d
     return once.union(again).select(*map(quoted, docs.columns))
 
 
+#: Every pair by its common shingles, without candidates: what the join must find.
+SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct(list_transform(list_zip(w[:-5], w[2:-4], w[3:-3], w[4:-2], w[5:]), lambda x: concat_ws(' ', x[1], x[2], x[3], x[4], x[5])))) END AS s
+    FROM words),
+signed AS (SELECT doc_id, s, md5(array_to_string(s, chr(10))) AS node, len(s) AS size FROM sets),
+nodes AS (SELECT node, any_value(s) AS s, any_value(size) AS size, min(doc_id) AS first, count(*) AS copies FROM signed WHERE size > 0 GROUP BY node),
+flat AS (SELECT node, size, unnest(s) AS g FROM nodes),
+shared AS (SELECT x.node AS a, y.node AS b, x.size AS na, y.size AS nb, count(*) AS n
+    FROM flat x JOIN flat y ON x.g = y.g AND x.node <> y.node AND x.size >= 0.8 * y.size AND y.size >= 0.8 * x.size
+    GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 10 * n >= 8 * (na + nb - n)),
+reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS node, min(first) AS class_id FROM reach JOIN nodes ON reach.b = nodes.node GROUP BY a),
+counts AS (SELECT a AS node, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id, CASE WHEN signed.size = 0 THEN doc_id ELSE class_id END AS class_id,
+       CASE WHEN signed.size = 0 THEN 0 ELSE coalesce(counts.n, 0) END AS n_links,
+       CASE WHEN signed.size = 0 THEN 1 ELSE copies END AS n_copies
+FROM signed LEFT JOIN nodes USING (node) LEFT JOIN classes USING (node) LEFT JOIN counts USING (node)
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return similar_texts(docs)

@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op1_zip_warc": zip_warc.SQL,
     "op3_mix_sources": mixing.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op10_host_rules": host_rules.SQL,
 }
