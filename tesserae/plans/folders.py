@@ -39,11 +39,11 @@ def capture_dispatch(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT p_brand AS label, p_partkey AS room, p_retailprice AS value, p_size > 25 AS flag FROM part WHERE p_partkey <= 100
+SELECT p_brand AS label, p_partkey AS room, p_retailprice AS value, p_size > 25 AS flag FROM part
 """)
 def catalogue_round_trip(t: Tables) -> DataFrame:
     """Rows of a table written as CSV text and read back with their types."""
     root = shared_folder(t.spark)
-    rows = t.part.filter("p_partkey <= 100").select(F.col("p_brand").alias("label"), F.col("p_partkey").alias("room"), F.col("p_retailprice").alias("value"), (F.col("p_size") > 25).alias("flag"))
+    rows = t.part.select(F.col("p_brand").alias("label"), F.col("p_partkey").alias("room"), F.col("p_retailprice").alias("value"), (F.col("p_size") > 25).alias("flag"))
     rows.write.csv(root, header=True)
     return t.spark.read.csv(root, header=True, schema=rows.schema)

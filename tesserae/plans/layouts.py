@@ -58,24 +58,23 @@ def opening_guard(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT label, vec_id, (atan2(embedding[2]::double, embedding[1]::double) + 2 * pi()) % pi() AS theta FROM embeddings WHERE vec_id % 7 = 0),
-s AS (SELECT *, CASE WHEN theta - lag(theta) OVER (PARTITION BY label ORDER BY theta, vec_id) > radians(20) THEN 1 ELSE 0 END AS start FROM d),
-c AS (SELECT *, sum(start) OVER (PARTITION BY label ORDER BY theta, vec_id) AS cluster FROM s)
-SELECT label, cluster::bigint AS cluster, count(*) AS n, round(min(theta), 6) AS lo, round(max(theta), 6) AS hi FROM c GROUP BY 1, 2
+WITH d AS (SELECT label, vec_id // 8 AS block, vec_id, (atan2(embedding[2]::double, embedding[1]::double) + 2 * pi()) % pi() AS theta FROM embeddings),
+s AS (SELECT *, CASE WHEN theta - lag(theta) OVER (PARTITION BY label, block ORDER BY theta, vec_id) > radians(20) THEN 1 ELSE 0 END AS start FROM d),
+c AS (SELECT *, sum(start) OVER (PARTITION BY label, block ORDER BY theta, vec_id) AS cluster FROM s)
+SELECT label, block, cluster::bigint AS cluster, count(*) AS n, round(min(theta), 6) AS lo, round(max(theta), 6) AS hi FROM c GROUP BY 1, 2, 3
 """)
 def angle_clusters(t: Tables) -> DataFrame:
-    """Directions of every seventh vector, so that some gaps are wide."""
-    d = t.embeddings.filter("vec_id % 7 = 0").select("label", "vec_id", F.atan2(_at(1), _at(0)).alias("a"))
-    c = layout.angle_clusters(d, ["label"], F.col("a"), "vec_id")
-    return c.groupBy("label", F.col("cluster").cast("long").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("theta"), 6).alias("lo"), F.round(F.max("theta"), 6).alias("hi"))
+    """Directions of a label's vectors in blocks of eight keys, so that some gaps are wide."""
+    d = t.embeddings.select("label", F.floor(F.col("vec_id") / 8).alias("block"), "vec_id", F.atan2(_at(1), _at(0)).alias("a"))
+    c = layout.angle_clusters(d, ["label", "block"], F.col("a"), "vec_id")
+    return c.groupBy("label", "block", F.col("cluster").cast("long").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("theta"), 6).alias("lo"), F.round(F.max("theta"), 6).alias("hi"))
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, round_even((l_quantity / 8)::decimal(18, 3), 2)::double AS eighth, round_even((l_orderkey / 2)::decimal(18, 1), 0)::double AS half FROM lineitem WHERE l_linenumber <= 2
+SELECT l_orderkey, l_linenumber, round_even((l_quantity / 8)::decimal(18, 3), 2)::double AS eighth, round_even((l_orderkey / 2)::decimal(18, 1), 0)::double AS half FROM lineitem
 """)
 def half_even_rounding(t: Tables) -> DataFrame:
-    rows = t.lineitem.filter("l_linenumber <= 2")
-    return rows.select("l_orderkey", "l_linenumber", measure.half_even((F.col("l_quantity") / 8).cast("decimal(18,3)"), 2).cast("double").alias("eighth"), measure.half_even((F.col("l_orderkey") / 2).cast("decimal(18,1)"), 0).cast("double").alias("half"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", measure.half_even((F.col("l_quantity") / 8).cast("decimal(18,3)"), 2).cast("double").alias("eighth"), measure.half_even((F.col("l_orderkey") / 2).cast("decimal(18,1)"), 0).cast("double").alias("half"))
 
 
 @query("""
@@ -112,14 +111,19 @@ def region_context(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(layout.severity(F.abs(_at(2))), 6).alias("severity"), F.round(edge, 6).alias("edge"))
 
 
+def _floor():
+    """A nation's suppliers of 200 consecutive keys: a floor has a bounded number of shapes."""
+    return F.col("s_nationkey") + 25 * F.floor(F.col("s_suppkey") / 200)
+
+
 @query("""
-SELECT s_nationkey AS floor, count(*) AS shapes, 0::bigint AS overlaps, true AS settled FROM supplier WHERE s_suppkey <= 200 GROUP BY 1
+SELECT s_nationkey + 25 * (s_suppkey // 200) AS floor, count(*) AS shapes, 0::bigint AS overlaps, true AS settled FROM supplier GROUP BY 1
 """)
 def rooms_apart(t: Tables) -> DataFrame:
-    """Boxes of a nation's first suppliers moved until none overlap; the boxes' overlaps are counted again.
+    """Boxes of the floors that suppliers make up, moved until none overlap; the boxes' overlaps are counted again.
     The condition, not the moves, is what SQL states."""
     key, at = F.col("s_suppkey"), F.col("s_acctbal") / 2000
-    boxes = t.supplier.filter("s_suppkey <= 200").select(F.col("s_nationkey").alias("floor"), key.alias("shape"), at.alias("x0"), (key % 3).cast("double").alias("y0"), (at + 2 + key % 2).alias("x1"), (key % 3 + 2).cast("double").alias("y1"))
+    boxes = t.supplier.select(_floor().alias("floor"), key.alias("shape"), at.alias("x0"), (key % 3).cast("double").alias("y0"), (at + 2 + key % 2).alias("x1"), (key % 3 + 2).cast("double").alias("y1"))
     corners = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.col(x).alias("x"), F.col(y).alias("y")) for i, (x, y) in enumerate((("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")))]))
     moves = layout.apart(boxes.select("floor", "shape", corners.alias("c")).select("floor", "shape", "c.*"), ["floor"], "shape", "place")
     # floors lie apart, so that one pass over all boxes meets only boxes of a floor
@@ -154,14 +158,17 @@ def room_layouts(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT s_suppkey AS k, s_nationkey AS g, s_acctbal / 2000 AS x, (s_suppkey % 5)::double AS y, 2 + s_suppkey % 4 AS s FROM supplier WHERE s_suppkey <= 300)
-SELECT a.k AS a, b.k AS b, round(greatest(0, least(a.x + a.y + a.s, b.x + b.y + b.s) - greatest(a.x, b.x) - greatest(a.y, b.y)) ** 2 / 2, 6) AS area
-FROM t a JOIN t b ON a.g = b.g AND a.k < b.k
+WITH t AS (SELECT s_suppkey AS k, s_nationkey + 25 * (s_suppkey // 200) AS g, s_acctbal / 2000 AS x, (s_suppkey % 5)::double AS y, 2 + s_suppkey % 4 AS s FROM supplier),
+p AS (SELECT a.k AS a, b.k AS b, round(greatest(0, least(a.x + a.y + a.s, b.x + b.y + b.s) - greatest(a.x, b.x) - greatest(a.y, b.y)) ** 2 / 2, 6) AS area
+    FROM t a JOIN t b ON a.g = b.g AND a.k < b.k)
+SELECT * FROM p WHERE area > 0
 """)
 def triangle_overlaps(t: Tables) -> DataFrame:
-    """Right triangles of a nation's first suppliers; what two of them share is such a triangle too."""
+    """Right triangles of a floor's suppliers; what two of them share is such a triangle too. Only
+    triangles whose boxes overlap meet; floors lie apart, so that one pass over all boxes does."""
     key, x, y, s = F.col("s_suppkey"), F.col("s_acctbal") / 2000, (F.col("s_suppkey") % 5).cast("double"), 2 + F.col("s_suppkey") % 4
     ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x, y + s), (x + s, y))])
-    rings = t.supplier.filter("s_suppkey <= 300").select("s_nationkey", key.alias("k"), ring.alias("ring"))
-    pairs = rings.toDF("g", "a", "p").join(rings.toDF("g", "b", "q"), "g").filter("a < b")
-    return layout.intersection_areas(pairs, "p", "q").select("a", "b", F.round("area", 6).alias("area"))
+    rings = t.supplier.select(key.alias("k"), ring.alias("ring"), (x + _floor() * 1000).alias("x0"), y.alias("y0"), (x + s + _floor() * 1000).alias("x1"), (y + s).alias("y1"))
+    near = spatial.box_overlaps(rings, "k", 4.0).select("a", "b")
+    pairs = near.join(rings.select(F.col("k").alias("a"), F.col("ring").alias("p")), "a").join(rings.select(F.col("k").alias("b"), F.col("ring").alias("q")), "b")
+    return layout.intersection_areas(pairs, "p", "q").select("a", "b", F.round("area", 6).alias("area")).filter("area > 0")
