@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, jaccard_join, lm_trie, media_docs, mixing, piece_codec, rule_ensemble, substring_dedup, token_counts, zip_warc
+from . import host_rules, jaccard_join, lm_trie, media_docs, mixing, periodic_runs, piece_codec, rule_ensemble, substring_dedup, token_counts, zip_warc
 
 QUERIES = {
     "op1_zip_warc": zip_warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_media_docs": media_docs.query,
     "op9_rule_ensemble": rule_ensemble.query,
     "op10_host_rules": host_rules.query,
+    "op11_periodic_runs": periodic_runs.query,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op3_mix_sources": mixing.SQL,
     "op5_jaccard_join": jaccard_join.SQL,
     "op10_host_rules": host_rules.SQL,
+    "op11_periodic_runs": periodic_runs.SQL,
 }
