@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, jaccard_join, lm_trie, media_docs, mixing, periodic_runs, piece_codec, rule_ensemble, substring_dedup, token_counts, zip_warc
+from . import gated_toxicity, host_rules, jaccard_join, lm_trie, media_docs, mixing, periodic_runs, piece_codec, rule_ensemble, substring_dedup, token_counts, zip_warc
 
 QUERIES = {
     "op1_zip_warc": zip_warc.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_rule_ensemble": rule_ensemble.query,
     "op10_host_rules": host_rules.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_gated_toxicity": gated_toxicity.query,
 }
 
 ORACLES = {
