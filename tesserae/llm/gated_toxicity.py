@@ -25,9 +25,9 @@ blocks.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +59,7 @@ def words_in(text: str | None) -> list[bytes]:
 def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(word, row) of every character n-gram of the words, ordered by word."""
     raw = np.frombuffer(b"\n" + b"\n".join(words) + b"\n", np.uint8)
-    marks = np.cumsum(raw == 10)
+    marks = np.cumsum(raw == 10, dtype=np.int32)
     owner, row = [], []
     for n in GRAMS:
         if raw.size < n:
@@ -68,8 +68,8 @@ def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h = np.full(at.size, n, np.uint64)
         for j in range(n):
             h = h * np.uint64(1_000_003) + raw[at + j]
-        owner.append(marks[at] - 1)
-        row.append((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % CHAR_ROWS)
+        owner.append((marks[at] - 1).astype(np.int32))
+        row.append((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int32) % np.int32(CHAR_ROWS))
     owner, row = np.concatenate(owner), np.concatenate(row)
     order = np.argsort(owner, kind="stable")
     return owner[order], row[order]
@@ -317,10 +317,16 @@ class Numbers(dict):
         return number
 
 
-def numbered(known: Numbers, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def numbered(known: Numbers, texts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """(word numbers of all texts in a row, words of each text)."""
-    sizes = np.array([len(x) for x in texts], np.int64)
-    return np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum())), sizes
+    parts = [np.fromiter(map(known.__getitem__, words), np.int32, len(words)) for words in texts]
+    return np.concatenate([np.zeros(0, np.int32), *parts]), np.array([len(x) for x in parts], np.int64)
+
+
+def texts_of(ids: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The word numbers of the chosen texts in a row."""
+    last = np.cumsum(sizes)
+    return np.concatenate([np.zeros(0, ids.dtype), *(ids[last[i] - sizes[i] : last[i]] for i in chosen)])
 
 
 def block_logits(model: Model, table: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -340,15 +346,23 @@ def doc_slopes(logit: np.ndarray, text: np.ndarray, y: np.ndarray, weight: np.nd
     return float((loss * weight).sum()), (factor[text] / (1 + np.exp(-logit))).astype(np.float32)
 
 
-def leaning(row: np.ndarray, text: np.ndarray, y: np.ndarray, rows: int) -> np.ndarray:
-    """How many more toxic texts than its share hold each row, in standard deviations and a bit."""
-    seen = np.unique(row * y.size + text)
-    number, toxic = np.bincount(seen // y.size, minlength=rows), np.bincount(seen // y.size, y[seen % y.size], rows)
+def leaning(words: Words, ids: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of the two input tables: how many more toxic texts than its share hold it, in standard
+    deviations and a bit."""
+    found = [np.zeros((2, n)) for n in (WORD_ROWS, CHAR_ROWS)]
+    first_gram, last = np.searchsorted(words.gram_word, np.arange(words.word_row.size + 1)), np.cumsum(sizes)
+    for i, toxic in enumerate(y):
+        word = np.unique(ids[last[i] - sizes[i] : last[i]])
+        _, at = spread(first_gram[word], first_gram[word + 1] - first_gram[word])
+        for count, row in zip(found, (words.word_row[word], words.gram_row[at])):
+            row = np.unique(row)
+            count[0, row] += 1
+            count[1, row] += toxic
     rate = float(y.mean())
-    return ((toxic - number * rate) / np.sqrt(number * rate * (1 - rate) + 1)).astype(np.float32)
+    return tuple(((n1 - n * rate) / np.sqrt(n * rate * (1 - rate) + 1)).astype(np.float32) for n, n1 in found)
 
 
-def train(texts: list[list[bytes]], y: np.ndarray, weight: np.ndarray, *, epochs: int = EPOCHS, seed: int = 7, rate: float = 0.01, dropped: float = 0.2) -> Model:
+def train(words: Words, ids: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray, *, epochs: int = EPOCHS, seed: int = 7, rate: float = 0.01, dropped: float = 0.2) -> Model:
     """Adam for the network, Adagrad for the rows of the input tables that a batch touches. Batches hold whole
     texts, of about BATCH windows; few texts are gone through more often, for STEPS batches at least. A share of the
     words is read as pads in each batch."""
@@ -358,32 +372,23 @@ def train(texts: list[list[bytes]], y: np.ndarray, weight: np.ndarray, *, epochs
     first, second = ({n: np.zeros_like(getattr(model, n)) for n in names} for _ in range(2))
     seen = {"word": np.zeros(WORD_ROWS, np.float32), "char": np.zeros(CHAR_ROWS, np.float32)}
     usual = dict.fromkeys(seen, 0.0)
-    known = Numbers()
-    all_ids, all_sizes = numbered(known, texts)
-    all_words, last = Words.of(list(known)), np.cumsum(all_sizes)
-    of = np.unique(np.repeat(np.arange(len(texts)), all_sizes) * len(known) + all_ids)  # each word of a text once
-    text, word = of // max(1, len(known)), of % max(1, len(known))
-    model.word[:, 0] = 0.1 * leaning(all_words.word_row[word], text, y, WORD_ROWS)  # the first number of an input starts there
-    first_gram = np.searchsorted(all_words.gram_word, np.arange(len(known) + 1))
-    owner, at = spread(first_gram[word], np.diff(first_gram)[word])
-    model.char[:, 0] = 0.1 * leaning(all_words.gram_row[at], text[owner], y, CHAR_ROWS)
-    number = np.bincount(windows(all_sizes)[0], minlength=len(texts))
+    model.word[:, 0], model.char[:, 0] = (0.1 * x for x in leaning(words, ids, sizes, y))  # the first number of an input starts there
+    number = np.bincount(windows(sizes)[0], minlength=sizes.size)
     done, epochs = 0, max(epochs, -(-STEPS // max(1, int(number.sum()) // BATCH)))
     for epoch in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(sizes.size)
         cuts = np.flatnonzero(np.diff(np.cumsum(number[order]) // BATCH)) + 1
         pace = rate * (1 - epoch / epochs) ** 0.5
         for rows in np.split(order, cuts):
-            ids = np.concatenate([all_ids[last[i] - all_sizes[i] : last[i]] for i in rows])
-            used, ids = np.unique(ids, return_inverse=True)
-            words = all_words.subset(used)
-            text, start, length = windows(all_sizes[rows])
-            pad, table = used.size, model.entries(words)
-            laid = laid_out(np.where(rng.random(ids.size) < dropped, pad, ids), start, length, pad)
+            used, local = np.unique(texts_of(ids, sizes, rows), return_inverse=True)
+            part = words.subset(used)
+            text, start, length = windows(sizes[rows])
+            pad, table = used.size, model.entries(part)
+            laid = laid_out(np.where(rng.random(local.size) < dropped, pad, local), start, length, pad)
             kept: dict = {}
             logit = model.logits(table, laid, pad, kept)
             loss, slope = doc_slopes(logit.astype(np.float64), text, y[rows], weight[rows])
-            grads = model.gradients(words, laid, kept, slope / np.float32(len(rows)))
+            grads = model.gradients(part, laid, kept, slope / np.float32(len(rows)))
             done += 1
             size = np.sqrt(sum(float((grads[n] ** 2).sum()) for n in names))
             for n in names:
@@ -391,7 +396,7 @@ def train(texts: list[list[bytes]], y: np.ndarray, weight: np.ndarray, *, epochs
                 first[n] += 0.1 * (g - first[n])
                 second[n] += 0.001 * (g * g - second[n])
                 getattr(model, n)[...] -= pace * (first[n] / (1 - 0.9**done)) / (np.sqrt(second[n] / (1 - 0.999**done)) + 1e-8)
-            for n, row, holder in (("word", words.word_row, None), ("char", words.gram_row, words.gram_word)):
+            for n, row, holder in (("word", part.word_row, None), ("char", part.gram_row, part.gram_word)):
                 at = np.argsort(row, kind="stable")
                 used, group = np.unique(row[at], return_inverse=True)
                 g = summed(grads[n], group, used.size, at if holder is None else holder[at])
@@ -406,16 +411,15 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, apart: np.ndarray,
     """The model, or a rate where there is nothing to tell apart. Rows marked apart fit the final logistic alone."""
     if not y.size or y.min() == y.max():
         return float(y.mean()) if y.size else 0.5
-    read = [words_in(t) for t in texts]
+    known = Numbers()
+    ids, sizes = numbered(known, map(words_in, texts))
+    words = Words.of(list(known))
     both = [len(set(y[m].tolist())) == 2 for m in (apart, ~apart)]
     learn = ~apart if all(both) else np.ones(y.size, bool)
-    check = apart if all(both) else learn
-    model = train([read[i] for i in np.flatnonzero(learn)], y[learn], weight[learn], **options)
-    chosen = np.flatnonzero(check)
-    known = Numbers()
-    ids, sizes = numbered(known, [read[i] for i in chosen])
-    text, logit = block_logits(model, model.entries(Words.of(list(known))), ids, sizes)
-    model.final = final_weights(totals(logit, text, chosen.size), y[check], weight[check])
+    check = np.flatnonzero(apart if all(both) else learn)
+    model = train(words, texts_of(ids, sizes, np.flatnonzero(learn)), sizes[learn], y[learn], weight[learn], **options)
+    text, logit = block_logits(model, model.entries(words), texts_of(ids, sizes, check), sizes[check])
+    model.final = final_weights(totals(logit, text, check.size), y[check], weight[check])
     return model
 
 
@@ -434,7 +438,7 @@ class Reader:
         if len(self.known) > CACHED:
             self.clear()
         had = len(self.known)
-        ids, sizes = numbered(self.known, [words_in(t) for t in texts])
+        ids, sizes = numbered(self.known, map(words_in, texts))
         if len(self.known) > had:
             made = self.model.entries(Words.of(list(islice(self.known, had, None))))
             self.table = np.concatenate([self.table[:, :, :had], made], axis=2)
