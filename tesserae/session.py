@@ -32,11 +32,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's name where driver and executors share files: below spark.checkpoint.dir, else (local
-    sessions only) in a temporary folder."""
+    """A new folder's name where driver and executors share files: below spark.checkpoint.dir, else below the
+    context's checkpoint folder, else (sessions in one process only) in a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (held := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        named = held.get()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tesserae-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
