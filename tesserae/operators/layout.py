@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import rotated
-from tesserae.operators import histogram, rooms, sequence, solve, spatial
+from tesserae.operators import histogram, rooms, sequence, solve, spatial, stitching
+from tesserae.session import Steps
 
 #: Fixed values of the measurement protocol: the cosine with up below which a normal is that of a
 #: wall; pixels and share of the frame of a plausible mask; points and share of columns of a wall
@@ -147,24 +148,42 @@ def lifted_matches(matches: DataFrame, keys: list[str], side: str, origin: str =
     return matches.withColumn(f"{side}_x", on("e1")).withColumn(f"{side}_y", on("e2"))
 
 
-def stitch_graph(matches: DataFrame, doorways: DataFrame, boxes: DataFrame, room: str, limit: float = 0.25, gap: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Edges between rooms and the place of every group of joined rooms.
+def stitch_graph(matches: DataFrame, doorways: DataFrame, corners: DataFrame, room: str, limit: float = 0.25, gap: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Edges between rooms, and where every room stands in the plan: (room, component, x, y, yaw, settled).
 
     matches: a, b (rooms), a_x, a_y, b_x, b_y (lifted_matches on both sides), weight. Matched places
-    are fitted by a rigid move that is fitted again on its inliers; inliers and a doorway (a, b) make an
-    edge or a reason why there is none. boxes: room, x0, y0, x1, y1. Rooms that edges join are one
-    component; components stand beside each other in the order of their least room."""
-    from tesserae.operators import graph
-
+    are fitted by a rigid move that is fitted again on its inliers; inliers and a doorway make an
+    edge or a reason why there is none. doorways: a, b, the door's middle and outward normal in either room (ax, ay,
+    anx, any, bx, by, bnx, bny); of several of a pair the first by these counts, and its move goes before the matches'.
+    corners: room, place, x, y: convex rings whose sides are the walls.
+
+    Moves are composed along trees and relaxed where they close circles; each component is turned onto the
+    axes, its rooms are moved off each other, the least one staying, and components stand beside each other in
+    the order of their least room."""
     fitted = matches.filter(F.col("a_x").isNotNull() & F.col("b_x").isNotNull())
     moves = spatial.procrustes_refit(fitted, ["a", "b"], ("a_x", "a_y"), ("b_x", "b_y"), "weight", limit).select("a", "b", "yaw", "tx", "ty", "inliers")
-    pairs = matches.select("a", "b").union(doorways.select("a", "b")).distinct()
-    pairs = pairs.join(moves, ["a", "b"], "left").join(doorways.select("a", "b").distinct().withColumn("doorway", F.lit(True)), ["a", "b"], "left")
+    sides = ["ax", "ay", "anx", "any", "bx", "by", "bnx", "bny"]
+    doors = doorways.groupBy("a", "b").agg(F.min(F.struct(*sides)).alias("d")).select("a", "b", "d.*")
+    doors = rooms.doorway_transforms(doors).select("a", "b", F.lit(True).alias("doorway"), *[F.col(c).alias(f"door_{c}") for c in ("tx", "ty", "yaw")])
+    pairs = matches.select("a", "b").union(doorways.select("a", "b")).distinct().join(moves, ["a", "b"], "left").join(doors, ["a", "b"], "left")
     edges = rooms.stitch_edges(pairs.withColumn("inliers", F.coalesce("inliers", F.lit(0))), "inliers", "doorway")
-    joined = graph.components(boxes.select(F.col(room).alias("node")), edges.filter(F.col("source").isNotNull()).select("a", "b"))
-    member = boxes.join(joined, F.col(room) == F.col("node"))
-    extent = member.groupBy("component").agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")], F.count(F.lit(1)).alias("rooms"))
-    return edges, spatial.placed_in_line(extent, "component", gap)
+    edges = edges.select("a", "b", "source", "confidence", "reason", "inliers", *[F.coalesce(f"door_{c}", c).alias(n) for c, n in (("tx", "x"), ("ty", "y"), ("yaw", "yaw"))])
+    steps = Steps(edges.sparkSession)
+    edges = steps.keep(edges, "edges")
+    used = edges.filter(F.col("source").isNotNull()).withColumnRenamed("confidence", "weight")
+    poses = stitching.relaxed_poses(stitching.spanning_poses(corners.select(F.col(room).alias("node")), used), used)
+    following = Window.partitionBy(room).orderBy("place")  # a ring's few corners
+    first = lambda c: F.first(c).over(following.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    walls = corners.select(room, F.col("x").alias("ax"), F.col("y").alias("ay"), *[F.coalesce(F.lead(c).over(following), first(c)).alias(f"b{c}") for c in ("x", "y")])
+    poses = steps.keep(stitching.snapped(poses, walls, room), "poses")
+    turned = stitching.in_frame(corners.select(room, "place", "x", "y"), poses, room)
+    shifts = steps.keep(apart(turned, ["component"], room, "place"), "shifts")
+    off = shifts.select(F.col(room).alias("node"), "dx", "dy", "settled")
+    moved = turned.join(shifts.drop("component"), room).select("component", room, (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+    box = moved.groupBy("component").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    line = spatial.placed_in_line(box, "component", gap).select("component", F.col("dx").alias("line_x"), F.col("dy").alias("line_y"))
+    placed = poses.join(off, "node").join(line, "component")
+    return edges, placed.select(F.col("node").alias(room), "component", (F.col("x") + F.col("dx") + F.col("line_x")).alias("x"), (F.col("y") + F.col("dy") + F.col("line_y")).alias("y"), "yaw", "settled")
 
 
 # --- rings kept apart ------------------------------------------------------------------------

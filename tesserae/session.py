@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -61,3 +61,24 @@ def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "tesse
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+class Steps:
+    """Tables between the rounds of a loop, in a folder of their own below shared_folder: each is written and read
+    again, so plans stay short and a lost executor loses nothing. Keeping a name anew deletes what it named before,
+    unless the name is in `held`."""
+
+    def __init__(self, spark: SparkSession, *held: str):
+        self.spark, self.root, self.held = spark, shared_folder(spark), held
+        self.made: dict[str, int] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        number = self.made[name] = self.made.get(name, -1) + 1
+        df.write.parquet(f"{self.root}/{name}-{number}")
+        if number and name not in self.held:
+            self.drop(f"{name}-{number - 1}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}-{number}")
+
+    def drop(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

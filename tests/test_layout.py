@@ -107,12 +107,15 @@ def test_matches_are_lifted_and_rooms_stitched(spark):
     places = rng.uniform(0, 4, (30, 2))
     rows = [(1, 2, *map(float, spin @ p + shift + (5 if i < 4 else 0)), *map(float, p), 1.0 if i >= 4 else 0.01) for i, p in enumerate(places)] + [(1, 4, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 4, 1.0, 0.0, 1.0, 0.0, 1.0)]
     matches = spark.createDataFrame(rows, "a int, b int, a_x double, a_y double, b_x double, b_y double, weight double")
-    boxes = spark.createDataFrame([(i, 0.0, 0.0, 4.0, 3.0) for i in (1, 2, 3, 4)], "room int, x0 double, y0 double, x1 double, y1 double")
-    edges, placed = layout.stitch_graph(matches, spark.createDataFrame([(2, 3)], "a int, b int"), boxes, "room")
+    corners = spark.createDataFrame([(i, k, *p) for i in (1, 2, 3, 4) for k, p in enumerate([(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)])], "room int, place int, x double, y double")
+    door = spark.createDataFrame([(2, 3, 4.0, 1.5, 1.0, 0.0, 0.0, 1.5, -1.0, 0.0)], "a int, b int, ax double, ay double, anx double, any double, bx double, by double, bnx double, bny double")
+    edges, placed = layout.stitch_graph(matches, door, corners, "room")
     found = {(r["a"], r["b"]): r for r in edges.collect()}
     assert found[1, 2]["source"] == "keypoints" and found[1, 2]["inliers"] == 26 and abs(found[1, 2]["yaw"] - yaw) < 0.02
     assert found[2, 3]["source"] == "doorway" and found[1, 4]["source"] is None and found[1, 4]["reason"]
-    assert sorted((r["component"], r["rooms"], r["dx"]) for r in placed.collect()) == [(1, 3, 0.0), (4, 1, 4.5)]
+    at = {r["room"]: r for r in placed.collect()}
+    assert {i: r["component"] for i, r in at.items()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert len({(round(r["x"], 3), round(r["y"], 3)) for r in at.values()}) == 4 and all(r["settled"] for r in at.values())
 
 
 def test_intersections_of_odd_rings(spark):
