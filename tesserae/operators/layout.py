@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import rotated
-from tesserae.operators import histogram, rooms, sequence, solve, spatial, stitching
+from tesserae.operators import grid, histogram, rooms, sequence, solve, spatial, stitching
 from tesserae.session import Steps
 
 #: Fixed values of the measurement protocol: the cosine with up below which a normal is that of a
@@ -21,6 +21,8 @@ WALL_COSINE = 0.35
 MASK_PIXELS, MASK_SHARE = 200, 0.35
 WALL_POINTS, WALL_OBSERVED = 200, 0.30
 SURFACE_MARGIN, INSIDE_MARGIN = 0.10, 0.05
+#: Floor this near to the camera's path counts as seen.
+PATH_RADIUS = 0.35
 SEVERITY_LEAST, SEVERITY_MOST = 0.3, 1.0
 
 
@@ -113,7 +115,7 @@ def extract_layout(points: DataFrame, path: DataFrame, keys: list[str], index: s
     Points of the height band whose normal is upright give the walls' direction modulo a right angle.
     In its axes, lines are peeled off points whose normal is across them, lines closer than `gap`
     are one cut, lines keep their cut if points support them, and the cells between cuts that were
-    walked through or show floor make the room, whose outline is turned back."""
+    walked through or lie in the inside (grid.interior of the floor and the path) make the room, whose outline is turned back."""
     wall = points.filter(F.col("h").between(*band))
     normals = rooms.point_normals(wall, keys, index, ("x", "y", "h"), radius).filter(upright(F.col("nx"), F.col("ny"), F.col("nz"), (0.0, 0.0, 1.0)))
     turn = spatial.circular_mean(normals, keys, F.atan2("ny", "nx")).select(*keys, F.col("angle").alias("__turn"))
@@ -129,8 +131,9 @@ def extract_layout(points: DataFrame, path: DataFrame, keys: list[str], index: s
     held = rooms.line_support(into(wall).select(*keys, F.col("u").alias("x"), F.col("v").alias("y"), "h"), merged, keys, 2 * tolerance, least)
     cuts = merged.join(held.select(*keys, "line"), [*keys, "line"]).select(*keys, "axis", F.col("coord").alias("at"))
     low = into(points.filter(F.col("h") < band[0]))
-    floor = histogram.cells_of(low, keys, F.col("u"), F.col("v"), cell)
     walked = into(path).select(*keys, F.col("u").alias("x"), F.col("v").alias("y"))
+    seen, trodden = histogram.cells_of(low, keys, F.col("u"), F.col("v"), cell), histogram.cells_of(walked, keys, F.col("x"), F.col("y"), cell)
+    floor = grid.cells(grid.interior(seen, trodden, keys, round(PATH_RADIUS / cell)), keys)
     outline = rooms.rings(rooms.boundary_edges(rooms.cell_arrangement(cuts, floor, walked, keys, cell), keys), keys)
     back = rotated(F.col("x"), F.col("y"), F.col("__turn"))
     return outline.join(turn, keys).select(*keys, "ring", "place", back[0].alias("x"), back[1].alias("y"))

@@ -138,67 +138,6 @@ def merge_sets(sets: DataFrame, keys: list[str], index: str, members: str, share
     return sets.select(*keys, index, members).groupBy(*keys).applyInPandas(run, schema)
 
 
-def filled(mask: np.ndarray) -> np.ndarray:
-    """The mask with its holes: what is not reached from outside through four-neighbours."""
-    free = np.pad(~mask, 1, constant_values=True)
-    outside = np.zeros_like(free)
-    outside[0], outside[-1], outside[:, 0], outside[:, -1] = True, True, True, True
-    while True:
-        grown = outside.copy()
-        grown[1:] |= outside[:-1]
-        grown[:-1] |= outside[1:]
-        grown[:, 1:] |= outside[:, :-1]
-        grown[:, :-1] |= outside[:, 1:]
-        grown &= free
-        if (grown == outside).all():
-            return ~outside[1:-1, 1:-1]
-        outside = grown
-
-
-def stamped(mask: np.ndarray, radius: int) -> np.ndarray:
-    """Union of discs about the mask's cells."""
-    out = np.zeros_like(mask)
-    h, w = mask.shape
-    for dy in range(-radius, radius + 1):
-        for dx in range(-radius, radius + 1):
-            if dx * dx + dy * dy <= radius * radius:
-                out[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)] |= mask[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)]
-    return out
-
-
-def closed(mask: np.ndarray, half: int) -> np.ndarray:
-    """Dilation and then erosion by a square of side 2 half + 1."""
-    def spread(m: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(m)
-        h, w = m.shape
-        for dy in range(-half, half + 1):
-            for dx in range(-half, half + 1):
-                out[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)] |= m[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)]
-        return out
-
-    wide = np.pad(mask, 2 * half)
-    return (~spread(~spread(wide)))[2 * half : -2 * half or None, 2 * half : -2 * half or None]
-
-
-def interior_masks(cells: DataFrame, keys: list[str], radius: int = 7, half: int = 2) -> DataFrame:
-    """(keys, cx, cy): the cells inside: stamped, closed and filled, per key."""
-    kinds = dict(cells.dtypes)
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "cx long, cy long"])
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf.cx.to_numpy(np.int64), pdf.cy.to_numpy(np.int64)
-        x0, y0 = x.min() - radius - half, y.min() - radius - half
-        mask = np.zeros((x.max() - x0 + radius + half + 1, y.max() - y0 + radius + half + 1), dtype=bool)
-        mask[x - x0, y - y0] = True
-        gx, gy = np.nonzero(filled(closed(stamped(mask, radius), half)))
-        out = pd.DataFrame({"cx": gx + x0, "cy": gy + y0})
-        for k, v in zip(reversed(keys), reversed(key)):
-            out.insert(0, k, v)
-        return out
-
-    return cells.select(*keys, "cx", "cy").groupBy(*keys).applyInPandas(run, schema)
-
-
 def leader_clusters(rows: DataFrame, keys: list[str], index: str, vector: str, offset: str, least_cosine: float = 0.9, most_offset: float = 0.35) -> DataFrame:
     """(keys, index, leader): in index order, each row joins the first cluster whose first member
     is close in direction and offset; else it leads one."""

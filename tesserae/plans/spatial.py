@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import geometry
-from tesserae.operators import graph, histogram, solve, spatial
+from tesserae.operators import graph, grid, histogram, solve, spatial
 from tesserae.plans.registry import Tables, query
 
 E = "embedding"
@@ -337,10 +337,22 @@ def pose_graph(t: Tables) -> DataFrame:
     return out.select("label", "vec_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "z", "yaw")], "closures")
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT DISTINCT label, floor(embedding[1]::double / 0.02::double)::bigint AS x, floor(embedding[2]::double / 0.02::double)::bigint AS y FROM embeddings),
+k(i) AS (SELECT unnest(range(-2, 3))),
+s AS (SELECT DISTINCT label, x + dx AS x, y + dy AS y FROM c, (SELECT unnest(range(-3, 4)) AS dx) a, (SELECT unnest(range(-3, 4)) AS dy) b WHERE dx * dx + dy * dy <= 9),
+d AS (SELECT DISTINCT label, x + a.i AS x, y + b.i AS y FROM s, k a, k b),
+e AS (SELECT label, x + a.i AS x, y + b.i AS y FROM d, k a, k b GROUP BY ALL HAVING count(*) = 25),
+box AS (SELECT label, min(x) - 1 AS x0, max(x) + 1 AS x1, min(y) - 1 AS y0, max(y) + 1 AS y1 FROM e GROUP BY label),
+free AS (SELECT label, x, y FROM (SELECT label, x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT label, y0, y1, unnest(range(x0, x1 + 1)) AS x FROM box)) ANTI JOIN e USING (label, x, y)),
+o AS (
+  SELECT label, x0 AS x, y0 AS y FROM box
+  UNION SELECT f.label, f.x, f.y FROM o JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) n(dx, dy) ON true JOIN free f ON f.label = o.label AND f.x = o.x + dx AND f.y = o.y + dy)
+SELECT label, x AS cx, y AS cy FROM e UNION ALL SELECT label, x, y FROM free ANTI JOIN o USING (label, x, y)
+""")
 def interior_mask(t: Tables) -> DataFrame:
-    cells = histogram.cells_of(_dims(t, 2), ["label"], F.col("d0"), F.col("d1"), 0.02)
-    return solve.interior_masks(cells, ["label"], 3, 2)
+    at = histogram.cells_of(_dims(t, 2), ["label"], F.col("d0"), F.col("d1"), 0.02)
+    return grid.cells(grid.interior(at.limit(0), at, ["label"], 3, 2), ["label"])
 
 
 @query()

@@ -233,17 +233,6 @@ def test_sets_grow_as_they_merge(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
-def test_masks():
-    ring = np.zeros((9, 9), dtype=bool)
-    ring[2:7, 2:7] = True
-    ring[4, 4] = False
-    assert solve.filled(ring)[4, 4] and not solve.filled(ring)[0, 0]
-    assert solve.stamped(np.eye(7, dtype=bool) & (np.arange(7) == 3), 2).sum() == 13
-    gap = np.zeros((5, 12), dtype=bool)
-    gap[2, [2, 5]] = True
-    assert solve.closed(gap, 2)[2, 3:5].all()
-
-
 def test_leaders_and_convex_clips(spark):
     rows = [(1, [1.0, 0.0], 0.0), (2, [0.99, 0.1], 0.3), (3, [0.0, 1.0], 0.0), (4, [1.0, 0.0], 0.5), (5, [0.98, 0.15], 0.6)]
     df = spark.createDataFrame([("k", *r) for r in rows], "k string, i int, v array<double>, o double")
