@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import rotated
-from tesserae.operators import grid, histogram, rooms, sequence, solve, spatial, stitching
+from tesserae.operators import grid, histogram, rectilinear, rooms, sequence, solve, spatial, stitching
 from tesserae.session import Steps
 
 #: Fixed values of the measurement protocol: the cosine with up below which a normal is that of a
@@ -109,13 +109,13 @@ def surfaces(walls: DataFrame, frames: DataFrame, keys: list[str], margin: float
 
 
 def extract_layout(points: DataFrame, path: DataFrame, keys: list[str], index: str, band: tuple[float, float], radius: float = 0.12, tolerance: float = 0.05, least: int = 150, gap: float = 0.15, cell: float = 0.10) -> DataFrame:
-    """(keys, ring, place, x, y): the rings of rooms, from points (keys, index, x, y, h over the
+    """(keys, ring, place, x, y): the outer ring of each room, from points (keys, index, x, y, h over the
     floor) and the camera's path (keys, x, y).
 
     Points of the height band whose normal is upright give the walls' direction modulo a right angle.
     In its axes, lines are peeled off points whose normal is across them, lines closer than `gap`
     are one cut, lines keep their cut if points support them, and the cells between cuts that were
-    walked through or lie in the inside (grid.interior of the floor and the path) make the room, whose outline is turned back."""
+    walked through or lie in the inside (grid.interior of the floor and the path) make the room, whose walked part is cleaned and its outline turned back."""
     wall = points.filter(F.col("h").between(*band))
     normals = rooms.point_normals(wall, keys, index, ("x", "y", "h"), radius).filter(upright(F.col("nx"), F.col("ny"), F.col("nz"), (0.0, 0.0, 1.0)))
     turn = spatial.circular_mean(normals, keys, F.atan2("ny", "nx")).select(*keys, F.col("angle").alias("__turn"))
@@ -134,9 +134,9 @@ def extract_layout(points: DataFrame, path: DataFrame, keys: list[str], index: s
     walked = into(path).select(*keys, F.col("u").alias("x"), F.col("v").alias("y"))
     seen, trodden = histogram.cells_of(low, keys, F.col("u"), F.col("v"), cell), histogram.cells_of(walked, keys, F.col("x"), F.col("y"), cell)
     floor = grid.cells(grid.interior(seen, trodden, keys, round(PATH_RADIUS / cell)), keys)
-    outline = rooms.rings(rooms.boundary_edges(rooms.cell_arrangement(cuts, floor, walked, keys, cell), keys), keys)
+    outline = rectilinear.plan_outline(rooms.cell_arrangement(cuts, floor, walked, keys, cell), walked, keys)
     back = rotated(F.col("x"), F.col("y"), F.col("__turn"))
-    return outline.join(turn, keys).select(*keys, "ring", "place", back[0].alias("x"), back[1].alias("y"))
+    return outline.join(turn, keys).select(*keys, F.lit(0).alias("ring"), "place", back[0].alias("x"), back[1].alias("y"))
 
 
 def lifted_matches(matches: DataFrame, keys: list[str], side: str, origin: str = "origin") -> DataFrame:
@@ -189,6 +189,17 @@ def stitch_graph(matches: DataFrame, doorways: DataFrame, corners: DataFrame, ro
     return edges, placed.select(F.col("node").alias(room), "component", (F.col("x") + F.col("dx") + F.col("line_x")).alias("x"), (F.col("y") + F.col("dy") + F.col("line_y")).alias("y"), "yaw", "settled")
 
 
+def matches_on_floor(matches: DataFrame, points: DataFrame, side: str, u: str, v: str, cutoff: float = 40.0) -> DataFrame:
+    """matches (match, {side}_frame and the pixel u, v) with {side}_x and {side}_y: the floor place of the point that the frame
+    shows nearest to the pixel. points: frame, point, u, v, x, y (reprojected, with the place in the room's floor
+    axes). Matches without a point within the cut-off go."""
+    frame = f"{side}_frame"
+    pixels = matches.select(F.col(frame).alias("frame"), "match", F.col(u).alias("u"), F.col(v).alias("v"))
+    near = rooms.nearest_seen(pixels, points, ["frame"], "match", "point", cutoff)
+    at = near.join(points.select("frame", "point", F.col("x").alias(f"{side}_x"), F.col("y").alias(f"{side}_y")), ["frame", "point"])
+    return matches.join(at.select(F.col("frame").alias(frame), "match", f"{side}_x", f"{side}_y"), [frame, "match"])
+
+
 # --- rings kept apart ------------------------------------------------------------------------
 
 

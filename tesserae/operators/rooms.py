@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import wrapped
+from tesserae.session import Steps
 
 # Fixed values of the measurement protocol, metres.
 CEILING_LEAST, CEILING_MOST, CEILING_PRIOR, CEILING_PRIOR_SD = 1.90, 3.40, 2.44, 0.30
@@ -99,6 +100,35 @@ def nearest_line(walls: DataFrame, lines: DataFrame, keys: list[str], most: floa
     return j.withColumn("distance", d).filter(d <= most).groupBy(*keys, "wall").agg(F.min(F.struct("distance", "line")).alias("b")).select(*keys, "wall", "b.line", "b.distance")
 
 
+def nearest_seen(pixels: DataFrame, points: DataFrame, keys: list[str], pixel: str, point: str, cutoff: float = 40.0, first: float = 2.5) -> DataFrame:
+    """(keys, pixel, point, distance): for each pixel (keys, pixel, u, v) the nearest point that the same frame shows
+    (keys, point, u, v), the first of equals; pixels with none within `cutoff` have no row.
+
+    Rings grow: cells of `first` pixels, then of twice that, up to the cut-off. What lies within a cell's side of a pixel is in
+    its cell or the eight about it, so a match that near is the nearest, and only pixels without one go on to the
+    next, wider cells: dense frames are settled in narrow ones."""
+    steps = Steps(pixels.sparkSession)
+    left = steps.keep(pixels.select(*keys, pixel, "u", "v").filter("u is not null and v is not null"), "left")
+    shown = points.select(*keys, point, F.col("u").alias("__u"), F.col("v").alias("__v")).filter("__u is not null and __v is not null")
+    found, size = [], min(first, cutoff)
+    while True:
+        about = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+        cell = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
+        asked = left.withColumn("__o", about).withColumn("__x", cell("u") + F.col("__o.a")).withColumn("__y", cell("v") + F.col("__o.b"))
+        d = F.sqrt((F.col("u") - F.col("__u")) ** 2 + (F.col("v") - F.col("__v")) ** 2)
+        near = asked.join(shown.withColumn("__x", cell("__u")).withColumn("__y", cell("__v")), [*keys, "__x", "__y"]).withColumn("distance", d).filter(F.col("distance") <= size)
+        hit = near.groupBy(*keys, pixel).agg(F.min(F.struct("distance", point)).alias("b")).select(*keys, pixel, f"b.{point}", "b.distance")
+        found.append(steps.keep(hit, f"found-{len(found)}"))
+        if size >= cutoff:
+            break
+        left = steps.keep(left.join(found[-1], [*keys, pixel], "left_anti"), "left")
+        size = min(2 * size, cutoff)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def cell_arrangement(cuts: DataFrame, floor: DataFrame, path: DataFrame, keys: list[str], cell: float, coverage: float = 0.30, least: float = 0.20) -> DataFrame:
     """Cells between consecutive cuts (keys, axis, at) of both axes that were walked through, or of
     which at least `coverage` is floor cells (cx, cy); small ones go. A point finds its

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import measure
-from tesserae.operators import layout, sequence, spatial
+from tesserae.operators import layout, rectilinear, sequence, spatial
 from tesserae.plans.registry import Tables, query
 
 
@@ -172,3 +172,22 @@ def triangle_overlaps(t: Tables) -> DataFrame:
     near = spatial.box_overlaps(rings, "k", 4.0).select("a", "b")
     pairs = near.join(rings.select(F.col("k").alias("a"), F.col("ring").alias("p")), "a").join(rings.select(F.col("k").alias("b"), F.col("ring").alias("q")), "b")
     return layout.intersection_areas(pairs, "p", "q").select("a", "b", F.round("area", 6).alias("area")).filter("area > 0")
+
+
+@query("""
+WITH b AS (SELECT l_orderkey AS k, l_partkey % 12 AS u, l_suppkey % 12 AS v, 1 + l_linenumber % 4 AS w, 1 + l_quantity::bigint % 5 AS h FROM lineitem),
+c AS (SELECT DISTINCT k, u + dx AS x, v + dy AS y FROM b, (SELECT unnest(range(4)) AS dx) p, (SELECT unnest(range(5)) AS dy) q WHERE dx < w AND dy < h),
+one(i) AS (SELECT unnest(range(-1, 2))), two(i) AS (SELECT unnest(range(-2, 3))),
+g AS (SELECT DISTINCT k, x + a.i AS x, y + b.i AS y FROM c, one a, one b),
+s AS (SELECT k, x + a.i AS x, y + b.i AS y FROM g, two a, two b GROUP BY ALL HAVING count(*) = 25),
+o AS (SELECT DISTINCT k, x + a.i AS x, y + b.i AS y FROM s, one a, one b)
+SELECT k, area, cleaned FROM (SELECT k, count(*) AS area FROM c GROUP BY k) LEFT JOIN (SELECT k, count(*) AS cleaned FROM o GROUP BY k) USING (k)
+""")
+def cleaned_plans(t: Tables) -> DataFrame:
+    """An order's lines as boxes: the area of their union, and what is left of it without gaps and slivers narrower than two."""
+    u, v = F.col("l_partkey") % 12, F.col("l_suppkey") % 12
+    w, h = 1 + F.col("l_linenumber") % 4, 1 + F.col("l_quantity").cast("long") % 5
+    boxes = t.lineitem.select(F.col("l_orderkey").alias("k"), *[c.cast("double").alias(n) for n, c in (("u0", u), ("u1", u + w), ("v0", v), ("v1", v + h))])
+    union = rectilinear.slabs(boxes, ["k"])
+    out = rectilinear.areas(union, ["k"]).join(rectilinear.areas(rectilinear.cleaned(union, ["k"], 1.0), ["k"]).withColumnRenamed("area", "cleaned"), "k", "left")
+    return out.select("k", *[F.round(c).cast("long").alias(c) for c in ("area", "cleaned")])

@@ -206,3 +206,17 @@ def point_normals(t: Tables) -> DataFrame:
     at = lambda i: F.get("embedding", F.lit(i)).cast("double").alias(f"d{i}")
     out = rooms.point_normals(t.embeddings.select("label", "vec_id", at(0), at(1), at(2)), ["label"], "vec_id", ("d0", "d1", "d2"), 0.2)
     return out.select("label", "vec_id", *[F.round(c, 6).alias(c) for c in ("nx", "ny", "nz")], "neighbours")
+
+
+@query("""
+WITH p AS (SELECT label, vec_id AS point, 320 + 400 * embedding[1]::double AS u, 240 + 400 * embedding[2]::double AS v FROM embeddings),
+q AS (SELECT label, vec_id AS pixel, 320 + 600 * embedding[3]::double AS u, 240 + 600 * embedding[4]::double AS v FROM embeddings),
+d AS (SELECT label, pixel, point, sqrt((q.u - p.u) * (q.u - p.u) + (q.v - p.v) * (q.v - p.v)) AS d FROM q JOIN p USING (label))
+SELECT label, pixel, min(point) AS point, round(any_value(d), 6) AS distance FROM d WHERE d <= 40 AND (label, pixel, d) IN (SELECT label, pixel, min(d) FROM d GROUP BY label, pixel) GROUP BY label, pixel
+""")
+def nearest_reprojection(t: Tables) -> DataFrame:
+    """For each pixel of a frame (label) the point of it that is seen nearest, up to 40 pixels away."""
+    at = lambda i, f, c: c + f * F.get("embedding", F.lit(i)).cast("double")
+    points = t.embeddings.select("label", F.col("vec_id").alias("point"), at(0, 400, F.lit(320)).alias("u"), at(1, 400, F.lit(240)).alias("v"))
+    pixels = t.embeddings.select("label", F.col("vec_id").alias("pixel"), at(2, 600, F.lit(320)).alias("u"), at(3, 600, F.lit(240)).alias("v"))
+    return rooms.nearest_seen(pixels, points, ["label"], "pixel", "point").withColumn("distance", F.round("distance", 6))
