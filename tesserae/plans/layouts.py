@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import measure
-from tesserae.operators import layout, rectilinear, sequence, spatial
+from tesserae.operators import layout, planes, rectilinear, sequence, spatial
 from tesserae.plans.registry import Tables, query
 
 
@@ -191,3 +191,27 @@ def cleaned_plans(t: Tables) -> DataFrame:
     union = rectilinear.slabs(boxes, ["k"])
     out = rectilinear.areas(union, ["k"]).join(rectilinear.areas(rectilinear.cleaned(union, ["k"], 1.0), ["k"]).withColumnRenamed("area", "cleaned"), "k", "left")
     return out.select("k", *[F.round(c).cast("long").alias(c) for c in ("area", "cleaned")])
+
+
+@query("""
+WITH p AS (SELECT l_suppkey % 20 AS room, l_partkey % 40 / 8 AS x, l_orderkey % 32 / 8 AS y, l_quantity / 20 + 0.01::double * (l_partkey % 40 / 8) AS h FROM lineitem),
+b AS (SELECT room, floor((h - lo) / 0.02::double) AS bin, lo, count(*) AS n FROM p JOIN (SELECT room, min(h) AS lo FROM p GROUP BY room) USING (room) GROUP BY ALL),
+s AS (SELECT room, min(lo + (bin + 0.5::double) * 0.02::double) AS seed FROM (SELECT *, max(n) OVER (PARTITION BY room) AS most FROM b) WHERE n >= 0.2::double * most GROUP BY room),
+i AS (SELECT p.*, seed FROM p JOIN s USING (room) WHERE abs(h - seed) <= 0.08::double),
+m AS (SELECT room, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, h) AS xh, covar_pop(y, h) AS yh, avg(x) AS mx, avg(y) AS my, avg(h) AS mh FROM i GROUP BY room),
+f AS (SELECT room, n, (xh * yy - yh * xy) / (xx * yy - xy * xy) AS a, (yh * xx - xh * xy) / (xx * yy - xy * xy) AS b, mh, mx, my FROM m),
+j AS (SELECT i.* FROM i JOIN f USING (room) WHERE abs(h - (a * x + b * y + mh - a * mx - b * my)) / sqrt(1 + a * a + b * b) <= 0.02::double),
+m2 AS (SELECT room, count(*) AS n2, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, h) AS xh, covar_pop(y, h) AS yh, avg(x) AS mx, avg(y) AS my, avg(h) AS mh FROM j GROUP BY room),
+f2 AS (SELECT room, n2, a, b, mh - a * mx - b * my AS c FROM (SELECT *, (xh * yy - yh * xy) / (xx * yy - xy * xy) AS a, (yh * xx - xh * xy) / (xx * yy - xy * xy) AS b FROM m2)),
+g AS (SELECT s.room, coalesce(n >= 100 AND n2 >= 50 AND 1 / sqrt(1 + f2.a * f2.a + f2.b * f2.b) >= 0.95::double, false) AS good, f2.a, f2.b, f2.c, seed FROM s LEFT JOIN f USING (room) LEFT JOIN f2 USING (room)),
+k AS (SELECT room, good, CASE WHEN good THEN a ELSE 0 END AS a, CASE WHEN good THEN b ELSE 0 END AS b, CASE WHEN good THEN c ELSE seed END AS c FROM g)
+SELECT room, CASE WHEN count(*) < 100 THEN 'too few points' WHEN good THEN 'plane' ELSE 'band' END AS method, CASE WHEN count(*) >= 100 THEN round(a, 6) END AS a, CASE WHEN count(*) >= 100 THEN round(c, 6) END AS c, count(*) AS total,
+       CASE WHEN count(*) >= 100 THEN count(*) FILTER (abs(h - (a * x + b * y + c)) / sqrt(1 + a * a + b * b) <= 0.02::double) END AS inliers
+FROM p JOIN k USING (room) GROUP BY room, good, a, b, c
+""")
+def floor_fits(t: Tables) -> DataFrame:
+    """Lines as points of twenty rooms whose heights come in steps on a slight slope: each room's floor."""
+    x, y = F.col("l_partkey") % 40 / 8, F.col("l_orderkey") % 32 / 8
+    points = t.lineitem.select((F.col("l_suppkey") % 20).alias("room"), x.alias("x"), y.alias("y"), (F.col("l_quantity") / 20 + 0.01 * x).alias("h"))
+    out = planes.floors(points, ["room"])
+    return out.select("room", "method", F.round("a", 6).alias("a"), F.round("c", 6).alias("c"), "inliers", "total")
