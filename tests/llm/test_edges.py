@@ -4,7 +4,7 @@ named like outputs or internals, for every operator on documents."""
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import host_rules, jaccard_join, lm_trie, media_docs, mixing, piece_codec, rule_ensemble, substring_dedup, token_counts, zip_warc
+from tesserae.llm import gated_toxicity, host_rules, jaccard_join, lm_trie, media_docs, mixing, periodic_runs, piece_codec, rule_ensemble, substring_dedup, token_counts, zip_warc
 from tesserae.llm.common import Scratch
 
 LONG = "word other. " * 20_000
@@ -30,6 +30,8 @@ RUNS = {
     "encode": lambda d: piece_codec.decode_ids(piece_codec.encode_texts(d, piece_codec.default_model()), piece_codec.default_model()),
     "lm": lambda d: lm_trie.score_texts(d),
     "quality": lambda d: rule_ensemble.quality_scores(d, d.select("doc_id", (F.col("n_chars") % 2).alias("quality"))),
+    "runs": lambda d: periodic_runs.periodic_runs(d, keep=["lang", "runs", "start"]),
+    "toxicity": lambda d: gated_toxicity.toxicity_scores(d, d.select("doc_id", (F.col("n_chars") % 2).cast("int").alias("toxic"))),
     "store": lambda d: media_docs.stored_payloads(d, "text", Scratch(d.sparkSession)),
     "items": lambda d: media_docs.interleaved(d, html="text"),
 }
