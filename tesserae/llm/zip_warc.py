@@ -4,8 +4,10 @@ A package is a ZIP file with stored (uncompressed) members: `archive/*.warc.gz`,
 are gzip members of their own, and `indexes/index.cdx` with one line for each record. The
 reader parses the end record, the ZIP64 end record and the central directory from the file's
 tail, finds each stored member's data through its local header, and reads records by byte
-range. An archive that no index line names is scanned once, record by record, to make one; the others
-are read as their lines say. Indexes may be gzipped, and their lines CDXJ (key, time, JSON).
+range. What no index line covers, a whole archive or the gaps between its lines, is scanned once,
+record by record. Indexes may be gzipped, and their lines CDXJ (key, time, JSON). A gzip member that
+holds several records has one byte range: its records are cut from it where they start, and one
+task unzips it, as a stream.
 
 Files are opened with pyarrow.fs (file, hdfs, s3, gs); listings come from Spark.
 
@@ -14,7 +16,8 @@ equal payloads of `min_revisit` bytes or more keep the row with the largest key
 (null is the smallest; rows that tie for it all stay responses) and the others are revisits;
 an empty table makes no archive and reads as no rows; other input columns, whatever their names,
 are not stored; a payload of any length is one record, which the task that writes or reads it holds
-whole. An archive that is compressed inside its package or cut off is an error, never a part of it.
+whole. Keys and urls come back as they were, line feeds and blanks included. An archive that is
+compressed inside its package or cut off is an error, never a part of it; so is a record without a length.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ import struct
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -44,8 +48,11 @@ SPAN = 8 << 20
 HOT, SALTS = 1000, 64
 #: Bytes of payload after which a batch of read records is sent on.
 BATCH = 4 << 20
+#: Bytes of an archive that a scan reads at once.
+STEP = 1 << 16
 
-INDEX_TYPES = "path string, member string, offset long, length long, record_id string, record_type string, url string"
+#: inner: where the record starts in its unzipped gzip member, null if the byte range is the record's alone.
+INDEX_TYPES = "path string, member string, offset long, length long, inner long, record_id string, record_type string, url string"
 RECORD_TYPES = "record_key string, url string, record_id string, record_type string, digest string, refers_to string, payload binary"
 
 
@@ -66,9 +73,12 @@ def make_record(key: str | None, url: str | None, payload: bytes, digest: str, r
     block = http if refers_to else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name(key, digest)}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        header = url.replace("\r", "%0D").replace("\n", "%0A").strip()
+        lines.append(f"WARC-Target-URI: {header}")
+        if header != url:
+            lines.append(f"X-Record-Url: {quote(url)}")
     if key is not None:
-        lines.append(f"X-Record-Key: {key}")
+        lines.append(f"X-Record-Key: {quote(key)}")
     if refers_to:
         lines += [f"WARC-Refers-To: <{name(*refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -86,8 +96,9 @@ def parse_record(raw: bytes) -> dict:
     payload = block.partition(b"\r\n\r\n")[2] if http else block
     bare = lambda x: x.strip("<>") if x else None
     kind = fields.get("warc-type")
+    own = {name: unquote(fields[name]) for name in ("x-record-key", "x-record-url") if name in fields}
     return {
-        "record_key": fields.get("x-record-key"), "url": fields.get("warc-target-uri"), "record_id": bare(fields.get("warc-record-id")), "record_type": kind,
+        "record_key": own.get("x-record-key"), "url": own.get("x-record-url", fields.get("warc-target-uri")), "record_id": bare(fields.get("warc-record-id")), "record_type": kind,
         "digest": fields.get("warc-payload-digest", "").rpartition(":")[2] or None, "refers_to": bare(fields.get("warc-refers-to")), "payload": None if kind == "revisit" else payload,
     }
 
@@ -146,34 +157,106 @@ def data_offset(read_at, member: dict) -> int:
     return member["header"] + 30 + n_name + n_extra
 
 
-def scan_records(read_at, start: int, size: int, zipped: bool) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, record) of an archive that has no index, read in steps."""
-    at, held = 0, b""
-    while at < size:
-        need = 1 << 16
+def _record_size(held: bytearray) -> tuple[int, int] | None:
+    """(bytes to the end of the first record's block, with the blank lines after it), once its head is there."""
+    head = held.find(b"\r\n\r\n")
+    if head < 0:
+        return None
+    sizes = [int(x.split(b":")[1]) for x in bytes(held[:head]).split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    if len(sizes) != 1:
+        raise ValueError("a record's head has no single length; the archive is broken or cut off")
+    return head + 4 + sizes[0], head + 4 + sizes[0] + 4
+
+
+class _Cutter:
+    """Cuts a stream of bytes into records; holds one record at a time."""
+
+    def __init__(self):
+        self.held, self.at, self.need = bytearray(), 0, None
+
+    def _leave(self, n: int) -> None:
+        del self.held[:n]
+        self.at, self.need = self.at + n, None
+
+    def feed(self, data: bytes, last: bool = False) -> Iterator[tuple[int, int, bytes]]:
+        """(start, length, bytes) of the records that data completes; all of them if it is the last."""
+        self.held += data
+        while self.held:
+            if self.need is None:
+                first = self.held[:64]
+                blank = len(first) - len(first.lstrip(b"\r\n"))
+                if blank:
+                    self._leave(blank)
+                    continue
+                self.need = _record_size(self.held)
+            if self.need is not None and (len(self.held) >= self.need[1] or last and len(self.held) >= self.need[0]):
+                n = min(self.need[1], len(self.held))
+                yield self.at, n, bytes(self.held[:n])
+                self._leave(n)
+            elif last:
+                raise ValueError(f"the archive's record at byte {self.at} is cut off")
+            else:
+                return
+
+
+def _member_records(chunk: bytes, more: Callable[[], bytes]) -> Iterator[tuple[int, int, bytes] | tuple[int, bytes]]:
+    """Records of one gzip member that starts with chunk, as a _Cutter gives them; at last the
+    member's length and what was read beyond it. more() reads on."""
+    unzip, cut, used = zlib.decompressobj(31), _Cutter(), 0
+    while True:
+        if not chunk:
+            raise ValueError("the archive's last gzip member is cut off")
+        used += len(chunk)
+        data = unzip.decompress(chunk, STEP << 4)  # in parts: runs of one byte unzip a thousandfold
         while True:
-            want = min(need, size - at)
-            if len(held) < want:
-                held += read_at(start + at + len(held), want - len(held))
-            if zipped:
-                unzip = zlib.decompressobj(31)
-                raw = unzip.decompress(held)
-                if unzip.eof:
-                    length = len(held) - len(unzip.unused_data)
-                    break
+            yield from cut.feed(data, unzip.eof)
+            if unzip.eof or not (unzip.unconsumed_tail or data):
+                break
+            data = unzip.decompress(unzip.unconsumed_tail, STEP << 4)
+        if unzip.eof:
+            yield used - len(unzip.unused_data), unzip.unused_data
+            return
+        chunk = more()
+
+
+def _reader(read_at, start: int, size: int) -> Callable[[], bytes]:
+    """Reads a byte range step by step."""
+    at = 0
+
+    def more() -> bytes:
+        nonlocal at
+        data = read_at(start + at, min(STEP, size - at))
+        at += len(data)
+        return data
+
+    return more
+
+
+def scan_records(read_at, start: int, size: int, zipped: bool) -> Iterator[tuple[int, int, int | None, dict]]:
+    """(offset, length, inner, facts) of every record of a byte range that has no index, read in steps."""
+    facts = lambda raw: {k: v for k, v in parse_record(raw).items() if k in ("record_id", "record_type", "url")}
+    more = _reader(read_at, start, size)
+    if not zipped:
+        cut, seen = _Cutter(), 0
+        while seen < size:
+            data = more()
+            if not data:
+                raise ValueError("the archive is cut off")
+            seen += len(data)
+            for at, length, raw in cut.feed(data, seen == size):
+                yield at, length, None, facts(raw)
+        return
+    at, left = 0, b""
+    while at < size:
+        found = []
+        for x in _member_records(left or more(), more):
+            if len(x) == 3:
+                found.append((x[0], facts(x[2])))
             else:
-                head = held.find(b"\r\n\r\n")
-                if head >= 0:
-                    sizes = [int(x.split(b":")[1]) for x in held[:head].split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                    length = head + 4 + sum(sizes) + 4
-                    if length <= len(held) or want == size - at:
-                        raw = held[:length]
-                        break
-            if want == size - at:
-                raise ValueError(f"the archive's record at byte {at} is cut off")
-            need *= 4
-        yield at, length, raw
-        at, held = at + length, held[length:]
+                length, left = x
+        for inner, fact in found:
+            yield at, length, inner if len(found) > 1 else None, fact
+        at += length
 
 
 # --- writer --------------------------------------------------------------------------------
@@ -241,7 +324,7 @@ def _names(line: dict, archive: str) -> bool:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("path", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string())])
+    schema = pa.schema([("path", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("inner", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string())])
     for batch in batches:
         for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             files, at = file_system(path)
@@ -259,16 +342,25 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lines += [json.loads(x[x.index(b"{") :]) for x in raw.splitlines() if b"{" in x and not x.startswith(b"!")]
                 out = []
                 for name, (start, m) in archives.items():
-                    # An archive that no line names is scanned; so is one whose lines are of another kind.
-                    named = [x for x in lines if _names(x, name) and "offset" in x and "length" in x]
-                    found = list({int(x["offset"]): x | {"offset": int(x["offset"]), "length": int(x["length"])} for x in named}.values())
-                    for i, x in enumerate(found):
+                    zipped = name.endswith(".gz")
+                    named = [x | {"offset": int(x["offset"]), "length": int(x["length"])} for x in lines if _names(x, name) and "offset" in x and "length" in x]
+                    found = {x["offset"]: x for x in named}
+                    if any(found[x["offset"]] != x for x in named):
+                        found = {}  # several records of one byte range: the scan tells them apart
+                    done, gaps = 0, []
+                    for x in sorted(found.values(), key=lambda x: x["offset"]):
+                        if x["offset"] + x["length"] > m["size"]:
+                            raise ValueError(f"{path}: {name} is cut off: its index names byte {x['offset'] + x['length']} of {m['size']}")
                         if not {"record_id", "record_type", "url"} <= x.keys():  # CDXJ has not all of them
                             raw = read_at(start + x["offset"], x["length"])
-                            found[i] = parse_record(zlib.decompress(raw, 31) if name.endswith(".gz") else raw) | {"offset": x["offset"], "length": x["length"]}
-                    if not found:
-                        found = [{"offset": o, "length": n} | parse_record(raw) for o, n, raw in scan_records(read_at, start, m["size"], name.endswith(".gz"))]
-                    out += [{"path": path, "member": name, "offset": start + x["offset"], "length": x["length"], "record_id": x["record_id"], "record_type": x["record_type"], "url": x["url"]} for x in found]
+                            found[x["offset"]] = parse_record(zlib.decompress(raw, 31) if zipped else raw) | {"offset": x["offset"], "length": x["length"]}
+                        if x["offset"] > done:
+                            gaps.append((done, x["offset"]))
+                        done = max(done, x["offset"] + x["length"])
+                    every = [x | {"inner": None} for x in found.values()]
+                    for a, b in [*gaps, *([(done, m["size"])] if done < m["size"] else [])]:
+                        every += [{"offset": a + o, "length": n, "inner": k} | fact for o, n, k, fact in scan_records(read_at, start + a, b - a, zipped)]
+                    out += [{"path": path, "member": name, "offset": start + x["offset"], **{k: x[k] for k in ("length", "inner", "record_id", "record_type", "url")}} for x in every]
             for i in range(0, len(out), 10_000):
                 yield pa.RecordBatch.from_pylist(out[i : i + 10_000], schema=schema)
 
@@ -278,26 +370,44 @@ def read_index(packages: DataFrame) -> DataFrame:
     return packages.repartition(F.col("path")).mapInArrow(_index, INDEX_TYPES)
 
 
+def _alone(source, rows: list[tuple]) -> Iterator[bytes]:
+    """Records that have byte ranges of their own, side by side: one range read."""
+    base = rows[0][2]
+    raw = source.read_at(rows[-1][2] + rows[-1][3] - base, base)
+    for _, member, offset, length, _ in rows:
+        piece = raw[offset - base : offset - base + length]
+        yield zlib.decompress(piece, 31) if member.endswith(".gz") else piece
+
+
+def _shared(source, rows: list[tuple]) -> Iterator[bytes]:
+    """The wanted records of one gzip member, which is unzipped as a stream."""
+    wanted = {row[4] for row in rows}
+    more = _reader(lambda offset, length: source.read_at(length, offset), rows[0][2], rows[0][3])
+    for x in _member_records(more(), more):
+        if len(x) == 3 and x[0] in wanted:
+            yield x[2]
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(x, pa.string()) for x in ("record_key", "url", "record_id", "record_type", "digest", "refers_to")] + [("payload", pa.binary())])
     path, source = None, None
     for batch in batches:
-        rows = list(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "member", "offset", "length")]))
+        rows = list(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "member", "offset", "length", "inner")]))
         i = 0
         while i < len(rows):
             j = i + 1
-            while j < len(rows) and rows[j][0] == rows[i][0] and rows[j][2] == rows[j - 1][2] + rows[j - 1][3] and rows[j][2] + rows[j][3] - rows[i][2] <= SPAN:
+            shared = rows[i][4] is not None
+            while j < len(rows) and shared and rows[j][:3] == rows[i][:3]:
+                j += 1
+            while j < len(rows) and not shared and rows[j][4] is None and rows[j][0] == rows[i][0] and rows[j][2] == rows[j - 1][2] + rows[j - 1][3] and rows[j][2] + rows[j][3] - rows[i][2] <= SPAN:
                 j += 1
             if rows[i][0] != path:
                 path = rows[i][0]
                 files, at = file_system(path)
                 source = files.open_input_file(at)
-            base = rows[i][2]
-            raw = source.read_at(rows[j - 1][2] + rows[j - 1][3] - base, base)
             out, held = [], 0
-            for _, member, offset, length in rows[i:j]:
-                piece = raw[offset - base : offset - base + length]
-                out.append(parse_record(zlib.decompress(piece, 31) if member.endswith(".gz") else piece))
+            for piece in _shared(source, rows[i:j]) if shared else _alone(source, rows[i:j]):
+                out.append(parse_record(piece))
                 held += len(out[-1]["payload"] or b"")
                 if held > BATCH:  # a span unzips to several times its size
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
@@ -309,7 +419,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(index: DataFrame) -> DataFrame:
     """The records of an index, or of any part of it, by range reads; revisits have no payload."""
-    dealt = index.repartition("path", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("path", "offset")
+    dealt = index.repartition("path", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("path", "offset", "inner")
     return dealt.mapInArrow(_records, RECORD_TYPES)
 
 

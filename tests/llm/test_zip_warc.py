@@ -1,4 +1,6 @@
+import gzip
 import io
+import json
 import struct
 import zipfile
 import zlib
@@ -61,8 +63,6 @@ def test_not_a_zip():
 
 @pytest.mark.parametrize("zipped", [True, False])
 def test_archive_without_index(spark, tmp_path, zipped):
-    import gzip
-
     records = [z.make_record(str(i), f"u{i}", b"p" * i * 40_000, "d", None)[2] for i in range(4)]
     body = b"".join(gzip.compress(r) if zipped else r for r in records)
     with zipfile.ZipFile(tmp_path / "x.wacz", "w", zipfile.ZIP_STORED) as p:
@@ -76,9 +76,6 @@ def test_archive_without_index(spark, tmp_path, zipped):
 
 @pytest.mark.parametrize("cdxj", [False, True])
 def test_one_of_two_archives_has_an_index(spark, tmp_path, cdxj):
-    import gzip
-    import json
-
     parts = {n: [gzip.compress(z.make_record(f"{n}{i}", f"u{n}{i}", b"p" * 50, "d", None)[2]) for i in range(3)] for n in "ab"}
     lines, at = [], 0
     for i, raw in enumerate(parts["a"]):
@@ -116,8 +113,6 @@ def test_as_many_members_as_fit_without_zip64():
 
 @pytest.mark.parametrize("fault", ["compressed", "cut off"])
 def test_what_cannot_be_read_whole_is_an_error(spark, tmp_path, fault):
-    import gzip
-
     body = b"".join(gzip.compress(z.make_record(str(i), f"u{i}", b"p" * 900, "d", None)[2]) for i in range(3))
     with zipfile.ZipFile(tmp_path / "x.wacz", "w") as p:
         p.writestr("archive/x.warc.gz", body if fault == "compressed" else body[:-9], zipfile.ZIP_DEFLATED if fault == "compressed" else zipfile.ZIP_STORED)
@@ -135,3 +130,72 @@ def test_revisits_of_hot_and_rare_responses(spark, monkeypatch, hot):
         keeper = max(k for k, _, h, _ in data if h == html)
         r = got[str(i)]
         assert (r["record_type"], r["refers_to"], r["payload_bytes"]) == (("response", None, len(html)) if i == keeper else ("revisit", str(keeper), len(html)))
+
+
+def records_of(spark, folder):
+    return z.read_records(z.read_index(z.list_packages(spark, str(folder)))).collect()
+
+
+def package(path, lines=None, **archives):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as p:
+        for name, body in archives.items():
+            p.writestr(f"archive/{name}.warc" + ".gz" * (body[:2] == b"\x1f\x8b"), body)
+        if lines is not None:
+            p.writestr("indexes/index.cdx", "\n".join(map(json.dumps, lines)))
+
+
+def made(n, size=500):
+    return [z.make_record(str(i), f"u{i}", bytes([97 + i % 26]) * (size + i), "d", None)[2] for i in range(n)]
+
+
+@pytest.mark.parametrize("kept", [-200, -600, -5])
+def test_plain_archive_that_is_cut_off(spark, tmp_path, kept):
+    package(tmp_path / "x.wacz", x=b"".join(made(3))[:kept])
+    with pytest.raises(Exception, match="cut off"):
+        records_of(spark, tmp_path)
+
+
+def test_plain_archive_without_its_last_blank_lines(spark, tmp_path):
+    package(tmp_path / "x.wacz", x=b"".join(made(3))[:-4])
+    assert sorted(len(r["payload"]) for r in records_of(spark, tmp_path)) == [500, 501, 502]
+
+
+@pytest.mark.parametrize("n, size", [(3, 500), (400, 3000), (2, 3_000_000)])
+def test_one_gzip_member_with_many_records(spark, tmp_path, n, size):
+    package(tmp_path / "x.wacz", x=gzip.compress(b"".join(made(n, size))) + gzip.compress(z.make_record("own", "own", b"o", "d", None)[2]))
+    got = {r["record_key"]: bytes(r["payload"]) for r in records_of(spark, tmp_path)}
+    assert got == {str(i): bytes([97 + i % 26]) * (size + i) for i in range(n)} | {"own": b"o"}
+    index = z.read_index(z.list_packages(spark, str(tmp_path)))
+    assert [r["record_key"] for r in z.read_records(index.filter("url = 'u1'")).collect()] == ["1"]
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+@pytest.mark.parametrize("named", [[1], [0, 2], [0], [3, 4], []])
+def test_index_that_names_some_records(spark, tmp_path, zipped, named):
+    raws = [gzip.compress(r) if zipped else r for r in made(5)]
+    at = [sum(map(len, raws[:i])) for i in range(5)]
+    name = "archive/x.warc" + ".gz" * zipped
+    # Lengths of a plain archive's lines may leave out the blank lines after a record.
+    package(tmp_path / "x.wacz", [{"offset": at[i], "length": len(raws[i]) - 4 * (not zipped), "member": name} for i in named], x=b"".join(raws))
+    assert sorted((r["record_key"], len(r["payload"])) for r in records_of(spark, tmp_path)) == [(str(i), 500 + i) for i in range(5)]
+
+
+def test_index_lines_that_share_one_member(spark, tmp_path):
+    raw = gzip.compress(b"".join(made(3)))
+    package(tmp_path / "x.wacz", [{"offset": 0, "length": len(raw), "member": "archive/x.warc.gz", "url": f"u{i}", "record_id": f"r{i}", "record_type": "response"} for i in range(3)], x=raw)
+    assert sorted(r["record_key"] for r in records_of(spark, tmp_path)) == ["0", "1", "2"]
+
+
+def test_index_beyond_the_archive(spark, tmp_path):
+    raws = [gzip.compress(r) for r in made(2)]
+    package(tmp_path / "x.wacz", [{"offset": len(raws[0]), "length": len(raws[1]), "member": "archive/x.warc.gz"}], x=raws[0])
+    with pytest.raises(Exception, match="cut off"):
+        records_of(spark, tmp_path)
+
+
+def test_keys_and_urls_come_back_as_they_were(spark):
+    data = [("a\nb", " u\r\n1 ", "x"), ("50% é", "http://h/%20?a=é", "y"), (" ", None, "z"), (None, "", "n")]
+    scratch = Scratch(spark)
+    z.write_packages(spark.createDataFrame(data, "page_id string, url string, html string"), scratch.path("a"), scratch)
+    got = z.read_records(z.read_index(z.list_packages(spark, scratch.path("a")))).collect()
+    assert sorted(((r["record_key"], r["url"], bytes(r["payload"]).decode()) for r in got), key=str) == sorted(data, key=str)
