@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from tesserae.session import Steps
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, steps: Steps | None = None) -> DataFrame:
     """nodes (node), undirected edges (a, b) to (node, component): the least node of each component.
 
     In every round each node that has edges hooks to its least neighbour. Such hooks close circles of
     two nodes only, whose lesser node is the root of a tree; trees are flattened by pointer jumping
     and become the nodes of the next round. A tree has two nodes or more, so rounds grow with the
     logarithm of the nodes, and jumps in a round with that of a tree's height; the loop ends when no
-    edge is left. What a round leaves is a table in the shared folder; older ones are deleted."""
-    steps = Steps(edges.sparkSession)
+    edge is left. What a round leaves is a table in the shared folder; older ones are deleted. With
+    `steps` of its own the caller can delete the last ones as well, once the result is written."""
+    steps = steps or Steps(edges.sparkSession)
     labels = steps.keep(nodes.select("node", F.col("node").alias("label")).distinct(), "labels")
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
     for end in ("a", "b"):

@@ -79,6 +79,7 @@ class Steps:
             self.drop(f"{name}-{number - 1}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}-{number}")
 
-    def drop(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+    def drop(self, folder: str = "") -> None:
+        """Deletes one table, or all of them; what is still read from must have been written elsewhere by then."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}" if folder else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
