@@ -32,6 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.operators import graph
+from tesserae.session import Steps
+
 from .common import Scratch, pieces, quoted, stream_groups
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -201,33 +204,31 @@ def in_blocks(rows: DataFrame, member: str, size: str, block: int) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, label): the least node of each connected component of edges (a, b).
-
-    Every round takes the least label of the neighbours, then the label of that label. Each
-    round is written to the shared folder; rounds grow with the logarithm of the diameter."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.keep(both, f"{name}-edges")  # dropped with the last round
-    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), f"{name}-0")
-    step = 0
-    while True:
-        step += 1
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("m"))
-        lower = labels.join(near, F.col("node") == F.col("n")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        over = labels.select(F.col("node").alias("o"), F.col("label").alias("jump"))
-        jumped = lower.join(over, F.col("label") == F.col("o"), "left").select("node", "old", F.least("label", F.coalesce("jump", "label")).alias("label"))
-        kept = scratch.keep(jumped, f"{name}-{step}")
-        changed = kept.filter("old <> label").limit(1).count()
-        scratch.drop(f"{name}-{step - 1}")
-        labels = kept.select("node", "label")
-        if not changed:
-            scratch.drop(f"{name}-edges")
-            return labels
+    """(node, label): the least node of each connected component of edges (a, b), as a table of its own.
+    Rounds grow with the logarithm of the nodes (operators.graph)."""
+    steps = Steps(edges.sparkSession)
+    edges = scratch.keep(edges, f"{name}-edges")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    labels = graph.components(nodes, edges, steps).select("node", F.col("component").alias("label"))
+    labels = scratch.keep(labels, name)
+    steps.drop()
+    scratch.drop(f"{name}-edges")
+    return labels
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts' shingles, once for each node of a task: rows equal in key and text come side by
+    side out of the sorted join, and only the first of them goes on."""
+    last = None
     hashes = _Hashes()
     for batch in batches:
-        for part in pieces(batch, "text", 1 << 20):
+        node = batch.column(batch.schema.get_field_index("node")).to_numpy(zero_copy_only=False)
+        if not len(node):
+            continue
+        new = np.sort(np.unique(node, return_index=True)[1])
+        new = new[node[new] != last] if last is not None else new
+        last = node[-1]
+        for part in pieces(batch.take(pa.array(new)), "text", 1 << 20):
             flat, at = shingle_sets(part.column(part.schema.get_field_index("text")).to_pylist(), hashes)
             sets = pa.array([flat[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in ("node", "label", "members")], sets], names=["node", "label", "members", "sets"])
@@ -332,7 +333,7 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     scratch.drop("candidates")
     scratch.drop("buckets")
 
-    # Exact links inside the groups, on one row of each node.
+    # Exact links inside the groups, on one row of each node; of equal rows _members keeps one.
     sizes = scratch.keep(groups.groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("members")), "sizes")
     members = groups.join(sizes, F.col("label") == F.col("l")).join(nodes.select(F.col("node").alias("n"), F.col("key").alias("k"), F.col("h").alias("th")), F.col("node") == F.col("n"))
     members = scratch.keep(members.select("node", "label", "members", "k", "th"), "members")

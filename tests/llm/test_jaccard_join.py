@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tesserae.llm import jaccard_join as j
+from tesserae.llm.common import Scratch
+from tesserae.session import Steps
 
 
 def brute(rows, t=0.8):
@@ -109,3 +112,29 @@ def test_one_of_each_where_keys_do_not_tell_rows_apart(spark, verdicts):
     assert of(a) == [(1, a, "p")] and of(b) == [(None, b, "r")] and of(d) == [(5, d, "y")]
     assert len(of(c, c + " more")) == 1 and len(of(e, e.upper())) == 1 and of(e, e.upper())[0][0] == 7
     assert len(of("", None)) == 3 and len(of(" ")) == 2 and len(kept) == 10
+
+
+def test_equal_rows_send_one_set():
+    text = " ".join(f"w{i}" for i in range(40))
+    batch = lambda nodes: pa.RecordBatch.from_pydict({"node": nodes, "label": [1] * len(nodes), "members": [3] * len(nodes), "text": [f"{text} {n}" for n in nodes]})
+    got = list(j._members(iter([batch([7] * 5000), batch([]), batch([7] * 10 + [2] * 10), batch([2, 9, 9])])))
+    assert [n for b in got for n in b.column(0).to_pylist()] == [7, 2, 9]
+    assert [len(s) for b in got for s in b.column(3).to_pylist()] == [37 * 8] * 3
+
+
+@pytest.mark.parametrize("key", [1, None])
+def test_many_equal_rows_beside_a_near_copy(spark, key):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(key, text)] * 3000 + [(2, text + " more")]
+    got = j.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    kept = []
+    keep = Steps.keep
+    monkeypatch.setattr(Steps, "keep", lambda self, df, name: kept.append(name) or keep(self, df, name))
+    order = [0, *range(60, 0, -1)]
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    got = j.components(edges, Scratch(spark), "path").collect()
+    assert {tuple(r) for r in got} == {(n, 0) for n in range(61)} and kept.count("hooks") < 10
