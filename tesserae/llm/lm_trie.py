@@ -615,11 +615,11 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fol
     total, distinct, every, train_docs = map(int, sums.first())
     shards = max(16, -(-every // shard_tokens))
     least = max(2, shard_tokens // HOT_PART)
-    scratch.keep(unigrams.filter(F.col("every") >= least).select("word", "n").coalesce(1), "hot_words")
+    scratch.keep(unigrams.filter(F.col("every") >= least).select("word", "n").repartition(1), "hot_words")
     scratch.drop("unigrams")
     folder = scratch.path("")[:-1]
     pairs = chunks.mapInArrow(_hot_pairs(folder), "word long, context long, every long, n long").groupBy("word", "context").agg(F.sum("every").alias("every"), F.sum("n").alias("n"))
-    scratch.keep(pairs.filter(F.col("every") >= least).select("word", "context", "n").coalesce(1), "hot_pairs")
+    scratch.keep(pairs.filter(F.col("every") >= least).select("word", "context", "n").repartition(1), "hot_pairs")
     norm = math.log10(total + PSEUDO * (distinct + 1))
     dealt = chunks.mapInArrow(_deal(folder, shards, norm, prior, pa.int64() if kind == "long" else pa.string()), DEALT.replace("KEY", kind))
     # A shard is a partition: hashed numbers of shards would put several into one.
