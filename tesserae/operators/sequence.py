@@ -3,9 +3,14 @@ that separate sequences; every window has a total order."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.session import Steps
+
 
 def runs(marked: DataFrame, keys: list[str], index: str, tolerance: int = 0) -> DataFrame:
     """Rows stand for the true places of a sequence. (start, stop, n): maximal runs as half-open
@@ -162,23 +167,28 @@ def merged_segments(rows: DataFrame, keys: list[str], index: str, vector: str, c
 
 def spaced_pairs(pairs: DataFrame, keys: list[str], gap: int, most: int) -> DataFrame:
     """Of pairs (i, j), longest first, then by i and j: those whose i is at least gap // 2 from
-    every i taken, `most` at most."""
-    import pandas as pd
-
-    kinds = dict(pairs.dtypes)
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"i {kinds['i']}", f"j {kinds['j']}", "place int"])
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(far=(pdf.i - pdf.j).abs()).sort_values(["far", "i", "j"], ascending=[False, True, True])
-        used: list[int] = []
-        rows = []
-        for n, i in enumerate(pdf.i.tolist()):
-            if all(abs(i - u) >= gap // 2 for u in used):
-                used.append(i)
-                rows.append(n)
-                if len(used) == most:
-                    break
-        out = pdf.iloc[rows]
-        return out.assign(place=range(len(out)))[[*keys, "i", "j", "place"]].astype({"place": "int32"})
-
-    return pairs.groupBy(*keys).applyInPandas(take, schema)
+    every i taken, `most` at most, with their place. Pairs with a null end are left out; null keys are one key.
+
+    A pair that is taken bars all others of its i, so of each i only the best is kept at the start.
+    Then every round takes the best pair of each key and bars its neighbours, for all keys at once;
+    there are `most` rounds or fewer. What a round leaves is a table in the shared folder."""
+    apart = gap // 2
+    first = F.struct(-F.abs(F.col("i") - F.col("j")), "i", "j")
+    left = pairs.filter("i IS NOT NULL AND j IS NOT NULL").select(*keys, "i", "j")
+    if apart < 1:  # nothing bars anything
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(first)) - 1
+        return left.withColumn("place", place).filter(F.col("place") < most)
+    steps = Steps(pairs.sparkSession, "taken")
+    left = steps.keep(left.groupBy(*keys, "i").agg(F.min_by("j", first).alias("j")), "left")
+    taken = None
+    for place in range(most):
+        best = left.groupBy(*keys).agg(F.min_by(F.struct("i", "j"), first).alias("__best"))
+        best = steps.keep(best.select(*keys, "__best.i", "__best.j", F.lit(place).alias("place")), "taken")
+        taken = best if taken is None else taken.union(best)
+        chosen = best.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("i").alias("near"))
+        same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+        left = left.join(chosen, reduce(and_, same)).filter(F.abs(F.col("i") - F.col("near")) >= apart)
+        left = steps.keep(left.select(*keys, "i", "j"), "left")
+        if not left.limit(1).count():
+            break
+    return taken if taken is not None else left.withColumn("place", F.lit(0)).limit(0)

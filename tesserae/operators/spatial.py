@@ -175,12 +175,25 @@ def placed_in_line(boxes: DataFrame, order: str, gap: float) -> DataFrame:
 
 
 def overlapping_sets(rows: DataFrame, index: str, member: str, share: float) -> DataFrame:
-    """(a, b, shared, share): pairs of sets, a < b, that share at least `share` of the smaller one.
-    Sets meet in the members they share, so sets that share nothing never do."""
-    w = rows.select(F.col(index).alias("s"), F.col(member).alias("m")).distinct()
+    """(a, b, shared, share): pairs of sets, a < b, that share a member and at least `share` of the smaller one.
+    Null members and null sets take no part.
+
+    A smaller set of n members that must share t of them has one of the shared ones among its rarest n - t + 1,
+    so only those look for larger sets; candidates are then counted member by member. A member of every set
+    stands last in each and is looked up only by sets so small that it alone is a share."""
+    w = rows.select(F.col(index).alias("s"), F.col(member).alias("m")).filter("s IS NOT NULL AND m IS NOT NULL").distinct()
     size = w.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    one, two = w.select("m", F.col("s").alias("a")), w.select("m", F.col("s").alias("b"))
-    pairs = one.join(two, "m").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = pairs.join(size.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("s").alias("b"), F.col("n").alias("nb")), "b")
-    least = F.least("na", "nb")
-    return pairs.filter(F.col("shared") >= share * least).select("a", "b", "shared", (F.col("shared") / least).alias("share"))
+    often = w.groupBy("m").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    sized = w.join(size, "s")
+    # Members of one set alone are the rarest and lead nowhere; counted from the commonest, the others keep their ranks.
+    met = sized.join(often, "m")
+    rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("f"), F.desc("m")))
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
+    rare = met.withColumn("rank", rank).filter(F.col("rank") >= need).select("m", F.col("s").alias("small"), F.col("n").alias("n_small"))
+    others = met.select("m", F.col("s").alias("large"), F.col("n").alias("n_large"))
+    pairs = rare.join(others, "m").filter("n_small < n_large OR n_small = n_large AND small < large").select("small", "large", "n_small").distinct()
+    members = met.select(F.col("s").alias("small"), "m")
+    held = met.select(F.col("s").alias("large"), "m")
+    counted = pairs.join(members, "small").join(held, ["large", "m"]).groupBy("small", "large", "n_small").agg(F.count(F.lit(1)).alias("shared"))
+    a, b = F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b")
+    return counted.filter(F.col("shared") >= share * F.col("n_small")).select(a, b, "shared", (F.col("shared") / F.col("n_small")).alias("share"))

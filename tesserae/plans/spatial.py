@@ -102,7 +102,15 @@ def loop_closures(t: Tables) -> DataFrame:
     return spatial.radius_pairs(_dims(t, 3), ["label"], "vec_id", ["d0", "d1", "d2"], 0.06, 15).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_DIMS}, near AS (SELECT label, i, j FROM ({_NEAR.replace("0.06", "0.12")})),
+taken AS (
+    SELECT label, 0 AS place, min({{'far': i - j, 'i': i, 'j': j}}) AS p, [min({{'far': i - j, 'i': i, 'j': j}}).i] AS used FROM near GROUP BY label
+    UNION ALL
+    SELECT t.label, t.place + 1, min({{'far': n.i - n.j, 'i': n.i, 'j': n.j}}), list_append(t.used, min({{'far': n.i - n.j, 'i': n.i, 'j': n.j}}).i)
+    FROM taken t JOIN near n ON n.label = t.label AND len(list_filter(t.used, lambda u: abs(n.i - u) < 7)) = 0 WHERE t.place < 11 GROUP BY t.label, t.place, t.used)
+SELECT label, p.i AS i, p.j AS j, place FROM taken
+""")
 def loop_closures_greedy(t: Tables) -> DataFrame:
     from tesserae.operators.sequence import spaced_pairs
 
@@ -150,7 +158,10 @@ _EDGES = "e AS (SELECT DISTINCT least(c_custkey, s_suppkey + 1000000) AS a, grea
 
 
 def _trade_edges(t: Tables) -> DataFrame:
-    j = t.customer.join(t.supplier, F.col("c_nationkey") == F.col("s_nationkey")).filter(F.abs(F.col("c_acctbal") - F.col("s_acctbal")) < 60)
+    """Customers and suppliers of a nation whose balances are within 60. They meet in strips of 60, a supplier in its own and both beside it."""
+    strip = lambda c: F.floor(F.col(c) / 60).cast("long")
+    suppliers = t.supplier.withColumn("strip", F.explode(F.array(*[strip("s_acctbal") + d for d in (-1, 0, 1)])))
+    j = t.customer.join(suppliers, (F.col("c_nationkey") == F.col("s_nationkey")) & (strip("c_acctbal") == F.col("strip"))).filter(F.abs(F.col("c_acctbal") - F.col("s_acctbal")) < 60)
     return j.select(F.col("c_custkey").alias("a"), (F.col("s_suppkey") + 1000000).alias("b")).distinct()
 
 

@@ -296,3 +296,40 @@ def test_normals_of_planes_across_blocks(spark):
     assert all(got[i]["nx"] > 0.99 for i in range(1000, 1400) if got[i]["neighbours"] > 4)
     p = np.array([r[1:] for r in flat])
     assert all(got[i]["neighbours"] == min(30, ((p - p[i]) ** 2).sum(axis=1).__le__(0.09).sum()) for i in range(400))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.75, 1.0])
+def test_overlapping_sets_against_all_pairs(spark, share):
+    rng = random.Random(5)
+    sets = {s: {rng.randrange(25) for _ in range(rng.randint(1, 9))} | ({99} if s % 3 else set()) for s in range(60)}  # 99 stands in most
+    sets[60], sets[61] = set(sets[1]), {1000}
+    rows = [(s, m) for s, ms in sets.items() for m in ms]
+    df = spark.createDataFrame([*rows, *rows[:20], (None, 3), (5, None)], "s int, m int")
+    got = {tuple(r) for r in spatial.overlapping_sets(df, "s", "m", share).collect()}
+    want = {(a, b, len(x & y), len(x & y) / min(len(x), len(y))) for a, x in sets.items() for b, y in sets.items() if a < b and x & y and len(x & y) >= share * min(len(x), len(y))}
+    assert got == want
+
+
+def test_a_member_of_every_set_makes_no_candidates(spark):
+    rows = [(s, m) for s in range(400) for m in (-1, *range(s * 10, s * 10 + 6))]  # 400 sets share -1 alone
+    assert spatial.overlapping_sets(spark.createDataFrame(rows, "s int, m int"), "s", "m", 0.5).collect() == []
+
+
+@pytest.mark.parametrize("gap, most", [(15, 12), (15, 2), (4, 50), (1, 5)])
+def test_spaced_pairs_against_one_by_one(spark, gap, most):
+    rng = random.Random(gap)
+    rows = [(k, i, i + rng.randint(15, 60)) for k in ("a", "b", None) for i in [rng.randrange(90) for _ in range(120)]] + [("one", 3, 40), ("one", 3, 40)]
+    rows = list(dict.fromkeys(rows))
+    df = spark.createDataFrame([*rows, ("a", None, 3), ("a", 1, None)], "k string, i int, j int")
+    want = []
+    for k in ("a", "b", None, "one"):
+        used = []
+        for _, i, j in sorted(((-abs(i - j), i, j) for k2, i, j in rows if k2 == k)):
+            if len(used) < most and all(abs(i - u) >= gap // 2 for u in used):
+                want.append((k, i, j, len(used)))
+                used.append(i)
+    assert sorted(map(tuple, sequence.spaced_pairs(df, ["k"], gap, most).collect()), key=str) == sorted(want, key=str)
+
+
+def test_spaced_pairs_of_nothing(spark):
+    assert sequence.spaced_pairs(spark.createDataFrame([], "k int, i int, j int"), ["k"], 15, 12).collect() == []
