@@ -1,5 +1,5 @@
 """Small numerical problems, one group each, in NumPy: peeling lines, pose graphs, greedy merges
-of cell sets, leader clusters, hole filling. Groups are captures or surfaces of bounded size."""
+of cell sets. Groups are captures or surfaces of bounded size."""
 
 from __future__ import annotations
 
@@ -138,33 +138,6 @@ def merge_sets(sets: DataFrame, keys: list[str], index: str, members: str, share
     return sets.select(*keys, index, members).groupBy(*keys).applyInPandas(run, schema)
 
 
-def leader_clusters(rows: DataFrame, keys: list[str], index: str, vector: str, offset: str, least_cosine: float = 0.9, most_offset: float = 0.35) -> DataFrame:
-    """(keys, index, leader): in index order, each row joins the first cluster whose first member
-    is close in direction and offset; else it leads one."""
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{index} {kinds[index]}, leader {kinds[index]}"])
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index, ignore_index=True)
-        v = np.array(pdf[vector].tolist(), dtype=float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        o = pdf[offset].to_numpy(float)
-        leader, leaders = np.zeros(len(v), dtype=int), []
-        for i in range(len(v)):
-            if leaders:
-                fits = np.flatnonzero((v[leaders] @ v[i] >= least_cosine) & (np.abs(o[leaders] - o[i]) <= most_offset))
-                if fits.size:
-                    leader[i] = leaders[fits[0]]
-                    continue
-            leaders.append(i)
-            leader[i] = i
-        out = pdf[[*keys, index]].copy()
-        out["leader"] = pdf[index].to_numpy()[leader]
-        return out
-
-    return rows.select(*keys, index, vector, offset).groupBy(*keys).applyInPandas(run, schema)
-
-
 def clip_convex(subject: np.ndarray, clip: np.ndarray) -> float:
     """Area of the intersection of two convex rings, the second counter-clockwise."""
     ring = [tuple(p) for p in subject]

@@ -364,9 +364,3 @@ SELECT label, x AS cx, y AS cy FROM e UNION ALL SELECT label, x, y FROM free ANT
 def interior_mask(t: Tables) -> DataFrame:
     at = histogram.cells_of(_dims(t, 2), ["label"], F.col("d0"), F.col("d1"), 0.02)
     return grid.cells(grid.interior(at.limit(0), at, ["label"], 3, 2), ["label"])
-
-
-@query()
-def leader_clusters(t: Tables) -> DataFrame:
-    rows = t.embeddings.select("label", "vec_id", F.slice(E, 1, 3).alias("v"), F.get(E, F.lit(3)).cast("double").alias("o"))
-    return solve.leader_clusters(rows, ["label"], "vec_id", "v", "o")

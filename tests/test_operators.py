@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import predicates as p
-from tesserae.operators import assignment, calibration, gates, graph, layout, rooms, rules, sequence, solve, spatial
+from tesserae.operators import assignment, calibration, gates, graph, layout, rooms, rules, sequence, solve, spatial, views
 
 
 @pytest.mark.parametrize("error,status", [(0.02, "PASS"), (0.02 + 1e-10, "PASS"), (0.0201, "FAIL")])
@@ -236,7 +236,7 @@ def test_sets_grow_as_they_merge(spark):
 def test_leaders_and_convex_clips(spark):
     rows = [(1, [1.0, 0.0], 0.0), (2, [0.99, 0.1], 0.3), (3, [0.0, 1.0], 0.0), (4, [1.0, 0.0], 0.5), (5, [0.98, 0.15], 0.6)]
     df = spark.createDataFrame([("k", *r) for r in rows], "k string, i int, v array<double>, o double")
-    assert {r["i"]: r["leader"] for r in solve.leader_clusters(df, ["k"], "i", "v", "o").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    assert {r["i"]: r["leader"] for r in views.leaders(df, ["k"], "i", "v", "o").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
     square = np.array([[0, 0], [2, 0], [2, 2], [0, 2]], dtype=float)
     assert solve.clip_convex(square, square + 1) == pytest.approx(1.0) and solve.clip_convex(square, square + 5) == 0.0
 
