@@ -47,3 +47,34 @@ def catalogue_round_trip(t: Tables) -> DataFrame:
     rows = t.part.select(F.col("p_brand").alias("label"), F.col("p_partkey").alias("room"), F.col("p_retailprice").alias("value"), (F.col("p_size") > 25).alias("flag"))
     rows.write.csv(root, header=True)
     return t.spark.read.csv(root, header=True, schema=rows.schema)
+
+
+_ELEMENTS = "['wall', 'opening', 'room', 'property', 'adjacency']"
+
+
+@query(f"""
+SELECT p_brand AS room, {_ELEMENTS}[p_partkey % 5 + 1] AS element, 'E' || p_partkey AS element_id, lower(p_type) AS dimension, p_retailprice AS value_m, p_name AS notes FROM part WHERE p_partkey % 7 <> 3
+""")
+def truth_files(t: Tables) -> DataFrame:
+    """Parts as truth in CSV files, with blanks, capitals and lines without an element, read back as measurements."""
+    root = shared_folder(t.spark)
+    elements = F.array(*[F.lit(e) for e in captures.ELEMENTS])
+    known = F.when(F.col("p_partkey") % 7 != 3, F.concat(F.lit("E"), "p_partkey"))
+    rows = t.part.select(F.col("p_brand").alias("room"), F.upper(F.get(elements, (F.col("p_partkey") % 5).cast("int"))).alias("element"), known.alias("element_id"), F.col("p_type").alias("dimension"),
+                         F.concat(F.lit(" "), "p_retailprice", F.lit(" ")).alias("value_m"), F.col("p_name").alias("notes"))
+    rows.write.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(root, header=True)
+    return captures.ground_truth(t.spark, root).select("room", "element", "element_id", "dimension", "value_m", "notes")
+
+
+@query("""
+SELECT p_type AS damage_class, p_brand AS surface_kind, 'C' || p_partkey AS code, p_name AS unit, ['area', 'surface', 'extent', 'count'][p_partkey % 4 + 1] AS basis,
+       CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END::double AS cut_back_m, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_retailprice END AS waste_factor, 0.0::double AS min_quantity FROM part
+""")
+def pricing_files(t: Tables) -> DataFrame:
+    """Parts as a price catalogue in CSV files, with blank fields, words for numbers and a column left out, read back for pricing."""
+    root = shared_folder(t.spark)
+    basis = F.get(F.array(*[F.lit(b) for b in ("Area", "SURFACE", "extent", "Count")]), (F.col("p_partkey") % 4).cast("int"))
+    rows = t.part.select(F.col("p_type").alias("damage_class"), F.col("p_brand").alias("surface_kind"), F.concat(F.lit("C"), "p_partkey").alias("code"), F.col("p_name").alias("unit"), basis.alias("basis"),
+                         F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")).alias("cut_back_m"), F.when(F.col("p_partkey") % 5 == 0, "none").otherwise(F.col("p_retailprice").cast("string")).alias("waste_factor"))
+    rows.write.csv(root, header=True)
+    return captures.catalogue(t.spark, root)

@@ -179,6 +179,19 @@ def components(t: Tables) -> DataFrame:
     return out.select("node", "component", F.lit(True).alias("grouped"), "representative")
 
 
+@query(f"""
+WITH {_EDGES},
+m AS (SELECT c_custkey AS node, c_nationkey AS nation, floor(c_acctbal / 500) AS strip, c_acctbal AS bal FROM customer UNION ALL SELECT s_suppkey + 1000000, s_nationkey, floor(s_acctbal / 500), s_acctbal FROM supplier),
+r AS (SELECT node, first_value(node) OVER (PARTITION BY nation, strip ORDER BY bal DESC, node) AS rep FROM m)
+SELECT DISTINCT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b FROM e JOIN r x ON e.a = x.node JOIN r y ON e.b = y.node WHERE x.rep <> y.rep
+""")
+def merged_edges(t: Tables) -> DataFrame:
+    """Trade edges between the first of each group of like traders, those inside a group left out."""
+    like = lambda df, key, shift, c: df.select((F.col(key) + shift).alias("node"), F.struct(F.col(f"{c}_nationkey"), F.floor(F.col(f"{c}_acctbal") / 500)).alias("group"), F.col(f"{c}_acctbal").alias("bal"))
+    members = like(t.customer, "c_custkey", 0, "c").union(like(t.supplier, "s_suppkey", 1000000, "s"))
+    return graph.rewritten(_trade_edges(t), graph.representatives(members, "group", "node", [-F.col("bal")]), "node")
+
+
 @query("""
 WITH s AS (SELECT user_id, event_id, epoch_us(ts) AS x0, epoch_us(ts) + (value * 6e7)::bigint AS x1 FROM events WHERE value > 0),
 p AS (SELECT a.user_id, a.event_id AS a, b.event_id AS b, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS o, least(a.x1 - a.x0, b.x1 - b.x0) AS shorter FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.x0 < b.x1 AND b.x0 < a.x1)
