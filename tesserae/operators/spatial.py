@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions import geometry
+
 
 def radius_pairs(points: DataFrame, keys: list[str], index: str, axes: list[str], radius: float, apart: int = 1) -> DataFrame:
     """(keys, i, j, distance): unordered pairs of one key, i < j, at most `radius` apart and with
@@ -143,17 +145,31 @@ def corner_vertices(vertices: DataFrame, keys: list[str], order: str, x: str, y:
 
 
 def box_overlaps(boxes: DataFrame, index: str, cell: float) -> DataFrame:
-    """(a, b, area) of boxes (x0, y0, x1, y1) that overlap, a < b. Boxes meet in the cells they
-    cover; the cell of the overlap's lower corner reports the pair, once."""
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    spread = boxes.withColumn("gx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("gy", F.explode(F.sequence(at("y0"), at("y1"))))
-    left = spread.select(F.col(index).alias("a"), "gx", "gy", *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
-    right = spread.select(F.col(index).alias("b"), "gx", "gy", *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    pairs = left.join(right, ["gx", "gy"]).filter("a < b")
+    """(a, b, area) of boxes (x0, y0, x1, y1) that overlap, a < b; boxes with a null or endless corner overlap none.
+
+    A box lies on the level whose cells (`cell` times a power of two) are the first at least as long as its longer side, so it
+    touches four cells at most. It is looked up there and on every coarser level that has boxes, of which there are as many as
+    powers of two between the least and the greatest side: a box over a whole town costs no more than any other. Two boxes meet
+    on the coarser one's level, and the cell of the overlap's lower corner reports them, once."""
+    corners = ("x0", "y0", "x1", "y1")
+    sound = boxes.select(F.col(index).alias("id"), *corners).filter(geometry.finite(*[F.col(c) for c in corners]))
+    longer = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(cell))
+    level = F.ceil(F.log2(longer / cell)).cast("int")
+    # rounding may put a side of just over a power of two one level too low: it then touches a cell more
+    own = sound.withColumn("level", level)
+    levels = own.agg(F.collect_set("level").alias("levels"))
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    spread = lambda df: df.withColumn("gx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("gy", F.explode(F.sequence(at("y0"), at("y1"))))
+    right_way = own.filter("x0 <= x1 AND y0 <= y1")
+    everywhere = right_way.withColumnRenamed("level", "lowest").crossJoin(levels).withColumn("level", F.explode("levels")).filter("level >= lowest").drop("levels")
+    mine = spread(right_way).select("level", "gx", "gy", F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in corners])
+    theirs = spread(everywhere).select("level", "gx", "gy", F.col("id").alias("b"), "lowest", *[F.col(c).alias(f"b_{c}") for c in corners])
+    pairs = mine.join(theirs, ["level", "gx", "gy"]).filter("a <> b AND (lowest < level OR a < b)")
     lo_x, lo_y = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
     w, h = F.least("a_x1", "b_x1") - lo_x, F.least("a_y1", "b_y1") - lo_y
-    once = (F.floor(lo_x / cell) == F.col("gx")) & (F.floor(lo_y / cell) == F.col("gy"))
-    return pairs.filter(once & (w > 0) & (h > 0)).select("a", "b", (w * h).alias("area"))
+    once = (F.floor(lo_x / size) == F.col("gx")) & (F.floor(lo_y / size) == F.col("gy"))
+    return pairs.filter(once & (w > 0) & (h > 0)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (w * h).alias("area"))
 
 
 def union_area(boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
