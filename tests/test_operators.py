@@ -333,3 +333,24 @@ def test_spaced_pairs_against_one_by_one(spark, gap, most):
 
 def test_spaced_pairs_of_nothing(spark):
     assert sequence.spaced_pairs(spark.createDataFrame([], "k int, i int, j int"), ["k"], 15, 12).collect() == []
+
+
+def test_pose_graph_of_many_poses_needs_no_square_of_them():
+    n = 20_000
+    rng = np.random.default_rng(4)
+    moves = np.column_stack([rng.normal(0, 0.1, (n - 1, 3)), rng.normal(0, 0.02, n - 1)])
+    start = solve._walked(np.zeros(4), moves)
+    k = np.arange(n - 1)
+    far = np.array([[100, 15_000, 0.5, 0.2, 0, 0.1], [4000, 9000, 0, 0, 0, 0]]) + np.pad(solve._seen(start, np.array([100, 4000]), np.array([15_000, 9000])), ((0, 0), (2, 0)))
+    edges, weights = np.vstack([np.column_stack([k, k + 1, moves]), far]), np.append(np.full(n - 1, 10.0), [1.0, 1.0])
+    out = solve.solve_pose_graph(start, edges, weights)
+    a, b = edges[:, 0].astype(int), edges[:, 1].astype(int)
+
+    def cost(pose):
+        r = solve._seen(pose, a, b) - edges[:, 2:6]
+        r[:, 3] = solve._turned(r[:, 3])
+        return ((weights[:, None] * r) ** 2).sum()
+
+    assert cost(out) < 0.2 * cost(start)
+    for _ in range(5):  # no move nearby fits better
+        assert cost(solve._walked(np.zeros(4), solve._seen(out, k, k + 1) + rng.normal(0, 1e-4, (n - 1, 4)) * (rng.random((n - 1, 1)) < 1e-3))) >= cost(out)
