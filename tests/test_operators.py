@@ -354,3 +354,13 @@ def test_pose_graph_of_many_poses_needs_no_square_of_them():
     assert cost(out) < 0.2 * cost(start)
     for _ in range(5):  # no move nearby fits better
         assert cost(solve._walked(np.zeros(4), solve._seen(out, k, k + 1) + rng.normal(0, 1e-4, (n - 1, 4)) * (rng.random((n - 1, 1)) < 1e-3))) >= cost(out)
+
+
+@pytest.mark.parametrize("first", [2, 5, 1000])
+def test_longest_near_equals_all_pairs_spaced(spark, first):
+    rng = random.Random(first)
+    rows = [(k, 3 * i + (k == "b"), *[rng.uniform(0, 1.0 if k == "a" else 3.0) for _ in range(2)]) for k in "ab" for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, n long, x double, y double")
+    pairs = spatial.radius_pairs(df, ["k"], "n", ["x", "y"], 0.2, 15).select("k", "i", "j")
+    want = sorted(map(tuple, sequence.spaced_pairs(pairs, ["k"], 15, 4).collect()))
+    assert want and sorted(map(tuple, sequence.longest_near(df, ["k"], "n", ["x", "y"], 0.2, 15, 4, first).collect())) == want
