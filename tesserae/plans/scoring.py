@@ -80,7 +80,7 @@ s AS (SELECT kind, tier, v, abs(v) * r::double AS half_width, truth, abs(v - tru
 def _samples(t: Tables) -> DataFrame:
     part = lambda df, kind, tier, value, rel: df.select(F.lit(kind).alias("kind"), F.col(tier).alias("tier"), relative(F.col(value), F.lit(rel)).alias("m"))
     rows = part(t.lineitem, "line", "l_returnflag", "l_extendedprice", 0.8).unionByName(part(t.orders, "order", "o_orderstatus", "o_totalprice", 0.5)).unionByName(part(t.events, "event", "event_type", "value", 0.9))
-    truth = rows.groupBy("kind", "tier").agg(F.median("m.value").alias("truth"))
+    truth = calibration.exact_quantiles(rows.select("kind", "tier", F.col("m.value").alias("v")), ["kind", "tier"], "v", 0.5, "truth")
     joined = rows.join(truth, ["kind", "tier"])
     return joined.select("kind", "tier", "m", "truth", half_width(F.col("m")).alias("half_width"), F.abs(F.col("m.value") - F.col("truth")).alias("error"))
 

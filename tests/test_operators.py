@@ -364,3 +364,16 @@ def test_longest_near_equals_all_pairs_spaced(spark, first):
     pairs = spatial.radius_pairs(df, ["k"], "n", ["x", "y"], 0.2, 15).select("k", "i", "j")
     want = sorted(map(tuple, sequence.spaced_pairs(pairs, ["k"], 15, 4).collect()))
     assert want and sorted(map(tuple, sequence.longest_near(df, ["k"], "n", ["x", "y"], 0.2, 15, 4, first).collect())) == want
+
+
+@pytest.mark.parametrize("accuracy", [4, 10_000])
+def test_exact_quantiles_equal_percentile_without_holding_a_key(spark, accuracy):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 0.0, -1.5, rng.uniform(-9, 9), rng.gauss(0, 1e6)])) for _ in range(3000)] + [("one", 2.5), ("none", None), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = calibration.exact_quantiles(df, ["k"], "v", q, "q", accuracy)
+        assert sorted(map(str, got.collect())) == sorted(map(str, df.groupBy("k").agg(F.percentile("v", q).alias("q")).collect()))
+    factors = calibration.fit_factors(df.select("k", F.abs("v").alias("error"), F.lit(1.0).alias("half_width")), ["k"])
+    plan = factors._jdf.queryExecution().executedPlan().toString()
+    assert " percentile(" not in plan and "_percentile(" not in plan
