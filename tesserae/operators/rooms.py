@@ -90,14 +90,24 @@ def line_support(points: DataFrame, lines: DataFrame, keys: list[str], band: flo
 
 
 def nearest_line(walls: DataFrame, lines: DataFrame, keys: list[str], most: float) -> DataFrame:
-    """(keys, wall, line, distance): the closest line of a wall's orientation, the first of equals."""
+    """(keys, wall, line, distance): the closest line of a wall's orientation, the first of equals. Walls and lines of a key are
+    sorted once; a wall looks no further than the line before it and the line after it."""
     vertical = F.abs(F.col("bx") - F.col("ax")) < 0.3 * F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
     flat = F.abs(F.col("by") - F.col("ay")) < 0.3 * F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
     w = walls.withColumn("__axis", F.when(vertical, 0).when(flat, 1))
     middle = F.when(F.col("__axis") == 0, (F.col("ax") + F.col("bx")) / 2).otherwise((F.col("ay") + F.col("by")) / 2)
-    j = w.withColumn("__m", middle).join(lines.select(*keys, F.col("axis").alias("__axis"), "line", "coord"), [*keys, "__axis"])
-    d = F.abs(F.col("__m") - F.col("coord"))
-    return j.withColumn("distance", d).filter(d <= most).groupBy(*keys, "wall").agg(F.min(F.struct("distance", "line")).alias("b")).select(*keys, "wall", "b.line", "b.distance")
+    asked = w.withColumn("__m", middle).filter(F.col("__m").isNotNull() & F.col("__axis").isNotNull()).select(*keys, "__axis", F.col("__m").alias("__at"), "wall", F.lit(None).cast(dict(lines.dtypes)["line"]).alias("line"))
+    shown = lines.groupBy(*keys, F.col("axis").alias("__axis"), F.col("coord").cast("double").alias("__at")).agg(F.min("line").alias("line")).filter("__at is not null and __axis is not null")
+    both = asked.unionByName(shown.withColumn("wall", F.lit(None).cast(dict(walls.dtypes)["wall"])))
+    # the nearest line on either side is the last before a wall or the first after it in order of place
+    line = F.when(F.col("line").isNotNull(), F.struct("__at", "line"))
+    beside = F.array(*[F.last(line, ignorenulls=True).over(Window.partitionBy(*keys, "__axis").orderBy(way).rangeBetween(Window.unboundedPreceding, 0)) for way in (F.asc("__at"), F.desc("__at"))])
+    seen = both.withColumn("__b", beside).filter(F.col("wall").isNotNull())
+    for k in keys:
+        seen = seen.filter(F.col(k).isNotNull())
+    met = seen.select(*keys, "wall", "__at", F.explode("__b").alias("b"))
+    d = F.abs(F.col("__at") - F.col("b.__at"))
+    return met.filter(F.col("b").isNotNull()).withColumn("distance", d).filter(F.col("distance") <= most).groupBy(*keys, "wall").agg(F.min(F.struct("distance", F.col("b.line").alias("line"))).alias("b")).select(*keys, "wall", "b.line", "b.distance")
 
 
 def nearest_seen(pixels: DataFrame, points: DataFrame, keys: list[str], pixel: str, point: str, cutoff: float = 40.0, first: float = 2.5) -> DataFrame:
@@ -178,15 +188,25 @@ def cross_checked(geometric: DataFrame, semantic: DataFrame, keys: list[str], sh
         taken, rows = set(), []
         # a side without rows comes without columns
         geo, sem = (x.sort_values("place", ignore_index=True) if len(x) else pd.DataFrame() for x in (geo, sem))
+        # only what starts before an opening ends, and less than the longest one earlier, can reach into it
+        first, last = (sem[c].to_numpy(float) for c in ("start", "stop")) if len(sem) else (np.zeros(0), np.zeros(0))
+        order = np.argsort(first, kind="stable")
+        first, last, free = first[order], last[order], np.ones(len(order), dtype=bool)
+        longest = np.nanmax(last - first, initial=0)
+        kinds_of, scores_of = (sem[c].to_numpy() for c in ("kind", "score")) if len(sem) else ((), ())
         for g in geo.itertuples():
             score, sources, note = g.score, "geometry", ""
-            for i, s in enumerate(sem.itertuples()):
-                shorter = min(g.stop - g.start, s.stop - s.start)
-                if i not in taken and shorter > 0 and (min(g.stop, s.stop) - max(g.start, s.start)) / shorter >= share:
-                    taken.add(i)
-                    score, sources = min(0.97, g.score + 0.15 * s.score), "geometry+semantic"
-                    note = "" if s.kind == g.kind else f"{g.kind} or {s.kind}"
-                    break
+            lo, hi = np.searchsorted(first, g.start - longest - 1e-9 * (abs(g.start) + longest)), np.searchsorted(first, g.stop, side="right")
+            shorter = np.minimum(g.stop - g.start, last[lo:hi] - first[lo:hi])
+            shared = np.minimum(g.stop, last[lo:hi]) - np.maximum(g.start, first[lo:hi])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                fits = np.flatnonzero(free[lo:hi] & (shorter > 0) & (shared / shorter >= share))
+            if fits.size:
+                at = lo + fits[order[lo + fits].argmin()]
+                i, free[at] = int(order[at]), False
+                taken.add(i)
+                score, sources = min(0.97, g.score + 0.15 * scores_of[i]), "geometry+semantic"
+                note = "" if kinds_of[i] == g.kind else f"{g.kind} or {kinds_of[i]}"
             rows.append((*key, g.kind, g.start, g.stop, score, sources, note))
         for i, s in enumerate(sem.itertuples()):
             low, high = DOOR_WIDTHS if s.kind == "door" else WINDOW_WIDTHS
