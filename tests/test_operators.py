@@ -377,3 +377,44 @@ def test_exact_quantiles_equal_percentile_without_holding_a_key(spark, accuracy)
     factors = calibration.fit_factors(df.select("k", F.abs("v").alias("error"), F.lit(1.0).alias("half_width")), ["k"])
     plan = factors._jdf.queryExecution().executedPlan().toString()
     assert " percentile(" not in plan and "_percentile(" not in plan
+
+
+@pytest.mark.parametrize("size", [7, 1000])
+def test_blocks_let_every_pair_meet_once(spark, size):
+    rows = [(k, i) for k in "ab" for i in range(40)]
+    groups = {}
+    for r in spatial.block_pairs(spark.createDataFrame(rows, "k string, i long"), ["k"], "i", size).collect():
+        groups.setdefault((r["k"], r["__p"], r["__q"]), ([], []))[0 if r["__own"] else 1].append(r["i"])
+    met = []
+    for (k, p, q), (own, other) in groups.items():
+        met += [(k, *x) for x in itertools.combinations(sorted(own), 2)] if p == q else [(k, min(a, b), max(a, b)) for a in own for b in other]
+        assert p != q or not other
+    assert sorted(met) == [(k, *x) for k in "ab" for x in itertools.combinations(range(40), 2)]
+    assert size > 40 or max(len(a) + len(b) for a, b in groups.values()) < 40  # no group holds a key
+
+
+def test_alike_pairs_and_overlap_counts_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 6))
+    got = spatial.alike_pairs(spark.createDataFrame([("k", i, x.tolist()) for i, x in enumerate(v)], "k string, i long, v array<float>"), ["k"], "i", "v", 0.5).collect()
+    v = v.astype("float32").astype(float)
+    cos = v @ v.T / np.sqrt(np.outer((v * v).sum(1), (v * v).sum(1)))
+    assert sorted((r["a"], r["b"], round(r["similarity"], 9)) for r in got) == [(a, b, round(float(cos[a, b]), 9)) for a, b in itertools.combinations(range(60), 2) if cos[a, b] >= 0.5]
+    boxes = [(i, *map(float, rng.uniform(0, 3, 2)), *map(float, rng.uniform(0, 1, 2))) for i in range(80)]
+    boxes = [(i, x, y, x + w, y + h) for i, x, y, w, h in boxes] + [(99, 1.0, 1.0, None, 2.0)]
+    want = {}
+    for (a, ax0, ay0, ax1, ay1), (b, bx0, by0, bx1, by1) in itertools.combinations(boxes[:-1], 2):
+        w, h = min(ax1, bx1) - max(ax0, bx0), min(ay1, by1) - max(ay0, by0)
+        if w > 0 and h > 0:
+            n, worst = want.get(a, (0, 0.0))
+            want[a] = (n + 1, max(worst, w * h))
+    assert {r["a"]: (r["n"], r["worst"]) for r in spatial.overlap_counts(spark.createDataFrame(boxes, "i long, x0 double, y0 double, x1 double, y1 double"), "i").collect()} == want
+
+
+def test_nearest_line_sorts_walls_and_lines(spark):
+    walls = spark.createDataFrame([("k", i, i / 2, 0.0, i / 2, 5.0) for i in range(40)], "k string, wall int, ax double, ay double, bx double, by double")
+    lines = spark.createDataFrame([("k", n, 0, float(c)) for n, c in ((9, 2), (4, 2), (3, 4), (7, 9), (1, 16))] + [("k", 0, 1, 3.0)], "k string, line int, axis int, coord double")
+    near = rooms.nearest_line(walls, lines, ["k"], 3.0)
+    want = [(i, *min((abs(i / 2 - c), n) for n, c in ((9, 2), (4, 2), (3, 4), (7, 9), (1, 16)))) for i in range(40)]
+    assert sorted((r["wall"], r["distance"], r["line"]) for r in near.collect()) == [w for w in want if w[1] <= 3.0]
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()  # walls of a key never meet all its lines
