@@ -240,12 +240,18 @@ def intersection_areas(pairs: DataFrame, a: str, b: str, area: str = "area") ->
 
 def moves_apart(shapes: list[np.ndarray], fixed: int = 0, clearance: float = 0.01, sweeps: int = 500) -> tuple[np.ndarray, bool]:
     """Moves that leave no two convex rings overlapping, and whether that was reached. Sweeps over
-    the pairs move each by half of its least move, or one alone where the other is fixed."""
+    the pairs move each by half of its least move, or one alone where the other is fixed. Rings whose boxes lie apart
+    do not overlap and are passed over."""
     move = np.zeros((len(shapes), 2))
+    low, high = ([getattr(shape, end)(axis=0).tolist() for shape in shapes] for end in ("min", "max"))
+    at = [[0.0, 0.0] for _ in shapes]
     for _ in range(sweeps):
         still = True
         for i in range(len(shapes)):
             for j in range(i + 1, len(shapes)):
+                (xi, yi), (xj, yj) = at[i], at[j]
+                if high[i][0] + xi < low[j][0] + xj or high[j][0] + xj < low[i][0] + xi or high[i][1] + yi < low[j][1] + yj or high[j][1] + yj < low[i][1] + yi:
+                    continue
                 step = least_move(shapes[i] + move[i], shapes[j] + move[j])
                 size = float(np.hypot(*step))
                 if size <= 1e-9:
@@ -255,6 +261,7 @@ def moves_apart(shapes: list[np.ndarray], fixed: int = 0, clearance: float = 0.0
                 share = 0.0 if i == fixed else 1.0 if j == fixed else 0.5
                 move[i] += share * step
                 move[j] -= (1 - share) * step
+                at[i], at[j] = move[i].tolist(), move[j].tolist()
         if still:
             return move, True
     return move, False

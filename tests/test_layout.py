@@ -124,3 +124,11 @@ def test_intersections_of_odd_rings(spark):
     pairs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
     assert [r["area"] for r in layout.intersection_areas(pairs, "a", "b").orderBy("i").collect()] == [4.0, 1.0, 0.0, 0.0, 0.0]
     assert pairs.select(F.count(F.lit(1))).first()[0] == 5
+
+
+def test_rings_whose_boxes_lie_apart_are_passed_over(monkeypatch):
+    square = np.array([[0, 0], [2, 0], [2, 2], [0, 2]], dtype=float)
+    asked, least = [], layout.least_move
+    monkeypatch.setattr(layout, "least_move", lambda a, b: asked.append(1) or least(a, b))
+    move, settled = layout.moves_apart([square + [5.0 * i, 0] for i in range(10)] + [square + [0.5, 0.1]])
+    assert settled and len(asked) < 10 and (move[1:-1] == 0).all()
