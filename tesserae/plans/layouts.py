@@ -184,13 +184,13 @@ o AS (SELECT DISTINCT k, x + a.i AS x, y + b.i AS y FROM s, one a, one b)
 SELECT k, area, cleaned FROM (SELECT k, count(*) AS area FROM c GROUP BY k) LEFT JOIN (SELECT k, count(*) AS cleaned FROM o GROUP BY k) USING (k)
 """)
 def cleaned_plans(t: Tables) -> DataFrame:
-    """An order's lines as boxes: the area of their union, and what is left of it without gaps and slivers narrower than two."""
+    """An order's lines as boxes: the area of their union, and what is left of it without gaps and slivers narrower than two (null
+    for lines without an order, as in the SQL's join)."""
     u, v = F.col("l_partkey") % 12, F.col("l_suppkey") % 12
     w, h = 1 + F.col("l_linenumber") % 4, 1 + F.col("l_quantity").cast("long") % 5
     boxes = t.lineitem.select(F.col("l_orderkey").alias("k"), *[c.cast("double").alias(n) for n, c in (("u0", u), ("u1", u + w), ("v0", v), ("v1", v + h))])
-    union = rectilinear.slabs(boxes, ["k"])
-    out = rectilinear.areas(union, ["k"]).join(rectilinear.areas(rectilinear.cleaned(union, ["k"], 1.0), ["k"]).withColumnRenamed("area", "cleaned"), "k", "left")
-    return out.select("k", *[F.round(c).cast("long").alias(c) for c in ("area", "cleaned")])
+    out = rectilinear.cleaned_areas(boxes, ["k"], 1.0)
+    return out.select("k", F.round("area").cast("long").alias("area"), F.when(F.col("k").isNotNull(), F.round("cleaned").cast("long")).alias("cleaned"))
 
 
 @query("""

@@ -1,9 +1,12 @@
 """Unions of boxes against unit cells; parts, outlines and walls of rooms."""
 
+import duckdb
 import numpy as np
 import pytest
 
 from tesserae.operators import rectilinear
+from tesserae.plans.catalogue import ORACLES, QUERIES
+from tesserae.session import Steps
 
 BOXES = "room string, u0 double, u1 double, v0 double, v1 double"
 
@@ -37,6 +40,33 @@ def test_unions_equal_those_of_cells(spark):
     assert cells_of(rectilinear.cleaned(union, ["room"], 1).collect()) == named(lambda c: spread(eroded(spread(c, 1), 2), 1))
 
 
+def test_cleaned_plans_move_their_lines_once(spark, tmp_path, monkeypatch):
+    """One exchange and no tables between; equal to the SQL, for lines without an order too."""
+    rng = np.random.default_rng(7)
+    rows = [(None if k == 40 else int(k), *map(int, rng.integers(0, 60, 2)), int(line), float(rng.integers(1, 51))) for k in range(41) for line in range(1, 1 + rng.integers(1, 8))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(Steps, "keep", lambda *_: pytest.fail("a table is written between"))
+    df = QUERIES["cleaned_plans"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = df.collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(ORACLES["cleaned_plans"]).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and any(r["cleaned"] is None and r["k"] is not None for r in got)
+
+
+def test_keys_of_many_boxes_are_united_in_bands(spark):
+    rng = np.random.default_rng(8)
+    at, size = rng.integers(0, 400, (150, 2)), rng.integers(1, 30, (150, 2))
+    rows = [("r", *map(float, (u, u + w, v, v + h))) for (u, v), (w, h) in zip(at, size)]
+    cells = {(u + i, v + j) for (u, v), (w, h) in zip(at.tolist(), size.tolist()) for i in range(w) for j in range(h)}
+    union = rectilinear.slabs(spark.createDataFrame(rows, BOXES), ["room"]).collect()
+    assert max(r["slab"] for r in union) > rectilinear.BAND
+    assert cells_of(union) == {("r", *c) for c in cells}
+    assert sum((r["u1"] - r["u0"]) * (r["v1"] - r["v0"]) for r in union) == len(cells)
+
+
 def test_outlines(spark):
     """Slivers and gaps go, holes are filled; the walked part stays, else the largest; what cleaning would destroy stays."""
     gap = [(0.0, 4.0, 0.0, 3.0), (4.0, 6.0, 0.0, 0.2), (0.0, 4.0, 3.1, 5.0)]  # a sliver to the right, a gap of 0.1
