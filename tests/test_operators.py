@@ -1,7 +1,9 @@
 """Operators whose results SQL does not check, against plain Python; boundaries; permutations."""
 
 import itertools
+import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -366,6 +368,81 @@ def test_longest_near_equals_all_pairs_spaced(spark, first):
     assert want and sorted(map(tuple, sequence.longest_near(df, ["k"], "n", ["x", "y"], 0.2, 15, 4, first).collect())) == want
 
 
+def spaced_one_by_one(pairs, gap):
+    used = []
+    for i, j in sorted(set(pairs), key=lambda p: (-abs(p[0] - p[1]), *p)):
+        if all(abs(i - u) >= gap // 2 for u, _ in used):
+            used.append((i, j))
+    return used
+
+
+@pytest.mark.parametrize("gap", [15, 4, 1])
+def test_spaced_pairs_without_a_cap_are_all(spark, gap):
+    rng = random.Random(gap)
+    rows = list(dict.fromkeys((k, i, i + rng.randint(15, 60)) for k in ("a", None) for i in [rng.randrange(300) for _ in range(400)]))
+    got = sequence.spaced_pairs(spark.createDataFrame([*rows, ("a", None, 3), ("a", 1, None)], "k string, i int, j int"), ["k"], gap)
+    want = [(k, *p, place) for k in ("a", None) for place, p in enumerate(spaced_one_by_one([r[1:] for r in rows if r[0] == k], gap) if gap > 1 else sorted((r[1:] for r in rows if r[0] == k), key=lambda p: (p[0] - p[1], *p)))]
+    assert len(want) > 60 and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("first", [2, 5, 1000])
+def test_longest_near_without_a_cap_equals_all_pairs_spaced(spark, first):
+    rng = random.Random(first)
+    rows = [(k, 3 * i - 40, *[rng.uniform(0, 3.0 if k else 1.0) for _ in range(2)]) for k in (0, 1, None) for i in range(150)] + [(2, i, 0.5, 0.5) for i in range(80)] + [(3, 1, 0.0, 0.0)]
+    df = spark.createDataFrame([*rows, (0, None, 0.5, 0.5), (0, 500, None, 0.5), (0, 501, float("nan"), 0.5)], "k int, n long, x double, y double")
+    want, last = [], []
+    for k in (0, 1, None, 2, 3):
+        of = [r[1:] for r in rows if r[0] == k]
+        near = [(a[0], b[0]) for a in of for b in of if b[0] - a[0] >= 15 and math.hypot(a[1] - b[1], a[2] - b[2]) <= 0.2]
+        last += [(k, i, max(q for p, q in near if p == i)) for i in {p for p, _ in near}]
+        want += [(k, *p, place) for place, p in enumerate(spaced_one_by_one(near, 15))]
+    assert sorted(map(tuple, sequence.last_near(df, ["k"], "n", ["x", "y"], 0.2, 15, first).collect()), key=str) == sorted(last, key=str)
+    assert len(want) > 60 and sorted(map(tuple, sequence.longest_near(df, ["k"], "n", ["x", "y"], 0.2, 15, first=first).collect()), key=str) == sorted(want, key=str)
+
+
+def test_pose_graph_closes_every_spaced_revisit(spark):
+    rng, n = np.random.default_rng(2), 420  # seven laps of 60 frames that drift
+    t = 2 * np.pi * np.arange(n) / 60
+    pose = np.column_stack([np.cos(t), np.sin(t), 0 * t, solve._turned(t)]) + rng.normal(0, 2e-4, (n, 4)).cumsum(axis=0)
+    df = spark.createDataFrame([("lap", i, *map(float, p)) for i, p in enumerate(pose)], "k string, n int, a double, b double, c double, d double")
+    out = solve.pose_graph(df, ["k"], "n", ["a", "b", "c"], "d", 0.12).orderBy("n").toPandas()
+    far = np.sqrt(((pose[:, None, :3] - pose[None, :, :3]) ** 2).sum(axis=2))
+    used = spaced_one_by_one([(i, j) for i in range(n) for j in range(i + 15, n) if far[i, j] <= 0.12], 15)
+    assert len(used) > 40 and set(out["closures"]) == {len(used)}
+    i, j = np.array(used).T
+    k = np.arange(n - 1)
+    steps = solve._seen(pose, k, k + 1)
+    steps[:, 3] = solve._turned(steps[:, 3])
+
+    def cost(moves):
+        tried = solve._walked(pose[0], moves)
+        r = solve._seen(tried, i, j)
+        r[:, 3] = solve._turned(r[:, 3])
+        return 100 * ((moves - steps) ** 2).sum() + (r**2).sum()
+
+    got = out[["x", "y", "z", "yaw"]].to_numpy()
+    moves = solve._seen(got, k, k + 1)
+    moves[:, 3] = steps[:, 3] + solve._turned(moves[:, 3] - steps[:, 3])
+    assert np.allclose(got[0], pose[0]) and cost(moves) < 0.5 * cost(steps)
+    for _ in range(20):  # no move nearby fits better
+        assert cost(moves + rng.normal(0, 1e-5, moves.shape)) >= cost(moves)
+
+
+def test_pose_graph_of_many_closures_needs_no_square_of_them():
+    n = 6000
+    rng = np.random.default_rng(6)
+    start = solve._walked(np.zeros(4), np.column_stack([rng.normal(0, 0.05, (n - 1, 3)), rng.normal(0, 0.02, n - 1)]))
+    i = np.arange(0, n - 1000, 5)
+    j = i + rng.integers(15, 900, len(i))
+    k = np.arange(n - 1)
+    edges = np.vstack([np.column_stack([k, k + 1, solve._seen(start, k, k + 1)]), np.column_stack([i, j, solve._seen(start, i, j) + rng.normal(0, 0.1, (len(i), 4))])])
+    tracemalloc.start()
+    out = solve.solve_pose_graph(start, edges, np.append(np.full(n - 1, 10.0), np.ones(len(i))), rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(out).all() and peak < 40e6  # a square of the closures' equations is 128 MB
+
+
 @pytest.mark.parametrize("accuracy", [4, 10_000])
 def test_exact_quantiles_equal_percentile_without_holding_a_key(spark, accuracy):
     rng = random.Random(3)
